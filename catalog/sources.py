@@ -1 +1,182 @@
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from catalog.base import DAILY, HOURLY, LONG, cols, daily, finish, hourly, long_panel, query, table
+from catalog.metrics import BOARD, PRED, RANK, predictions
+from chronopanel.operators import metrics
+from chronopanel.session import scratch
+from chronopanel.sources import readers, writers
+
+T, R = "Temperature_C_mean", "Rain_mm_sum"
+DAYS = f"WITH {DAILY} SELECT {cols(key='City', date='Date', num=f'{T} {R}')} FROM daily"
+
+
+def small_daily(spark, sf):
+    return daily(spark, sf).select("City", "Date", T, R)
+
+
+@query("s1_parquet_round_trip", DAYS)
+def s1_parquet_round_trip(spark, sf):
+    path = scratch(spark, "daily")
+    writers.parquet(small_daily(spark, sf).withColumn("Date", F.col("Date").cast("string")), path)
+    return finish(readers.parquet(spark, path, dates=["Date"]))
+
+
+@query("s2_pruned_scan", "SELECT strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last FROM events")
+def s2_pruned_scan(spark, sf):
+    ts = readers.parquet(spark, f"{sf}/events.parquet", columns=["ts"])
+    return finish(ts.agg(F.max("ts").alias("last")))
+
+
+@query("s3_fallback_scan", "SELECT n_nationkey::BIGINT AS n_nationkey, n_name FROM nation")
+def s3_fallback_scan(spark, sf):
+    df = readers.with_fallback(spark, f"{sf}/no_such_table.parquet", f"{sf}/nation.parquet")
+    return finish(df, "n_nationkey", "n_name")
+
+
+POINTS = "SELECT strftime(ts, '%Y-%m-%d') AS acq_date, round(38 + user_id % 5 / 7.0, 6) + 0.0 AS latitude, round(45 + event_id % 7 / 3.0, 6) + 0.0 AS longitude, round(value / 3.7, 6) + 0.0 AS brightness, round(value / 9.1, 6) + 0.0 AS frp FROM events WHERE event_id % 11 <> 0"
+
+
+def archive(spark, sf):
+    """Two sensors' files with different headers, some bad dates, written and read back as text."""
+    e = table(spark, sf, "events")
+    day = F.when(F.col("event_id") % 11 == 0, "unknown").otherwise(F.date_format("ts", "yyyy-MM-dd"))
+    base = e.select(
+        day.alias("ACQ_DATE"),
+        (38 + (F.col("user_id") % 5) / 7.0).alias("Latitude"),
+        (45 + (F.col("event_id") % 7) / 3.0).alias("Longitude"),
+        (F.col("value") / 3.7).alias("bright"),
+        (F.col("value") / 9.1).alias("FRP"),
+        F.lit("n").alias("confidence"),
+        "event_id",
+    )
+    path = scratch(spark, "archive")
+    modis = base.filter("event_id % 2 = 0").withColumnRenamed("bright", "brightness").drop("event_id")
+    viirs = base.filter("event_id % 2 = 1").select("ACQ_DATE", "Latitude", "Longitude", F.col("bright").alias("bright_ti4"), F.lit("x").alias("version"), "FRP", "confidence")
+    writers.csv(modis, f"{path}/modis")
+    writers.csv(viirs, f"{path}/viirs")
+    parts = [readers.csv_archive(spark, f"{path}/{f}") for f in ("modis", "viirs")]
+    return parts[0].unionByName(parts[1], allowMissingColumns=True)
+
+
+@query("s4_csv_archive", "SELECT count(*) AS n, count(CASE WHEN event_id % 2 = 0 THEN 1 END) AS n_brightness, count(CASE WHEN event_id % 2 = 1 THEN 1 END) AS n_bright_ti4 FROM events")
+def s4_csv_archive(spark, sf):
+    return archive(spark, sf).agg(F.count(F.lit(1)).alias("n"), F.count("brightness").alias("n_brightness"), F.count("bright_ti4").alias("n_bright_ti4"))
+
+
+@query("s5_points", POINTS)
+def s5_points(spark, sf):
+    return finish(readers.points(archive(spark, sf)), "acq_date", "latitude", "longitude", "brightness", "frp")
+
+
+@query("s6_csv_dimension", "SELECT n_name AS City, round(n_nationkey / 7.0, 6) + 0.0 AS Elevation FROM nation")
+def s6_csv_dimension(spark, sf):
+    path = scratch(spark, "static")
+    writers.csv(table(spark, sf, "nation").select(F.col("n_name").alias("City"), (F.col("n_nationkey") / 7.0).alias("Elevation")), path)
+    return finish(readers.csv(spark, path, "City string, Elevation double"))
+
+
+@query("s7_json_records", f"WITH {HOURLY} SELECT strftime(Timestamp, '%Y-%m-%dT%H:%M') AS timestamp, City AS region, p AS probability, 'Low' AS risk_level FROM hourly")
+def s7_json_records(spark, sf):
+    path = scratch(spark, "hourly-json")
+    out = hourly(spark, sf).select(
+        F.date_format("Timestamp", "yyyy-MM-dd'T'HH:mm").alias("timestamp"), F.col("City").alias("region"), F.col("p").alias("probability"), F.lit("Low").alias("risk_level")
+    )
+    writers.json(out, path)
+    return readers.json_records(spark, path)
+
+
+@query(
+    "s8_freshness",
+    "WITH c AS (SELECT event_type AS City, min(ts) AS first, max(ts) AS last, count(*) AS rows FROM events GROUP BY 1) "
+    "SELECT City, strftime(first, '%Y-%m-%d %H:%M:%S') AS first, strftime(last, '%Y-%m-%d %H:%M:%S') AS last, rows, CASE WHEN first > TIMESTAMP '2024-01-02' THEN 'starts late' WHEN last < TIMESTAMP '2024-01-30' THEN 'ends early' ELSE 'ok' END AS reason, "
+    "CAST(first <= TIMESTAMP '2024-01-02' AND last >= TIMESTAMP '2024-01-30' AS BIGINT) AS valid FROM c",
+)
+def s8_freshness(spark, sf):
+    df = table(spark, sf, "events").withColumnsRenamed({"event_type": "City"})
+    return finish(readers.freshness(df, now="2024-01-31 00:00:00", start="2024-01-01", ts="ts", max_age_hours=24 * 365 * 100))
+
+
+@query("s9_union_entities", f"WITH {LONG} SELECT City, strftime(Date, '%Y-%m-%d') AS Date, round({T}, 6) + 0.0 AS {T} FROM longp WHERE City IN ('1-URGENT', '5-LOW')")
+def s9_union_entities(spark, sf):
+    path = scratch(spark, "entities")
+    df = long_panel(spark, sf).select("City", "Date", T)
+    names = ("1-URGENT", "5-LOW")
+    for n in names:
+        writers.parquet(df.filter(F.col("City") == n), f"{path}/{n}")
+    return finish(readers.union_entities(spark, [f"{path}/{n}" for n in names]))
+
+
+@query("s10_overwrite", DAYS)
+def s10_overwrite(spark, sf):
+    path = scratch(spark, "overwrite")
+    df = small_daily(spark, sf)
+    writers.parquet(df.limit(5), path)
+    writers.parquet(df, path)
+    return finish(readers.parquet(spark, path))
+
+
+CUT = "2024-01-20"
+APPENDED = f"WITH {DAILY} SELECT {cols(key='City', date='Date', num=f'{T} {R}')} FROM (SELECT City, Date, CASE WHEN Date <= DATE '{CUT}' THEN {T} ELSE {T} + 1 END AS {T}, {R} FROM daily)"
+
+
+@query("s11_append_new", APPENDED)
+def s11_append_new(spark, sf):
+    """Corrections to stored days are not taken, as in the reference behaviour."""
+    path = scratch(spark, "append")
+    df = small_daily(spark, sf)
+    writers.append(df.filter(F.col("Date") <= F.lit(CUT).cast("date")), path)
+    later = df.withColumn(T, F.col(T) + 1)
+    writers.append(later, path)
+    writers.append(later, path)
+    return finish(readers.parquet(spark, path))
+
+
+@query(
+    "s11_upsert",
+    f"WITH {DAILY} SELECT {cols(key='City', date='Date', num=f'{T} {R}')} FROM (SELECT City, Date, CASE WHEN Date >= DATE '2024-01-15' AND CAST(City AS INT) % 2 = 0 THEN {T} + 1 ELSE {T} END AS {T}, {R} FROM daily)",
+)
+def s11_upsert(spark, sf):
+    path = scratch(spark, "upsert")
+    df = small_daily(spark, sf)
+    writers.upsert(df, path)
+    fix = df.filter((F.col("Date") >= F.lit("2024-01-15").cast("date")) & (F.col("City").cast("int") % 2 == 0))
+    fix = fix.withColumn(T, F.col(T) + 1)
+    writers.upsert(fix, path)
+    writers.upsert(fix, path)
+    return finish(readers.parquet(spark, path))
+
+
+@query("s12_csv_json_sinks", f"WITH {DAILY}, a AS (SELECT City, Date, {T} AS t FROM daily) SELECT 'csv' AS kind, count(*) AS n, count(DISTINCT City) AS cities FROM a UNION ALL SELECT 'json', count(*), count(DISTINCT City) FROM a")
+def s12_csv_json_sinks(spark, sf):
+    path = scratch(spark, "sinks")
+    df = small_daily(spark, sf).select("City", "Date", F.col(T).alias("t"))
+    writers.csv(df, f"{path}/csv")
+    writers.json(df, f"{path}/json")
+    a = readers.csv(spark, f"{path}/csv", "City string, Date date, t double")
+    b = readers.json_records(spark, f"{path}/json", "City string, Date date, t double")
+    count = lambda x, k: x.agg(F.lit(k).alias("kind"), F.count(F.lit(1)).alias("n"), F.count_distinct("City").alias("cities"))
+    return count(a, "csv").unionByName(count(b, "json"))
+
+
+@query(
+    "s13_manifest",
+    f"WITH {PRED}, {RANK}, {BOARD}, o AS (SELECT *, row_number() OVER (ORDER BY board.selection_score DESC) AS place FROM board) "
+    f"SELECT place - 1 AS place, model, (SELECT model FROM o WHERE place = 1) AS selected_model, round(selection_score, 6) + 0.0 AS selection_score FROM o",
+)
+def s13_manifest(spark, sf):
+    path = scratch(spark, "manifest")
+    record = writers.metrics_record(metrics.leaderboard(predictions(spark, sf)), threshold=0.44)
+    writers.json(record, path)
+    back = writers.read_manifest(spark, path)
+    rows = back.select("selected_model", F.posexplode("leaderboard").alias("place", "entry"))
+    return finish(rows.select("place", "entry.model", "selected_model", "entry.selection_score"))
+
+
+@query("s15_coordinates", "SELECT n_name AS City, round(CAST(38.5 + n_nationkey * 0.12 AS DOUBLE), 6) AS Latitude, round(CAST(45 + n_nationkey * 0.18 AS DOUBLE), 6) AS Longitude FROM nation")
+def s15_coordinates(spark, sf):
+    n = F.col("n_nationkey")
+    path = scratch(spark, "coords")
+    writers.parquet(table(spark, sf, "nation").select(F.col("n_name").alias("City"), (38.5 + n * 0.12).alias("Latitude"), (45 + n * 0.18).alias("Longitude")), path)
+    return finish(readers.parquet(spark, path))

@@ -21,9 +21,9 @@ def small(df: DataFrame, rows=BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if is_small(df, rows) else df
 
 
-def left(base: DataFrame, other: DataFrame, on=("City", "Date")) -> DataFrame:
+def left(base: DataFrame, other: DataFrame, on=("City", "Date"), salts=None) -> DataFrame:
     """Left equi join of two panels on their key."""
-    return base.join(other, list(on), "left")
+    return salted(base, other, on, "left", salts) if salts else base.join(other, list(on), "left")
 
 
 def salted(big: DataFrame, other: DataFrame, on, how="inner", salts=SALTS) -> DataFrame:
@@ -34,15 +34,19 @@ def salted(big: DataFrame, other: DataFrame, on, how="inner", salts=SALTS) -> Da
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"salted join cannot be {how}")
     spread = big.withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.lit(salts)))
-    copies = other.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("long"))
+    copies = other.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     return spread.join(copies, [*on, "_salt"], how).drop("_salt")
 
 
-def dimension(base: DataFrame, dim: DataFrame, on=("City",), how="left", fallback="_static") -> DataFrame:
-    """Join a dimension. Columns the base has keep their value; the dimension fills nulls."""
+def dimension(base: DataFrame, dim: DataFrame, on=("City",), how="left", fallback="_static", salts=None) -> DataFrame:
+    """Join a dimension. Columns the base has keep their value; the dimension fills nulls.
+
+    No hint: Spark broadcasts a side that is small by its statistics or by its measured
+    shuffle size, and splits skewed partitions otherwise. `salts` spreads known hot keys.
+    """
     shared = [c for c in dim.columns if c in base.columns and c not in on]
     renamed = dim.withColumnsRenamed({c: c + fallback for c in shared})
-    out = base.join(small(renamed), list(on), how) if is_small(dim) else salted(base, renamed, on, how)
+    out = salted(base, renamed, on, how, salts) if salts else base.join(renamed, list(on), how)
     if how in ("left_semi", "left_anti"):
         return out
     return out.withColumns({c: F.coalesce(c, c + fallback) for c in shared}).drop(*[c + fallback for c in shared])
@@ -56,16 +60,17 @@ def lookup(base: DataFrame, table: DataFrame, on, value: str, default=None) -> D
 
 def keep_keys(base: DataFrame, keys: DataFrame, on=("City", "Date")) -> DataFrame:
     """Rows whose key is in `keys`."""
-    return base.join(keys.select(*on), list(on), "left_semi")
+    return base.join(keys.select(*on).distinct(), list(on), "left_semi")
 
 
 def absent_keys(required: DataFrame, present: DataFrame, on=("City",)) -> DataFrame:
     """Keys of `required` without a row in `present`."""
-    return required.select(*on).distinct().join(present.select(*on), list(on), "left_anti")
+    return required.select(*on).distinct().join(present.select(*on).distinct(), list(on), "left_anti")
 
 
 def common_keys(a: DataFrame, b: DataFrame, on=("City", "Date")) -> DataFrame:
-    return a.select(*on).intersect(b.select(*on))
+    """Distinct keys of both; each side is reduced before the shuffle."""
+    return a.select(*on).distinct().intersect(b.select(*on).distinct())
 
 
 def box(regions: DataFrame, km=BUFFER_KM, lat="lat", lon="lon") -> DataFrame:

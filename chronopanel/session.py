@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,20 +25,30 @@ def build_session(app="chronopanel", master=None, **conf) -> SparkSession:
     return b.getOrCreate()
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared folder in spark.checkpoint.dir.
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared folder, from spark.checkpoint.dir.
 
-    The setting is the cluster's. Only an in-process master without it gets a
-    temporary folder; a cluster without it is an error, since a machine-local
-    folder would not survive a lost executor.
+    Only an in-process master without the setting gets a temporary folder; a cluster
+    without it is an error, since a machine-local folder is lost with its machine.
     """
-    spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a shared folder")
-        folder = tempfile.mkdtemp(prefix="chronopanel-ckpt-")
+        folder = tempfile.mkdtemp(prefix="chronopanel-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    if spark.sparkContext.getCheckpointDir() is None:
+    return folder
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path under the shared folder."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut lineage with a reliable checkpoint in the shared folder."""
+    spark = df.sparkSession
+    folder = shared_folder(spark)
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
