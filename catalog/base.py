@@ -74,12 +74,12 @@ def ratio_sql(a: str, b: str) -> str:
 WX = """
 wx AS (
   SELECT event_type AS City, user_id, event_id, ts AS Timestamp, CAST(ts AS DATE) AS Date,
-    value / 9.7 - 5 AS Temperature_C, 100 - value / 5.1 AS Humidity_percent,
-    CASE WHEN event_id % 4 = 0 THEN value / 49.7 ELSE 0.0 END AS Rain_mm,
-    value / 16.3 AS Wind_Speed_kmh, CAST(event_id % 360 AS DOUBLE) AS Wind_Dir_deg,
-    1000 + value / 99.1 AS Pressure_hPa,
-    CASE WHEN hour(ts) BETWEEN 6 AND 18 THEN value / 1.03 ELSE 0.0 END AS Solar_Radiation_Wm2,
-    value / 20.3 AS Soil_Temp_C, value / 997.3 AS Soil_Moisture,
+    value / 9.6913 - 5 AS Temperature_C, 100 - value / 5.1097 AS Humidity_percent,
+    CASE WHEN event_id % 4 = 0 THEN value / 49.6931 ELSE 0.0 END AS Rain_mm,
+    value / 16.2917 AS Wind_Speed_kmh, CAST(event_id % 360 AS DOUBLE) AS Wind_Dir_deg,
+    1000 + value / 99.0713 AS Pressure_hPa,
+    CASE WHEN hour(ts) BETWEEN 6 AND 18 THEN value / 1.0297 ELSE 0.0 END AS Solar_Radiation_Wm2,
+    value / 20.2931 AS Soil_Temp_C, value / 997.2913 AS Soil_Moisture,
     ((event_id * 37) % 1000) / 1000.0 AS p, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS y
   FROM events
 )"""
@@ -93,15 +93,15 @@ def measurements(spark, sf) -> DataFrame:
         "event_id",
         F.col("ts").alias("Timestamp"),
         F.to_date("ts").alias("Date"),
-        (v / 9.7 - 5).alias("Temperature_C"),
-        (100 - v / 5.1).alias("Humidity_percent"),
-        F.when(i % 4 == 0, v / 49.7).otherwise(0.0).alias("Rain_mm"),
-        (v / 16.3).alias("Wind_Speed_kmh"),
+        (v / 9.6913 - 5).alias("Temperature_C"),
+        (100 - v / 5.1097).alias("Humidity_percent"),
+        F.when(i % 4 == 0, v / 49.6931).otherwise(0.0).alias("Rain_mm"),
+        (v / 16.2917).alias("Wind_Speed_kmh"),
         (i % 360).cast("double").alias("Wind_Dir_deg"),
-        (1000 + v / 99.1).alias("Pressure_hPa"),
-        F.when(F.hour("ts").between(6, 18), v / 1.03).otherwise(0.0).alias("Solar_Radiation_Wm2"),
-        (v / 20.3).alias("Soil_Temp_C"),
-        (v / 997.3).alias("Soil_Moisture"),
+        (1000 + v / 99.0713).alias("Pressure_hPa"),
+        F.when(F.hour("ts").between(6, 18), v / 1.0297).otherwise(0.0).alias("Solar_Radiation_Wm2"),
+        (v / 20.2931).alias("Soil_Temp_C"),
+        (v / 997.2913).alias("Soil_Moisture"),
         (((i * 37) % 1000) / 1000.0).alias("p"),
         (F.col("event_type") == "error").cast("int").alias("y"),
     )
@@ -176,10 +176,10 @@ def daily(spark, sf) -> DataFrame:
 LONG = """
 longp AS (
   SELECT o_orderpriority AS City, CAST(o_orderdate AS DATE) AS Date,
-    avg(o_totalprice) / 9973 AS Temperature_C_mean, max(o_totalprice) / 9973 AS Temperature_C_max,
-    100 - avg(o_totalprice) / 6007 AS Humidity_percent_mean,
-    sum(CASE WHEN o_orderkey % 3 = 0 THEN o_custkey % 7 ELSE 0 END) / 9.7 AS Rain_mm_sum,
-    avg(o_totalprice) / 19997 AS Wind_Speed_kmh_mean,
+    avg(o_totalprice) / 9973.13 AS Temperature_C_mean, max(o_totalprice) / 9973.13 AS Temperature_C_max,
+    100 - avg(o_totalprice) / 6007.17 AS Humidity_percent_mean,
+    sum(CASE WHEN o_orderkey % 3 = 0 THEN o_custkey % 7 ELSE 0 END) / 9.6913 AS Rain_mm_sum,
+    avg(o_totalprice) / 19997.19 AS Wind_Speed_kmh_mean,
     max(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS Fire_Occurred,
     count(*) AS n
   FROM orders GROUP BY 1, 2
@@ -192,11 +192,11 @@ def long_panel(spark, sf) -> DataFrame:
         table(spark, sf, "orders")
         .groupBy(F.col("o_orderpriority").alias("City"), F.to_date("o_orderdate").alias("Date"))
         .agg(
-            (F.avg(price) / 9973).alias("Temperature_C_mean"),
-            (F.max(price) / 9973).alias("Temperature_C_max"),
-            (100 - F.avg(price) / 6007).alias("Humidity_percent_mean"),
-            (F.sum(F.when(F.col("o_orderkey") % 3 == 0, F.col("o_custkey") % 7).otherwise(0)) / 9.7).alias("Rain_mm_sum"),
-            (F.avg(price) / 19997).alias("Wind_Speed_kmh_mean"),
+            (F.avg(price) / 9973.13).alias("Temperature_C_mean"),
+            (F.max(price) / 9973.13).alias("Temperature_C_max"),
+            (100 - F.avg(price) / 6007.17).alias("Humidity_percent_mean"),
+            (F.sum(F.when(F.col("o_orderkey") % 3 == 0, F.col("o_custkey") % 7).otherwise(0)) / 9.6913).alias("Rain_mm_sum"),
+            (F.avg(price) / 19997.19).alias("Wind_Speed_kmh_mean"),
             F.max((F.col("o_orderstatus") == "F").cast("int")).alias("Fire_Occurred"),
             F.count(F.lit(1)).alias("n"),
         )

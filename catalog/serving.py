@@ -1 +1,158 @@
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from catalog.base import DAILY, HOURLY, cols, daily, finish, hourly, measurements, query, table
+from catalog.functions import colour_sql, fwi_sql, summary_sql, tier_sql, warning_sql
+from chronopanel.functions import columns, risk
+from chronopanel.operators import aggregate, windows as w
+from chronopanel.plans import features, serve
+
+T, H, W, R = "Temperature_C_mean", "Humidity_percent_mean", "Wind_Speed_kmh_mean", "Rain_mm_sum"
+
+D1 = f"""pub AS (SELECT strftime(Date, '%Y-%m-%d') AS date, City AS region, probability, {tier_sql('probability')} AS risk_level, round(probability * 100, 1) AS risk_score,
+    CAST(probability >= 0.44 AS BIGINT) AS predicted_fire, least(greatest(0.55 + 0.8 * abs(probability - 0.5), 0.55), 0.95) AS confidence, {colour_sql('probability')} AS risk_color,
+    round_even({T}, 1) AS temperature, round_even({H}, 1) AS humidity, round_even({W}, 1) AS wind, round_even({R}, 2) AS rain,
+    {summary_sql(T, W, H, R)} AS climate_summary, {warning_sql('probability', W, H)} AS warning, 38.5 + CAST(City AS INT) * 0.01 AS Latitude, 45 + CAST(City AS INT) * 0.02 AS Longitude FROM daily)"""
+D1_KEYS, D1_INT = "date region risk_level risk_color climate_summary warning", "predicted_fire"
+D1_NUM = "probability risk_score confidence temperature humidity wind rain Latitude Longitude"
+
+
+def coords(df):
+    n = F.col("City").cast("int")
+    return df.select("City").distinct().withColumns({"Latitude": 38.5 + n * 0.01, "Longitude": 45 + n * 0.02})
+
+
+def public_daily(spark, sf):
+    df = daily(spark, sf)
+    return serve.daily_table(df, 0.44, coords(df))
+
+
+@query("d1_daily_table", f"WITH {DAILY}, {D1} SELECT {cols(key=D1_KEYS, int_=D1_INT, num=D1_NUM)} FROM pub")
+def d1_daily_table(spark, sf):
+    return finish(public_daily(spark, sf), *D1_KEYS.split(), D1_INT, *D1_NUM.split())
+
+
+D2 = f"""day AS (SELECT City, CAST(Timestamp AS DATE) AS Date, avg(p) / 2.03 AS dp FROM hourly WHERE day(Timestamp) % 3 <> 0 GROUP BY 1, 2),
+  cap AS (SELECT h.*, CASE WHEN dp IS NULL THEN p ELSE least(p, greatest(2.5 * dp, 0.15)) END AS probability FROM hourly h LEFT JOIN day d ON h.City = d.City AND CAST(h.Timestamp AS DATE) = d.Date),
+  pubh AS (SELECT strftime(Timestamp, '%Y-%m-%dT%H:%M') AS timestamp, City AS region, probability, {tier_sql('probability')} AS risk_level,
+    CAST(probability >= 0.58 AS BIGINT) AS predicted_fire, least(greatest(0.55 + 0.8 * abs(probability - 0.5), 0.55), 0.95) AS confidence, {colour_sql('probability')} AS risk_color,
+    round_even(probability * 100, 1) AS risk_score, round_even(Temperature_C, 1) AS temperature, round_even(Humidity_percent, 1) AS humidity, round_even(Wind_Speed_kmh, 1) AS wind, round_even(Solar_Radiation_Wm2, 1) AS solar FROM cap)"""
+D2_KEYS, D2_NUM = "timestamp region risk_level risk_color", "probability confidence risk_score temperature humidity wind solar"
+
+
+def public_hourly(spark, sf):
+    h = hourly(spark, sf).withColumnRenamed("p", "probability")
+    day = h.filter(F.dayofmonth("Timestamp") % 3 != 0).groupBy("City", F.to_date("Timestamp").alias("Date")).agg((F.avg("probability") / 2.03).alias("probability"))
+    return serve.hourly_table(h, day, 0.58)
+
+
+@query("d2_hourly_table", f"WITH {HOURLY}, {D2} SELECT {cols(key=D2_KEYS, int_='predicted_fire', num=D2_NUM)} FROM pubh")
+def d2_hourly_table(spark, sf):
+    return finish(public_hourly(spark, sf), *D2_KEYS.split(), "predicted_fire", *D2_NUM.split())
+
+
+@query(
+    "d3_map_points",
+    f"WITH {DAILY}, {D1}, l AS (SELECT *, row_number() OVER (PARTITION BY region ORDER BY date DESC) AS rn FROM pub) SELECT {cols(key=D1_KEYS, int_=D1_INT, num=D1_NUM)} FROM l WHERE rn = 1",
+)
+def d3_map_points(spark, sf):
+    return finish(serve.map_points(public_daily(spark, sf)), *D1_KEYS.split(), D1_INT, *D1_NUM.split())
+
+
+@query(
+    "d4_filter_view",
+    f"WITH {DAILY}, {D1} SELECT {cols(key='date region risk_level', num='probability')} FROM pub WHERE date = '2024-01-15' AND risk_level = 'Extreme'",
+)
+def d4_filter_view(spark, sf):
+    out = serve.select_view(public_daily(spark, sf), day="2024-01-15", level="Extreme")
+    return finish(out, "date", "region", "risk_level", "probability")
+
+
+@query("d4_region_series", f"WITH {HOURLY}, {D2} SELECT {cols(key='timestamp region', num='probability')} FROM pubh WHERE region = 'click' AND timestamp LIKE '2024-01-1%'")
+def d4_region_series(spark, sf):
+    out = serve.select_view(public_hourly(spark, sf), region="click", day="2024-01-1", stamp="timestamp")
+    return finish(out, "timestamp", "region", "probability")
+
+
+@query(
+    "d4_first_hours",
+    f"WITH {HOURLY}, {D2}, l AS (SELECT *, row_number() OVER (PARTITION BY region ORDER BY timestamp) AS rn FROM pubh) SELECT {cols(key='timestamp region risk_level', num='probability')} FROM l WHERE rn = 1",
+)
+def d4_first_hours(spark, sf):
+    return finish(serve.first_hours(public_hourly(spark, sf)), "timestamp", "region", "risk_level", "probability")
+
+
+def panel_of_days(spark, sf):
+    """Measurements to the hourly spine's daily panel."""
+    return aggregate.daily_panel(hourly(spark, sf))
+
+
+def risk_by_day(spark, sf):
+    """Daily panel, indices and dry streak, an index-driven probability, the public table."""
+    df = w.indexed(panel_of_days(spark, sf), w.DAILY)
+    _, _, _, r = features.inputs(df)
+    df = w.streak(df, r < 0.1, "dry_days_streak")
+    df = features.fire_weather_indices(df)
+    trailing = lambda o: {**w.lag_columns(o, [T], [1]), **w.rolling_columns(o, [T], [7])}
+    df = w.unindexed(w.bounded(df, w.DAILY, trailing, 7))
+    p = columns.clip(F.col("FFMC_proxy") / 137.0 + F.col("FWI_proxy") / 61.0 + F.col("dry_days_streak") / 29.0, 0.0, 1.0)
+    return df.withColumn("probability", p)
+
+
+RISK_PANEL = f"""days AS (SELECT City, CAST(Timestamp AS DATE) AS Date, avg(Temperature_C) AS {T}, avg(Humidity_percent) AS {H}, avg(Wind_Speed_kmh) AS {W}, sum(Rain_mm) AS {R},
+    sum(CASE WHEN Temperature_C > 30 THEN 1 ELSE 0 END) AS hours_temp_above_30 FROM hourly GROUP BY 1, 2)"""
+RISK = f"""dryd AS (SELECT *, CASE WHEN {R} < 0.1 THEN 1 ELSE 0 END AS dry FROM fwi), isl AS (SELECT *, sum(1 - dry) OVER (PARTITION BY City ORDER BY Date) AS island FROM dryd),
+  stk AS (SELECT *, sum(dry) OVER (PARTITION BY City, island ORDER BY Date) AS dry_days_streak, lag({T}) OVER (PARTITION BY City ORDER BY Date) AS {T}_lag1,
+    avg({T}) OVER (PARTITION BY City ORDER BY Date ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) AS {T}_roll7_mean FROM isl),
+  rsk AS (SELECT *, least(greatest(FFMC_proxy / 137.0 + FWI_proxy / 61.0 + dry_days_streak / 29.0, 0), 1) AS probability FROM stk),
+  fin AS (SELECT City, Date, {tier_sql('probability')} AS risk_level, probability, least(greatest(0.55 + 0.8 * abs(probability - 0.5), 0.55), 0.95) AS confidence,
+    FFMC_proxy, FWI_proxy, dry_days_streak, hours_temp_above_30, {T}_lag1, {T}_roll7_mean FROM rsk)"""
+RISK_NUM = f"probability confidence FFMC_proxy FWI_proxy {T}_lag1 {T}_roll7_mean"
+
+
+@query(
+    "daily_risk",
+    f"WITH {HOURLY}, {RISK_PANEL}, {fwi_sql('days')}, {RISK} SELECT {cols(key='City risk_level', date='Date', int_='dry_days_streak hours_temp_above_30', num=RISK_NUM)} FROM fin",
+)
+def daily_risk(spark, sf):
+    """Risk tier by entity and day, from raw measurements to the tier."""
+    df = risk_by_day(spark, sf)
+    p = F.col("probability")
+    out = df.withColumns({"risk_level": risk.tier(p), "confidence": risk.confidence(p)})
+    return finish(out, "City", "risk_level", "Date", "dry_days_streak", "hours_temp_above_30", *RISK_NUM.split())
+
+
+FEATURES = f"{T}_lag1 {T}_lag30 {T}_roll30_mean {R}_roll7_std FWI_proxy_lag7 VPD_kPa_roll3_mean temp_x_wind Rainfall_Deficit {T}_anomaly city_fire_rate"
+
+
+@query(
+    "feature_surface",
+    f"""WITH {DAILY}, {fwi_sql('daily')}, v AS (SELECT *, greatest(0.6108 * exp(17.27 * {T} / ({T} + 237.3)) * (1 - {H} / 100), 0) AS VPD_kPa FROM fwi),
+    c AS (SELECT City, month(Date) AS m, avg({T}) AS ct, avg({R}) AS cr FROM daily WHERE Date < DATE '2024-01-20' GROUP BY 1, 2),
+    x AS (SELECT *, lag({T}, 1) OVER o AS {T}_lag1, lag({T}, 30) OVER o AS {T}_lag30, avg({T}) OVER (o ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING) AS {T}_roll30_mean,
+      stddev_samp({R}) OVER (o ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) AS {R}_roll7_std, lag(FWI_proxy, 7) OVER o AS FWI_proxy_lag7,
+      avg(VPD_kPa) OVER (o ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS VPD_kPa_roll3_mean, {T} * {W} / 100 AS temp_x_wind,
+      coalesce(sum({R}) OVER (o ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING), 0) AS r30, coalesce(avg(Fire_Occurred) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS city_fire_rate
+      FROM v WINDOW o AS (PARTITION BY City ORDER BY Date)),
+    f AS (SELECT x.*, cr * 30 - r30 AS Rainfall_Deficit, {T} - ct AS {T}_anomaly FROM x LEFT JOIN c ON x.City = c.City AND month(x.Date) = c.m)
+    SELECT {cols(key='City', date='Date', num=FEATURES)} FROM f""",
+)
+def feature_surface(spark, sf):
+    """The whole daily feature plan; a few of its columns are compared."""
+    df = daily(spark, sf)
+    fitted = features.fit(df.filter(F.col("Date") < F.lit("2024-01-20").cast("date")))
+    return finish(features.daily_features(df, fitted), "City", "Date", *FEATURES.split())
+
+
+HF = "Temperature_C_lag6h Rain_mm_roll12h_mean Hour_sin"
+
+
+@query(
+    "feature_surface_hourly",
+    f"""WITH {HOURLY}, f AS (SELECT City, Timestamp, lag(Temperature_C, 6) OVER o AS Temperature_C_lag6h, avg(Rain_mm) OVER (o ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING) AS Rain_mm_roll12h_mean,
+      sin(2 * pi() * hour(Timestamp) / 24) AS Hour_sin, CAST(hour(Timestamp) BETWEEN 6 AND 20 AS INT) AS is_daytime FROM hourly WINDOW o AS (PARTITION BY City ORDER BY Timestamp))
+    SELECT {cols(key='City', stamp='Timestamp', num=HF, int_='is_daytime')} FROM f""",
+)
+def feature_surface_hourly(spark, sf):
+    return finish(features.hourly_features(hourly(spark, sf)), "City", "Timestamp", "is_daytime", *HF.split())

@@ -21,11 +21,15 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 @dataclass(frozen=True)
 class Prefix:
-    """A running value. kind: sum, count, max, min, or last (last non-null value)."""
+    """A running value. kind: sum, count, max, min, or last (last non-null value).
+
+    inclusive says whether a row's own value counts.
+    """
 
     name: str
     kind: str
     value: Column
+    inclusive: bool = True
 
 
 _FOLD = {"sum": F.sum, "count": F.sum, "max": F.max, "min": F.min, "last": F.max}
@@ -53,7 +57,7 @@ def _merge(p: Prefix, local: Column, before: Column) -> Column:
     return (F.greatest if p.kind == "max" else F.least)(local, before)
 
 
-def running(df: DataFrame, group, block: str, order: str, prefixes, inclusive=True, descending=False) -> DataFrame:
+def running(df: DataFrame, group, block: str, order: str, prefixes, descending=False) -> DataFrame:
     """Add running values over `group` ordered by `order`.
 
     `order` is unique within a group and `block` is monotone in it.
@@ -61,7 +65,8 @@ def running(df: DataFrame, group, block: str, order: str, prefixes, inclusive=Tr
     group = list(group)
     keys = group + [block]
     sign = F.desc if descending else F.asc
-    w = W.partitionBy(*keys).orderBy(sign(order)).rowsBetween(W.unboundedPreceding, 0 if inclusive else -1)
+    ordered = W.partitionBy(*keys).orderBy(sign(order))
+    frames = {i: ordered.rowsBetween(W.unboundedPreceding, 0 if i else -1) for i in (True, False)}
     # a descending scan needs the value at the smallest position, so negate it
     pos = -F.col(order) if descending else F.col(order)
     totals = df.groupBy(*keys).agg(*[_total(p, pos).alias(f"_t_{p.name}") for p in prefixes])
@@ -69,7 +74,7 @@ def running(df: DataFrame, group, block: str, order: str, prefixes, inclusive=Tr
     carried = totals.select(
         *keys, *[_FOLD[p.kind](f"_t_{p.name}").over(before).alias(f"_c_{p.name}") for p in prefixes]
     )
-    local = df.withColumns({f"_l_{p.name}": _local(p, w) for p in prefixes})
+    local = df.withColumns({f"_l_{p.name}": _local(p, frames[p.inclusive]) for p in prefixes})
     out = local.join(carried, keys, "left")
     made = {p.name: _merge(p, F.col(f"_l_{p.name}"), F.col(f"_c_{p.name}")) for p in prefixes}
     drop = [f"_{k}_{p.name}" for p in prefixes for k in "lc"]

@@ -50,34 +50,55 @@ def _cut(pos: Column, size: int) -> Column:
     return F.floor(pos / size).cast("long")
 
 
-def indexed(df: DataFrame, s: Series, size=None) -> DataFrame:
-    """Add _pos (step or row number) and _chunk."""
-    size = size or s.chunk
+def indexed(df: DataFrame, s: Series, reach: int = 0) -> DataFrame:
+    """Add _pos (step or row number) and _chunk, unless the frame has them.
+
+    A plan of several operators calls this first, so rows are counted once; operators
+    keep the columns they find and drop the ones they added.
+    """
+    if "_pos" in df.columns:
+        return df
+    size = chunk_size(s, reach)
     if s.regular:
         return df.withColumn("_pos", time_index(s)).withColumn("_chunk", _cut(F.col("_pos"), size))
     timed = df.withColumn("_seg", _cut(time_index(s), size))
     ranked = row_rank(timed, s.entity, "_seg", s.time, "_pos").drop("_seg")
-    return ranked.withColumn("_chunk", _cut(F.col("_pos") - 1, size))
+    ranked = ranked.withColumn("_pos", F.col("_pos") - 1)
+    return ranked.withColumn("_chunk", _cut(F.col("_pos"), size))
+
+
+def unindexed(df: DataFrame) -> DataFrame:
+    return df.drop("_pos", "_chunk")
+
+
+def chunk_size(s: Series, reach: int = 0) -> int:
+    return max(s.chunk, reach)
 
 
-def bounded(df: DataFrame, s: Series, build, behind: int, ahead: int = 0, keep=()) -> DataFrame:
+def bounded(df: DataFrame, s: Series, build, behind: int, ahead: int = 0, keep=False) -> DataFrame:
     """Add columns from frames that reach at most `behind` rows back and `ahead` forward.
 
-    `build(w)` gets the ordered window and returns {name: Column}.
+    `build(w)` gets the ordered window and returns {name: Column}. A list of such
+    functions runs one after the other on the same rows, each seeing the columns of the
+    one before; `behind` is then the sum of their reaches.
     """
-    size = max(s.chunk, behind, ahead)
-    rows = indexed(df, s, size)
-    start = F.col("_pos") - (0 if s.regular else 1)
-    offset = start - F.col("_chunk") * size
+    had = keep or "_pos" in df.columns
+    if "_pos" in df.columns and max(behind, ahead) > s.chunk:
+        raise ValueError("chunk is shorter than the frame's reach")
+    size = chunk_size(s, max(behind, ahead))
+    rows = indexed(df, s, max(behind, ahead))
+    offset = F.col("_pos") - F.col("_chunk") * size
     targets = [F.col("_chunk")]
     if behind:
         targets.append(F.when(offset >= size - behind, F.col("_chunk") + 1))
     if ahead:
         targets.append(F.when(offset < ahead, F.col("_chunk") - 1))
-    spread = rows.withColumn("_part", F.explode(F.array_compact(F.array(*targets))))
+    out = rows.withColumn("_part", F.explode(F.array_compact(F.array(*targets))))
     w = W.partitionBy(*s.entity, "_part").orderBy("_pos")
-    out = spread.withColumns(build(w)).filter(F.col("_part") == F.col("_chunk"))
-    return out.drop(*[c for c in ("_part", "_chunk", "_pos") if c not in keep])
+    for stage in build if isinstance(build, (list, tuple)) else [build]:
+        out = out.withColumns(stage(w))
+    out = out.filter(F.col("_part") == F.col("_chunk")).drop("_part")
+    return out if had else unindexed(out)
 
 
 def lag_columns(w, names, lags, suffix="") -> dict[str, Column]:
@@ -139,39 +160,63 @@ def rolling_sums(df, names, windows, s=DAILY):
     return bounded(df, s, lambda w: sum_columns(w, names, windows), max(windows))
 
 
-def streak(df: DataFrame, cond: Column, name: str, s=DAILY) -> DataFrame:
+@dataclass(frozen=True)
+class Trail:
+    """A feature over all rows before (or up to) the current one."""
+
+    name: str
+    prefixes: tuple
+    value: Column
+
+
+def streak_trail(cond: Column, name: str) -> Trail:
     """Rows since the condition last failed; 0 where it fails or is unknown."""
+    miss, first = f"_miss_{name}", f"_first_{name}"
     holds = F.coalesce(cond, F.lit(False))
-    rows = indexed(df, s).withColumn("_first", F.col("_pos"))
-    miss = Prefix("_miss", "max", F.when(~holds, F.col("_pos")))
-    first = Prefix("_begin", "min", F.col("_first"))
-    out = running(rows, s.entity, "_chunk", "_pos", [miss, first])
-    run = F.col("_pos") - F.coalesce(F.col("_miss"), F.col("_begin") - 1)
-    return out.withColumn(name, run).drop("_pos", "_chunk", "_first", "_miss", "_begin")
+    parts = (Prefix(miss, "max", F.when(~holds, F.col("_pos"))), Prefix(first, "min", F.col("_pos")))
+    return Trail(name, parts, F.col("_pos") - F.coalesce(F.col(miss), F.col(first) - 1))
 
 
-def rows_since(df: DataFrame, event: Column, name: str, s=DAILY, never=9999, cap=365) -> DataFrame:
+def since_trail(event: Column, name: str, never=9999, cap=365) -> Trail:
     """Rows since the previous event; `never` where there is none, then capped."""
-    hit = Prefix("_hit", "max", F.when(event, F.col("_pos")))
-    out = running(indexed(df, s), s.entity, "_chunk", "_pos", [hit], inclusive=False)
-    gap = F.coalesce(F.col("_pos") - F.col("_hit"), F.lit(never))
-    return out.withColumn(name, F.least(gap, F.lit(cap))).drop("_pos", "_chunk", "_hit")
+    hit = f"_hit_{name}"
+    gap = F.coalesce(F.col("_pos") - F.col(hit), F.lit(never))
+    return Trail(name, (Prefix(hit, "max", F.when(event, F.col("_pos")), False),), F.least(gap, F.lit(cap)))
+
+
+def mean_trail(value: str, name: str, default=0.0) -> Trail:
+    """Mean of all earlier values."""
+    total, n = f"_sum_{name}", f"_n_{name}"
+    parts = (Prefix(total, "sum", F.col(value), False), Prefix(n, "count", F.col(value), False))
+    return Trail(name, parts, F.coalesce(F.try_divide(F.col(total).cast("double"), F.col(n)), F.lit(default)))
+
+
+def unlimited(df: DataFrame, s: Series, trails, within=()) -> DataFrame:
+    """Add all trails of the entity, or of the entity and `within` columns, in one scan."""
+    had = "_pos" in df.columns
+    prefixes = [p for t in trails for p in t.prefixes]
+    out = running(indexed(df, s), [*s.entity, *within], "_chunk", "_pos", prefixes)
+    out = out.withColumns({t.name: t.value for t in trails}).drop(*[p.name for p in prefixes])
+    return out if had else unindexed(out)
+
+
+def streak(df: DataFrame, cond: Column, name: str, s=DAILY) -> DataFrame:
+    return unlimited(df, s, [streak_trail(cond, name)])
+
+
+def rows_since(df: DataFrame, event: Column, name: str, s=DAILY, never=9999, cap=365) -> DataFrame:
+    return unlimited(df, s, [since_trail(event, name, never, cap)])
 
 
 def expanding_mean(df: DataFrame, value: str, name: str, s=DAILY, within=(), default=0.0) -> DataFrame:
-    """Mean of all earlier values of the entity, or of the entity and `within` columns."""
-    parts = [Prefix("_s", "sum", F.col(value)), Prefix("_n", "count", F.col(value))]
-    group = [*s.entity, *within]
-    out = running(indexed(df, s), group, "_chunk", "_pos", parts, inclusive=False)
-    mean = F.coalesce(F.try_divide(F.col("_s").cast("double"), F.col("_n")), F.lit(default))
-    return out.withColumn(name, mean).drop("_pos", "_chunk", "_s", "_n")
+    return unlimited(df, s, [mean_trail(value, name, default)], within)
 
 
 def fill(df: DataFrame, names, s=DAILY, leak_free=True) -> DataFrame:
     """Carry the last known value forward; leak_free=False then also the next one back."""
-    out = running(
-        indexed(df, s), s.entity, "_chunk", "_pos", [Prefix(f"_f_{c}", "last", F.col(c)) for c in names]
-    )
+    had = "_pos" in df.columns
+    forward = [Prefix(f"_f_{c}", "last", F.col(c)) for c in names]
+    out = running(indexed(df, s), s.entity, "_chunk", "_pos", forward)
     value = {c: F.col(f"_f_{c}") for c in names}
     made = [f"_f_{c}" for c in names]
     if not leak_free:
@@ -179,7 +224,8 @@ def fill(df: DataFrame, names, s=DAILY, leak_free=True) -> DataFrame:
         out = running(out, s.entity, "_chunk", "_pos", back, descending=True)
         value = {c: F.coalesce(v, F.col(f"_b_{c}")) for c, v in value.items()}
         made += [f"_b_{c}" for c in names]
-    return out.withColumns(value).drop("_pos", "_chunk", *made)
+    out = out.withColumns(value).drop(*made)
+    return out if had else unindexed(out)
 
 
 def spine(df: DataFrame, s: Series) -> DataFrame:
@@ -257,7 +303,7 @@ def decompose(df: DataFrame, value: str, period: int, s=DAILY) -> DataFrame:
             total = total + (F.lag(value, half).over(w) + F.lead(value, half).over(w)) / 2
         return {"trend": F.when(n == 2 * half + 1, total / period)}
 
-    out = bounded(df, s, trend, half, half, keep=("_pos",))
+    out = bounded(df, s, trend, half, half, keep=True)
     base = out.groupBy(*s.entity).agg(F.min("_pos").alias("_p0"))
     out = out.join(base, list(s.entity), "left").withColumn("_phase", F.pmod(F.col("_pos") - F.col("_p0"), F.lit(period)))
     keys = [*s.entity, "_phase"]
@@ -265,7 +311,7 @@ def decompose(df: DataFrame, value: str, period: int, s=DAILY) -> DataFrame:
     centre = phase.groupBy(*s.entity).agg(F.avg("_m").alias("_centre"))
     phase = phase.join(centre, list(s.entity)).select(*keys, (F.col("_m") - F.col("_centre")).alias("seasonal"))
     out = out.join(phase, keys, "left")
-    return out.withColumn("resid", F.col(value) - F.col("trend") - F.col("seasonal")).drop("_pos", "_p0", "_phase")
+    return out.withColumn("resid", F.col(value) - F.col("trend") - F.col("seasonal")).drop("_pos", "_chunk", "_p0", "_phase")
 
 
 def history_tail(history: DataFrame, forecast: DataFrame, s=DAILY, steps=45) -> DataFrame:

@@ -77,17 +77,14 @@ def index_windows(o, t, h, r):
 
 def fire_weather_indices(df: DataFrame, s=w.DAILY) -> DataFrame:
     t, h, wind, r = inputs(df)
-    out = w.bounded(df, s, lambda o: index_windows(o, t, h, r), 29)
-    return _derived_indices(out, t, h, wind, r)
+    return w.bounded(df, s, [lambda o: index_windows(o, t, h, r), lambda o: derived_indices(t, h, wind, r)], 29)
 
 
-def _derived_indices(out, t, h, wind, r):
+def derived_indices(t, h, wind, r) -> dict:
     ffmc = weather.fine_fuel_moisture(t, h, r)
     isi = weather.initial_spread(ffmc, wind)
     bui = weather.build_up(F.col("DMC_proxy"), F.col("DC_proxy"))
-    return out.withColumns(
-        {"FFMC_proxy": ffmc, "ISI_proxy": isi, "BUI_proxy": bui, "FWI_proxy": weather.fire_weather(isi, bui)}
-    )
+    return {"FFMC_proxy": ffmc, "ISI_proxy": isi, "BUI_proxy": bui, "FWI_proxy": weather.fire_weather(isi, bui)}
 
 
 def comfort(df: DataFrame) -> DataFrame:
@@ -108,13 +105,20 @@ def extreme_weather(df: DataFrame, thresholds: DataFrame, s=w.DAILY) -> DataFram
     return out.withColumns(flags).drop("_t_high", "_h_low", "_w_high")
 
 
+def event_trails(label=LABEL):
+    return [
+        w.since_trail(F.col(label) == 1, "days_since_last_fire"),
+        w.mean_trail(label, "city_fire_rate"),
+    ]
+
+
 def event_history(df: DataFrame, s=w.DAILY, label=LABEL) -> DataFrame:
     """Past event counts, rows since the last event, past rates; never the row's own label."""
-    out = w.bounded(df, s, lambda o: w.sum_columns(o, [label], EVENT_WINDOWS), max(EVENT_WINDOWS))
-    out = out.withColumnsRenamed({f"{label}_sum{n}": f"fire_count_{n}d" for n in EVENT_WINDOWS})
-    out = w.rows_since(out, F.col(label) == 1, "days_since_last_fire", s)
-    out = w.expanding_mean(out, label, "city_month_fire_rate", s, within=["Month"])
-    return w.expanding_mean(out, label, "city_fire_rate", s)
+    out = w.indexed(df, s)
+    out = w.unlimited(out, s, [w.mean_trail(label, "city_month_fire_rate")], within=["Month"])
+    out = w.unlimited(out, s, event_trails(label))
+    counts = lambda o: {f"fire_count_{n}d": F.sum(label).over(o.rowsBetween(-n, -1)) for n in EVENT_WINDOWS}
+    return w.unindexed(w.bounded(out, s, counts, max(EVENT_WINDOWS)))
 
 
 def daily_features(
@@ -127,27 +131,38 @@ def daily_features(
 ) -> DataFrame:
     """The daily feature surface.
 
-    Row-wise indices come first, then every trailing window of the panel in one pass
-    over one ordering, then the unlimited windows, then the fitted tables.
+    Rows are counted once. The unlimited features of the entity share one scan, and all
+    limited windows share one ordering: the moisture and drought codes first, then the
+    lags and rolling statistics over them.
     """
-    out = comfort(add_calendar(df))
+    out = w.indexed(comfort(add_calendar(df)), s)
     t, h, wind, r = inputs(out)
-    out = w.bounded(out, s, lambda o: index_windows(o, t, h, r), 29)
-    out = _derived_indices(out, t, h, wind, r)
-    out = w.streak(out, r < 0.1, "dry_days_streak", s)
+    events = history and LABEL in out.columns
+    trails = [w.streak_trail(r < 0.1, "dry_days_streak")]
+    if events:
+        trails += event_trails(LABEL)
+        out = w.unlimited(out, s, [w.mean_trail(LABEL, "city_month_fire_rate")], within=["Month"])
+    out = w.unlimited(out, s, trails)
     names = [c for c in lagged if c in out.columns] + ["FWI_proxy", "VPD_kPa", "dry_days_streak"]
 
-    def build(o):
+    def codes(o):
+        return index_windows(o, t, h, r)
+
+    def indices(o):
+        return derived_indices(t, h, wind, r)
+
+    def trailing(o):
         made = {**w.lag_columns(o, names, DAILY_LAGS), **w.rolling_columns(o, names, DAILY_WINDOWS)}
         if R in out.columns:
             made["Rain_roll30_sum"] = F.sum(R).over(o.rowsBetween(-30, -1))
+        if events:
+            made.update({f"fire_count_{n}d": F.sum(LABEL).over(o.rowsBetween(-n, -1)) for n in EVENT_WINDOWS})
         return made
 
-    out = w.bounded(out, s, build, max(*DAILY_LAGS, *DAILY_WINDOWS))
+    reach = 29 + max(*DAILY_LAGS, *DAILY_WINDOWS, *(EVENT_WINDOWS if events else ()))
+    out = w.unindexed(w.bounded(out, s, [codes, indices, trailing], reach))
     out = extreme_weather(out, fitted.thresholds, s)
     out = anomalies(out, fitted.climatology, s)
-    if history and LABEL in out.columns:
-        out = event_history(out, s)
     if static is not None:
         out = dimension(out, static, list(s.entity))
     ndvi = first_present(out, ["NDVI"], 0.0)
