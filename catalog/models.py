@@ -1 +1,236 @@
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from catalog.base import cols, finish, query, table
+from catalog.metrics import BOARD, PRED, RANK, predictions
+from chronopanel.models import calibrate, ensemble, folds, training as t
+from chronopanel.operators import metrics, stats
+from chronopanel.session import scratch
+from chronopanel.sources import bundle
+
+X = ("l_quantity", "l_extendedprice", "l_discount", "l_tax", "late")
+KEY = ("l_orderkey", "l_linenumber")
+LI = """
+li AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax,
+  (CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) * 0.3 + ((l_orderkey * 7 + l_partkey * 13) % 100) / 100.0 AS late,
+  CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS y, CAST(l_shipdate AS DATE) AS Date FROM lineitem)"""
+
+
+def matrix(spark, sf):
+    y = (F.col("l_returnflag") == "R").cast("int")
+    late = y * 0.3 + ((F.col("l_orderkey") * 7 + F.col("l_partkey") * 13) % 100) / 100.0
+    return table(spark, sf, "lineitem").select(
+        *KEY, "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", late.alias("late"), y.alias("y"), F.to_date("l_shipdate").alias("Date")
+    )
+
+
+def split(spark, sf):
+    """Train, validation and test rows by ship date."""
+    df = matrix(spark, sf)
+    a, b = (F.lit(d).cast("date") for d in ("1999-06-01", "2000-06-01"))
+    return df.filter(F.col("Date") < a), df.filter((F.col("Date") >= a) & (F.col("Date") < b)), df.filter(F.col("Date") >= b)
+
+
+@query(
+    "m1_low_variance",
+    f"WITH {LI}, f AS (" + " UNION ALL ".join(f"SELECT '{c}' AS variable, stddev_samp({c}) AS std, CAST(stddev_samp({c}) < 0.025 AS INT) AS dropped FROM li" for c in X) + f") SELECT {cols(key='variable', int_='dropped', num='std')} FROM f",
+)
+def m1_low_variance(spark, sf):
+    return finish(stats.low_variance(matrix(spark, sf), X, 0.025))
+
+
+@query("m2_correlation_prune")
+def m2_correlation_prune(spark, sf):
+    df = matrix(spark, sf).withColumns({"price_copy": F.col("l_extendedprice") * 2 + 1, "noise": F.col("l_tax") * 0.01 + F.col("late")})
+    names = [*X, "price_copy", "noise"]
+    gone = stats.prune_correlated(df, names, "y")
+    kept = F.array(*[F.struct(F.lit(c).alias("feature"), F.lit(int(c in gone)).alias("dropped")) for c in names])
+    return df.agg(F.count(F.lit(1)).alias("rows")).select("rows", F.explode(kept).alias("r")).select("rows", "r.*")
+
+
+@query(
+    "m3_class_weights",
+    f"WITH {LI}, c AS (SELECT y, count(*) AS n FROM li GROUP BY 1), f AS (SELECT y, n, (SELECT sum(n) FROM c) / (n * 2.0) AS weight FROM c) SELECT {cols(int_='y n', num='weight')} FROM f",
+)
+def m3_class_weights(spark, sf):
+    out = t.balanced_weights(matrix(spark, sf)).groupBy("y").agg(F.count(F.lit(1)).alias("n"), F.max("weight").alias("weight"))
+    return finish(out)
+
+
+@query(
+    "m3_imbalance",
+    f"WITH {LI}, f AS (SELECT sum(1 - y) AS negatives, sum(y) AS positives, least(sum(1 - y) * 1.0 / sum(y), 20) AS ratio FROM li) SELECT {cols(int_='negatives positives', num='ratio')} FROM f",
+)
+def m3_imbalance(spark, sf):
+    return finish(t.imbalance(matrix(spark, sf), cap=20))
+
+
+def report(spark, sf, models, oversampled=0):
+    """Fit on train, score the test rows, one leaderboard row per model."""
+    train, _, test = split(spark, sf)
+    if oversampled:
+        train = t.oversample(train, oversampled)
+    fitted = t.fit_all(models, train)
+    scores = t.score_all(fitted, test, [*KEY, "y"]).withColumn("yhat", (F.col("p") >= 0.5).cast("int"))
+    return finish(metrics.leaderboard(scores), "model", "recall", "precision", "f1", "pr_auc", "roc_auc")
+
+
+@query("m4_impute_scale")
+def m4_impute_scale(spark, sf):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.functions import vector_to_array
+
+    df = matrix(spark, sf).withColumn("l_tax", F.when(F.col("l_tax") > 0.01, F.col("l_tax")))
+    out = Pipeline(stages=t.prepare(X, scaled=True)).fit(df).transform(df).select(vector_to_array("features").alias("v"))
+    aggs = [f(F.col("v")[i]).alias(f"{n}_{c}") for i, c in enumerate(X) for n, f in (("mean", F.avg), ("std", F.stddev_samp))]
+    return finish(out.agg(*aggs))
+
+
+@query("m5_logistic")
+def m5_logistic(spark, sf):
+    return report(spark, sf, {"LogisticRegression": t.logistic(X, maxIter=50)})
+
+
+@query("m6_forests")
+def m6_forests(spark, sf):
+    return report(
+        spark,
+        sf,
+        {
+            "RandomForest": t.forest(X, numTrees=12, maxDepth=6),
+            "ExtraTrees": t.forest(X, **{**t.EXTRA, "numTrees": 12, "maxDepth": 7}),
+            "BalancedRF": t.forest(X, **{**t.BALANCED, "numTrees": 12, "maxDepth": 6}),
+        },
+    )
+
+
+@query("m7_boosted")
+def m7_boosted(spark, sf):
+    """Boosted trees that stop early on the validation rows."""
+    train, val, test = split(spark, sf)
+    both = train.withColumn("held", F.lit(False)).unionByName(val.withColumn("held", F.lit(True)))
+    fitted = t.fit_all({"XGBoost": t.boosted(X, "held", **{**t.BOOSTED["XGBoost"], "maxIter": 6, "maxDepth": 4})}, both)
+    scores = t.score_all(fitted, test, ["y"]).withColumn("yhat", (F.col("p") >= 0.5).cast("int"))
+    return finish(metrics.leaderboard(scores), "model", "recall", "precision", "f1", "pr_auc", "roc_auc")
+
+
+@query("m8_neural")
+def m8_neural(spark, sf):
+    return report(spark, sf, {"MLP_Neural": t.neural(X, (16, 8), maxIter=20)}, oversampled=2)
+
+
+@query("m9_search")
+def m9_search(spark, sf):
+    train, val, _ = split(spark, sf)
+    space = {"numTrees": ("int", 4, 8), "maxDepth": ("int", 2, 5)}
+    _, tried = t.search(lambda **kw: t.forest(X, **kw), t.draw(space, 3), train, val)
+    rows = F.array(*[F.struct(F.lit(p["numTrees"]).alias("trees"), F.lit(p["maxDepth"]).alias("depth"), F.lit(v).alias("value")) for p, v in tried])
+    return finish(val.agg(F.count(F.lit(1)).alias("rows")).select("rows", F.explode(rows).alias("r")).select("rows", "r.*"))
+
+
+@query(
+    "m10_soft_vote",
+    f"WITH {PRED}, f AS (SELECT event_id, avg(p) AS p FROM pred WHERE model IN ('a', 'b') GROUP BY 1) SELECT {cols(key='event_id', num='p')} FROM f",
+)
+def m10_soft_vote(spark, sf):
+    return finish(ensemble.soft_vote(predictions(spark, sf), ["event_id"], members=("a", "b")))
+
+
+@query("m11_stacking")
+def m11_stacking(spark, sf):
+    train, _, test = split(spark, sf)
+    bases = {"forest": t.forest(X, numTrees=4, maxDepth=4), "linear": t.logistic(X, maxIter=20)}
+    stack = ensemble.Stack(bases, KEY, folds=2).fit(train)
+    scores = stack.score(test, [*KEY, "y"]).withColumn("model", F.lit("stack")).withColumn("yhat", (F.col("p") >= 0.5).cast("int"))
+    return finish(metrics.leaderboard(scores), "model", "recall", "precision", "f1", "pr_auc", "roc_auc")
+
+
+WEIGHTS = """med AS (SELECT quantile_cont(recall, 0.5) AS mr, quantile_cont(precision, 0.5) AS mp FROM board),
+  rl AS (SELECT board.model, pr_auc, CASE WHEN recall >= mr AND precision < mp THEN 'recall' WHEN precision >= mp AND recall < mr THEN 'precision' ELSE 'balanced' END AS role FROM board, med),
+  rw AS (SELECT model, role, (CASE role WHEN 'recall' THEN 2.0 WHEN 'precision' THEN 1.0 ELSE 1.5 END) * (0.5 + pr_auc) AS w FROM rl),
+  wt AS (SELECT model, role, w / (SELECT sum(w) FROM rw) AS weight FROM rw)"""
+
+
+def role_board(spark, sf):
+    p = predictions(spark, sf)
+    return p, metrics.leaderboard(p)
+
+
+@query("m12_role_weights", f"WITH {PRED}, {RANK}, {BOARD}, {WEIGHTS} SELECT {cols(key='model role', num='weight')} FROM wt")
+def m12_role_weights(spark, sf):
+    return finish(ensemble.role_weights(role_board(spark, sf)[1]))
+
+
+@query(
+    "m12_role_blend",
+    f"""WITH {PRED}, {RANK}, {BOARD}, {WEIGHTS}, b AS (SELECT event_id, sum(weight * p) AS b, avg(CASE WHEN p > 0.15 THEN 1.0 ELSE 0.0 END) AS votes, max(CASE WHEN role = 'recall' THEN p END) AS sure FROM pred JOIN wt ON pred.model = wt.model GROUP BY 1),
+    bq AS (SELECT *, CASE WHEN votes >= 0.6 THEN least(b * 1.10, 1.0) ELSE b END AS q FROM b), f AS (SELECT event_id, CASE WHEN sure > 0.5 THEN greatest(q, 0.10) ELSE q END AS p FROM bq)
+    SELECT {cols(key='event_id', num='p')} FROM f""",
+)
+def m12_role_blend(spark, sf):
+    p, board = role_board(spark, sf)
+    return finish(ensemble.role_blend(p, ensemble.role_weights(board), ["event_id"]))
+
+
+@query("m13_isotonic")
+def m13_isotonic(spark, sf):
+    p = predictions(spark, sf).filter("model = 'b'")
+    model = calibrate.fit_isotonic(p.filter("split = 'train'"))
+    return finish(calibrate.apply(model, p.filter("split = 'test'")), "event_id", "y", "p")
+
+
+@query("m13_keep_calibrated")
+def m13_keep_calibrated(spark, sf):
+    p = predictions(spark, sf).filter("model = 'b'")
+    model = calibrate.fit_isotonic(p.filter("split = 'train'"))
+    test = p.filter("split = 'test'")
+    return finish(calibrate.keep_calibrated(test, calibrate.apply(model, test)))
+
+
+@query("s14_m14_bundle_scoring")
+def s14_m14_bundle_scoring(spark, sf):
+    """Fit, calibrate, save, load, score."""
+    train, val, test = split(spark, sf)
+    fitted = t.fit_all({"f": t.forest(X, numTrees=5, maxDepth=4)}, train)["f"]
+    cal = calibrate.fit_isotonic(t.score(fitted, val, ["y"]))
+    path = scratch(spark, "bundle")
+    bundle.save(bundle.Bundle("RandomForest", fitted, 0.44, list(X), cal), path, spark)
+    return finish(bundle.score(bundle.load(path, spark), test, list(KEY)))
+
+
+@query("m15_importance")
+def m15_importance(spark, sf):
+    """Native importances beside the spread of each feature."""
+    train, _, _ = split(spark, sf)
+    fitted = t.fit_all({"f": t.forest(X, numTrees=5, maxDepth=4)}, train)["f"]
+    return finish(t.importances(fitted, X).join(stats.low_variance(train, X).withColumnRenamed("variable", "feature"), "feature"), "feature", "importance", "std")
+
+
+@query("m16_permutation")
+def m16_permutation(spark, sf):
+    train, val, _ = split(spark, sf)
+    fitted = t.fit_all({"f": t.forest(X, numTrees=5, maxDepth=4)}, train)["f"]
+    # order lines repeat a key, so the permutation key takes part and supplier too
+    return finish(t.permutation_importance(fitted, val, X, [*KEY, "l_partkey", "l_suppkey"]))
+
+
+@query(
+    "m17_report_data",
+    f"""WITH {PRED}, f AS (SELECT model, y, yhat, count(*) AS n FROM predh GROUP BY ALL) SELECT {cols(key='model', int_='y yhat n')} FROM f""",
+)
+def m17_report_data(spark, sf):
+    c = metrics.confusion(predictions(spark, sf), by=["model"])
+    cells = F.array(*[F.struct(F.lit(y).alias("y"), F.lit(h).alias("yhat"), F.col(n).alias("n")) for n, y, h in (("tp", 1, 1), ("fp", 0, 1), ("tn", 0, 0), ("fn", 1, 0))])
+    return finish(c.select("model", F.explode(cells).alias("r")).select("model", "r.*").filter("n > 0"))
+
+
+@query(
+    "m18_folds",
+    "WITH e AS (SELECT event_id, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS y FROM events), "
+    "f AS (SELECT event_id, y, (row_number() OVER (PARTITION BY y ORDER BY md5(event_id || '|42'), event_id) - 1) % 5 AS fold FROM e) "
+    f"SELECT {cols(key='event_id', int_='y fold')} FROM f",
+)
+def m18_folds(spark, sf):
+    df = table(spark, sf, "events").select("event_id", (F.col("event_type") == "error").cast("int").alias("y"))
+    return finish(folds.stratified_folds(df, "y", ["event_id"]))
