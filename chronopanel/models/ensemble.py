@@ -8,7 +8,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from chronopanel.models.folds import stratified_folds
-from chronopanel.models.training import LABEL, balanced_weights, score
+from chronopanel.models.training import LABEL, balanced_weights, score, spread
 from chronopanel.operators.quantiles import quantiles
 
 
@@ -68,7 +68,7 @@ class Stack:
         return VectorAssembler(inputCols=list(self.bases), outputCol="features")
 
     def fit(self, train: DataFrame) -> "Stack":
-        rows = stratified_folds(balanced_weights(train), LABEL, self.keys, self.folds).persist()
+        rows = spread(stratified_folds(balanced_weights(train), LABEL, self.keys, self.folds)).persist()
         try:
             oof = None
             for f in range(self.folds):

@@ -111,13 +111,53 @@ def candidates(names, validation=None) -> dict[str, Pipeline]:
     return out
 
 
+def spread(df: DataFrame, keys=()) -> DataFrame:
+    """At least one partition per core, for iterative fits over few input files.
+
+    Rows go by a hash of their values, so a recomputed partition holds the same rows.
+    """
+    n = df.sparkSession.sparkContext.defaultParallelism
+    if len(df.inputFiles()) >= n:
+        return df
+    return df.repartition(n, *[F.xxhash64(*(keys or df.columns))])
+
+
+def _preparation(pipeline: Pipeline):
+    """Stages before the learner, and a key equal for equal preparations."""
+    stages = pipeline.getStages()[:-1]
+    key = tuple((type(s).__name__, str(sorted((p.name, str(v)) for p, v in s.extractParamMap().items()))) for s in stages)
+    return stages, key
+
+
 def fit_all(models: dict, train: DataFrame) -> dict[str, PipelineModel]:
-    """Fit each model on the weighted rows, held in memory or on disk between fits."""
-    rows = balanced_weights(train).persist()
+    """Fit each model on the weighted rows.
+
+    Models with the same preparation share its fit and its output, which stays in memory
+    or on disk while they train.
+    """
+    rows = spread(balanced_weights(train))
+    prepared: dict = {}
+    out = {}
     try:
-        return {name: m.fit(rows) for name, m in models.items()}
+        for name, m in models.items():
+            stages, key = _preparation(m)
+            if key not in prepared:
+                fitted = Pipeline(stages=stages).fit(rows)
+                kept = [c for c in (LABEL, WEIGHT, _indicator(m)) if c in rows.columns]
+                ready = fitted.transform(rows).select("features", *kept).persist()
+                prepared[key] = (fitted, ready)
+            fitted, ready = prepared[key]
+            out[name] = PipelineModel([*fitted.stages, m.getStages()[-1].fit(ready)])
     finally:
-        rows.unpersist()
+        for _, ready in prepared.values():
+            ready.unpersist()
+    return out
+
+
+def _indicator(m: Pipeline):
+    learner = m.getStages()[-1]
+    p = "validationIndicatorCol"
+    return learner.getOrDefault(p) if learner.hasParam(p) and learner.isSet(p) else None
 
 
 def probability(scored: DataFrame, name="p") -> DataFrame:
@@ -182,7 +222,7 @@ def search(build, trials, train: DataFrame, val: DataFrame, objective=None, para
     The first trial wins a tie. Trials run as concurrent Spark jobs.
     """
     objective = objective or AveragePrecision().evaluate
-    rows, held = balanced_weights(train).persist(), val.persist()
+    rows, held = spread(balanced_weights(train)).persist(), spread(val).persist()
 
     def one(params):
         model = build(**params).fit(rows)
@@ -218,16 +258,20 @@ def importances(model: PipelineModel, names) -> DataFrame:
 def permutation_importance(model: PipelineModel, df: DataFrame, names, keys, label=LABEL, seed=SEED) -> DataFrame:
     """Loss of average precision when a feature's values come from other rows.
 
-    One shuffled self-join serves all features; scores of all variants go through one
-    metric aggregation.
+    One shuffled self-join serves all features; every variant is scored in the same pass
+    over the rows, and one metric aggregation takes them all.
     """
     from chronopanel.models.folds import permuted
 
-    base = permuted(df.select(*keys, label, *names), names, keys, seed)
-    scores = score(model, base, [label]).withColumn("feature", F.lit(""))
+    rows = permuted(df.select(*keys, label, *names), names, keys, seed)
+    rows = score(model, rows, rows.columns, "_full")
     for c in names:
-        swapped = base.withColumn(c, F.col(f"{c}__p"))
-        scores = scores.unionByName(score(model, swapped, [label]).withColumn("feature", F.lit(c)))
+        swapped = rows.withColumns({c: F.col(f"{c}__p"), f"{c}__p": F.col(c)})
+        rows = score(model, swapped, swapped.columns, f"_s_{c}")
+        rows = rows.withColumns({c: F.col(f"{c}__p"), f"{c}__p": F.col(c)})
+    variants = [("", "_full"), *[(c, f"_s_{c}") for c in names]]
+    pairs = F.array(*[F.struct(F.lit(n).alias("feature"), F.col(p).alias("p")) for n, p in variants])
+    scores = rows.select(label, F.explode(pairs).alias("_r")).select(label, "_r.*")
     ap = metrics.ranking(scores, label, "p", ["feature"])
     full = ap.filter("feature = ''").select(F.col("pr_auc").alias("_full"))
     drop = F.col("_full") - F.col("pr_auc")

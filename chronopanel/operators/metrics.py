@@ -50,12 +50,17 @@ def by_threshold(df: DataFrame, y="y", p="p", by=(), blocks=64) -> DataFrame:
     no task sees the whole curve.
     """
     by = list(by)
+    known = F.col(p).isNotNull() & F.col(y).isNotNull()
+    for c in by:
+        known = known & F.col(c).isNotNull()
+    # every later step reads all four columns, so the shuffle of this table is made once
     scores = (
-        df.filter(F.col(p).isNotNull() & F.col(y).isNotNull())
+        df.filter(known)
         .groupBy(*by, F.col(p).alias("threshold"))
         .agg(F.count(F.lit(1)).alias("n"), F.sum(y).cast("long").alias("pos"))
     )
-    blocked = balanced_blocks(scores, by, "threshold", blocks)
+    totals = {"rows": F.sum("n"), "positives": F.sum("pos")}
+    blocked = balanced_blocks(scores, by, "threshold", blocks, totals=totals)
     cum = running(
         blocked,
         by,
@@ -63,10 +68,8 @@ def by_threshold(df: DataFrame, y="y", p="p", by=(), blocks=64) -> DataFrame:
         "threshold",
         [Prefix("above", "sum", F.col("n")), Prefix("tp", "sum", F.col("pos"))],
         descending=True,
-    ).drop("_block")
-    totals = scores.groupBy(*by).agg(F.sum("n").alias("rows"), F.sum("pos").alias("positives"))
-    joined = cum.join(totals, by) if by else cum.crossJoin(F.broadcast(totals))
-    return joined.withColumn("fp", F.col("above") - F.col("tp"))
+    )
+    return cum.drop("_block").withColumn("fp", F.col("above") - F.col("tp"))
 
 
 def curves(df: DataFrame, y="y", p="p", by=()) -> DataFrame:

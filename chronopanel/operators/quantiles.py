@@ -35,59 +35,48 @@ def quantiles(df: DataFrame, by, wanted: dict, method="auto") -> DataFrame:
 
 
 def _bracketed(df, by, wanted, whole=50_000):
-    """Long form, one group per (by, wanted name). Groups under `whole` rows need no bracket."""
-    parts = F.array(
-        *[
-            F.struct(F.lit(n).alias("q"), F.lit(float(p)).alias("p"), F.col(c).cast("double").alias("v"))
-            for n, (c, p) in wanted.items()
-        ]
-    )
-    long = df.select(*by, F.explode(parts).alias("_x")).select(*by, "_x.*").filter("v is not null")
-    keys = [*by, "q"]
+    """Two passes; groups under `whole` rows need no bracket.
+
+    The first gives size and approximate neighbours of each wanted rank. The second
+    keeps the values between them and folds all smaller ones into one count, which
+    partial aggregation does before the shuffle.
+    """
     margin = 4.0 / ACCURACY
-    sizes = long.groupBy(*keys, "p").agg(F.count(F.lit(1)).alias("n"))
-    # one sketch per group serves all probabilities of a column
-    sketch = {}
+    columns: dict = {}
     for n, (c, p) in wanted.items():
-        sketch.setdefault(c, []).append((n, p))
-    brackets = []
-    for c, items in sketch.items():
+        columns.setdefault(c, []).append((n, p))
+    aggs = []
+    for i, (c, items) in enumerate(columns.items()):
         probs = [x for _, p in items for x in (max(0.0, p - margin), min(1.0, p + margin))]
-        s = df.groupBy(*by).agg(F.percentile_approx(F.col(c).cast("double"), probs, ACCURACY).alias("a"))
-        for i, (n, _) in enumerate(items):
-            brackets.append(s.select(*by, F.lit(n).alias("q"), F.col("a")[2 * i].alias("lo"), F.col("a")[2 * i + 1].alias("hi")))
-    edges = brackets[0]
-    for b in brackets[1:]:
-        edges = edges.unionByName(b)
-    open_ = F.lit(float("inf"))
-    info = sizes.join(edges, keys).withColumns(
-        {
-            "lo": F.when(F.col("n") < whole, -open_).otherwise(F.col("lo")),
-            "hi": F.when(F.col("n") < whole, open_).otherwise(F.col("hi")),
-        }
-    )
-    tagged = long.drop("p").join(info, keys)
-    below = tagged.groupBy(*keys).agg(F.count_if(F.col("v") < F.col("lo")).alias("below"))
-    inside = (
-        tagged.filter((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
-        .groupBy(*keys, "p", "n", "v")
-        .agg(F.count(F.lit(1)).alias("k"))
-        .join(below, keys)
-    )
-    upto = F.sum("k").over(W.partitionBy(*keys).orderBy("v")) + F.col("below")
-    ranked = inside.withColumn("upto", upto)
+        v = F.col(c).cast("double")
+        aggs += [F.count(v).alias(f"_n{i}"), F.percentile_approx(v, probs, ACCURACY).alias(f"_a{i}")]
+    info = df.groupBy(*by).agg(*aggs)
+    marks = []
+    for i, (c, items) in enumerate(columns.items()):
+        n, v = F.col(f"_n{i}"), F.col(c).cast("double")
+        for j, (name, p) in enumerate(items):
+            small = n < whole
+            lo, hi = F.col(f"_a{i}")[2 * j], F.col(f"_a{i}")[2 * j + 1]
+            keep = small | (v <= hi)
+            value = F.when(small | (v >= lo), v)
+            mark = F.struct(F.lit(name).alias("q"), F.lit(float(p)).alias("p"), n.alias("n"), value.alias("v"))
+            marks.append(F.when(v.isNotNull() & keep, mark))
+    # one more mark per row, folded to one row per group, keeps groups without any value
+    marks.append(F.struct(F.lit("").alias("q"), F.lit(0.0).alias("p"), F.lit(0).cast("long").alias("n"), F.lit(None).cast("double").alias("v")))
+    joined = df.join(info, by) if by else df.crossJoin(F.broadcast(info))
+    long = joined.select(*by, F.explode(F.array_compact(F.array(*marks))).alias("_x")).select(*by, "_x.*")
+    keys = [*by, "q"]
+    counted = long.groupBy(*keys, "p", "n", "v").agg(F.count(F.lit(1)).alias("k"))
+    ordered = W.partitionBy(*keys).orderBy(F.asc_nulls_first("v"))
+    ranked = counted.withColumn("upto", F.sum("k").over(ordered))
     h = (F.col("n") - 1) * F.col("p")
     at = lambda r: F.min(F.when((F.col("upto") > r) & (F.col("upto") - F.col("k") <= r), F.col("v")))
     picked = ranked.groupBy(*keys, "p", "n").agg(at(F.floor(h)).alias("a"), at(F.ceil(h)).alias("b"))
-    missed = F.raise_error(F.lit("quantile bracket missed its rank"))
-    value = F.when(
-        F.col("a").isNull() | F.col("b").isNull(), missed.cast("double")
-    ).otherwise(F.col("a") + (F.col("b") - F.col("a")) * (h - F.floor(h)))
+    missed = F.raise_error(F.lit("quantile bracket missed its rank")).cast("double")
+    between = F.col("a") + (F.col("b") - F.col("a")) * (h - F.floor(h))
+    value = F.when(F.col("q") == "", F.lit(None)).when(F.col("a").isNull() | F.col("b").isNull(), missed).otherwise(between)
     values = picked.select(*keys, value.alias("value"))
-    names = list(wanted)
-    base = df.select(*by).distinct() if by else None
-    wide = values.groupBy(*by).agg(*[F.max(F.when(F.col("q") == n, F.col("value"))).alias(n) for n in names])
-    return base.join(wide, by, "left") if by else wide
+    return values.groupBy(*by).agg(*[F.max(F.when(F.col("q") == n, F.col("value"))).alias(n) for n in wanted])
 
 
 def medians(df: DataFrame, by, names, suffix="", method="auto") -> DataFrame:

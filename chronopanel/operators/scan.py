@@ -98,15 +98,17 @@ def row_rank(df: DataFrame, group, block: str, order, name="_rank") -> DataFrame
     )
 
 
-def balanced_blocks(df: DataFrame, by, value: str, blocks=64, name="_block") -> DataFrame:
+def balanced_blocks(df: DataFrame, by, value: str, blocks=64, name="_block", totals=None) -> DataFrame:
     """Block number from approximate quantiles of the group's values.
 
-    Boundaries are at most `blocks` numbers per group. Equal values share a block,
-    so aggregate to one row per value first.
+    Boundaries are at most `blocks` numbers per group. Equal values share a block, so
+    aggregate to one row per value first. `totals` are aggregates of the whole group,
+    taken in the same pass and added to every row.
     """
     by = list(by)
     probs = [i / blocks for i in range(1, blocks)]
-    bounds = df.groupBy(*by).agg(F.percentile_approx(value, probs, 2000).alias("_bounds"))
-    joined = df.join(bounds, by, "left") if by else df.crossJoin(bounds)
+    extra = [c.alias(n) for n, c in (totals or {}).items()]
+    bounds = df.groupBy(*by).agg(F.percentile_approx(value, probs, 2000).alias("_bounds"), *extra)
+    joined = df.join(bounds, by) if by else df.crossJoin(F.broadcast(bounds))
     below = F.size(F.filter("_bounds", lambda b: b < F.col(value)))
     return joined.withColumn(name, F.coalesce(below, F.lit(0))).drop("_bounds")
