@@ -188,8 +188,8 @@ def m13_keep_calibrated(spark, sf):
     return finish(calibrate.keep_calibrated(test, calibrate.apply(model, test)))
 
 
-@query("s14_m14_bundle_scoring")
-def s14_m14_bundle_scoring(spark, sf):
+@query("s14_bundle")
+def s14_bundle(spark, sf):
     """Fit, calibrate, save, load, score."""
     train, val, test = split(spark, sf)
     fitted = t.fit_all({"f": t.forest(X, numTrees=5, maxDepth=4)}, train)["f"]
@@ -199,6 +199,26 @@ def s14_m14_bundle_scoring(spark, sf):
     return finish(bundle.score(bundle.load(path, spark), test, list(KEY)))
 
 
+@query("m14_batch_scoring")
+def m14_batch_scoring(spark, sf):
+    """History to features to a model; forecast rows to features, scores and the public table."""
+    from catalog.base import long_panel
+    from chronopanel.plans import features, serve
+
+    df = long_panel(spark, sf).drop("n")
+    day = lambda d: F.lit(d).cast("date")
+    history = df.filter(F.col("Date") < day("2001-01-15"))
+    forecast = df.filter((F.col("Date") >= day("2001-01-15")) & (F.col("Date") < day("2001-02-14"))).drop("Fire_Occurred")
+    stats_of = features.fit(history)
+    train = features.daily_features(history, stats_of, lagged=("Temperature_C_mean", "Rain_mm_sum"))
+    names = ["Temperature_C_mean", "FWI_proxy", "Temperature_C_mean_lag1", "Rain_mm_sum_roll7_mean", "city_fire_rate", "temp_x_wind"]
+    fitted = t.fit_all({"f": t.forest(names, numTrees=4, maxDepth=4)}, train.select("City", "Date", *names, F.col("Fire_Occurred").alias("y")))["f"]
+    b = bundle.Bundle("RandomForest", fitted, 0.44, names)
+    ready = features.serving_features(forecast, history, stats_of)
+    public = serve.daily_table(serve.attach_scores(forecast, bundle.score(b, ready, ["City", "Date"])), b.threshold)
+    return finish(public)
+
+
 @query("m15_importance")
 def m15_importance(spark, sf):
     """Native importances beside the spread of each feature."""

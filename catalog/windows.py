@@ -279,6 +279,17 @@ def w15_coverage(spark, sf):
     return finish(w.expected_steps(hourly(spark, sf), HOUR, until), "City", "first", "last", "rows", "expected", "percent")
 
 
+@query(
+    "a11_coverage",
+    f"WITH {DAILY}, c AS (SELECT City, count(*) AS rows, min(Date) AS first, max(Date) AS last, datediff('day', min(Date), DATE '2024-01-31') + 1 AS expected FROM daily GROUP BY 1), "
+    "f AS (SELECT *, least(rows * 100.0 / expected, 100.0) AS percent FROM c) "
+    f"SELECT {cols(key='City', date='first last', int_='rows expected', num='percent')} FROM f",
+)
+def a11_coverage(spark, sf):
+    out = w.expected_steps(daily(spark, sf), DAY, F.lit("2024-01-31").cast("date"))
+    return finish(out, "City", "first", "last", "rows", "expected", "percent")
+
+
 @query(
     "w16_latest_row",
     f"WITH {DAILY}, f AS (SELECT *, row_number() OVER (PARTITION BY City ORDER BY Date DESC) AS rn FROM daily) "

@@ -13,7 +13,7 @@ def keyed_hash(keys, seed=SEED) -> Column:
     return F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.lit(str(seed))))
 
 
-def hash_rank(df: DataFrame, keys, group=(), seed=SEED, digits=2, name="_rank") -> DataFrame:
+def hash_rank(df: DataFrame, keys, group=(), seed=SEED, digits=4, name="_rank") -> DataFrame:
     """Shuffled row number per group.
 
     Hash prefixes are the blocks of the rank: they are even in size whatever the data,

@@ -43,7 +43,7 @@ def confusion(df: DataFrame, y="y", yhat="yhat", by=()) -> DataFrame:
     return base.withColumns(rates(*[F.col(c) for c in ("tp", "fp", "tn", "fn")]))
 
 
-def by_threshold(df: DataFrame, y="y", p="p", by=(), blocks=64) -> DataFrame:
+def by_threshold(df: DataFrame, y="y", p="p", by=(), blocks=128) -> DataFrame:
     """One row per distinct score: rows with it, and how many are at or above it.
 
     Scores are aggregated first; the descending running sums go block by block, so

@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 SMALL_GROUP = 2_000_000
-ACCURACY = 10_000
+ACCURACY = 100_000
+WHOLE = 250_000
 
 
 def largest_group(df: DataFrame, by) -> int:
@@ -34,14 +35,14 @@ def quantiles(df: DataFrame, by, wanted: dict, method="auto") -> DataFrame:
     return _bracketed(df, by, wanted)
 
 
-def _bracketed(df, by, wanted, whole=50_000):
+def _bracketed(df, by, wanted, whole=WHOLE, accuracy=ACCURACY):
     """Two passes; groups under `whole` rows need no bracket.
 
     The first gives size and approximate neighbours of each wanted rank. The second
     keeps the values between them and folds all smaller ones into one count, which
     partial aggregation does before the shuffle.
     """
-    margin = 4.0 / ACCURACY
+    margin = 4.0 / accuracy
     columns: dict = {}
     for n, (c, p) in wanted.items():
         columns.setdefault(c, []).append((n, p))
@@ -49,7 +50,7 @@ def _bracketed(df, by, wanted, whole=50_000):
     for i, (c, items) in enumerate(columns.items()):
         probs = [x for _, p in items for x in (max(0.0, p - margin), min(1.0, p + margin))]
         v = F.col(c).cast("double")
-        aggs += [F.count(v).alias(f"_n{i}"), F.percentile_approx(v, probs, ACCURACY).alias(f"_a{i}")]
+        aggs += [F.count(v).alias(f"_n{i}"), F.percentile_approx(v, probs, accuracy).alias(f"_a{i}")]
     info = df.groupBy(*by).agg(*aggs)
     marks = []
     for i, (c, items) in enumerate(columns.items()):

@@ -65,7 +65,9 @@ if __name__ == "__main__":
     )
     fails = 0
     for n, fn in catalog.QUERIES.items():
-        if wanted and not any(n == x or n.startswith(x + "_") or x == "all" for x in wanted):
+        if "sql" in wanted and n not in catalog.ORACLES:
+            continue
+        if wanted and "sql" not in wanted and not any(n == x or n.startswith(x + "_") or x == "all" for x in wanted):
             continue
         t0 = time.time()
         try:
