@@ -8,6 +8,7 @@ from chronopanel.functions import columns as fc
 from chronopanel.functions import risk, weather
 from chronopanel.plans import features
 from chronopanel.schema import BOUNDS
+from chronopanel.session import stage
 
 T, H, W, R = "Temperature_C_mean", "Humidity_percent_mean", "Wind_Speed_kmh_mean", "Rain_mm_sum"
 
@@ -122,7 +123,7 @@ FLAGS = "heatwave_flag low_humidity_flag high_wind_flag dry_spell_flag hot_dry_w
     SELECT {cols(key='City', date='Date', int_=FLAGS)} FROM g""",
 )
 def f8_extreme_flags(spark, sf):
-    df = daily(spark, sf)
+    df = stage(daily(spark, sf))
     return finish(features.extreme_weather(df, features.fit_thresholds(df)), "City", "Date", *FLAGS.split())
 
 

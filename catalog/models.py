@@ -6,7 +6,7 @@ from catalog.base import cols, finish, query, table
 from catalog.metrics import BOARD, PRED, RANK, predictions
 from chronopanel.models import calibrate, ensemble, folds, training as t
 from chronopanel.operators import metrics, stats
-from chronopanel.session import scratch
+from chronopanel.session import scratch, stage
 from chronopanel.sources import bundle
 
 X = ("l_quantity", "l_extendedprice", "l_discount", "l_tax", "late")
@@ -205,7 +205,7 @@ def m14_batch_scoring(spark, sf):
     from catalog.base import long_panel
     from chronopanel.plans import features, serve
 
-    df = long_panel(spark, sf).drop("n")
+    df = stage(long_panel(spark, sf).drop("n"))
     day = lambda d: F.lit(d).cast("date")
     history = df.filter(F.col("Date") < day("2001-01-15"))
     forecast = df.filter((F.col("Date") >= day("2001-01-15")) & (F.col("Date") < day("2001-02-14"))).drop("Fire_Occurred")

@@ -7,6 +7,7 @@ from catalog.functions import colour_sql, fwi_sql, summary_sql, tier_sql, warnin
 from chronopanel.functions import columns, risk
 from chronopanel.operators import aggregate, windows as w
 from chronopanel.plans import features, serve
+from chronopanel.session import stage
 
 T, H, W, R = "Temperature_C_mean", "Humidity_percent_mean", "Wind_Speed_kmh_mean", "Rain_mm_sum"
 
@@ -90,7 +91,7 @@ def panel_of_days(spark, sf):
 
 def risk_by_day(spark, sf):
     """Daily panel, indices and dry streak, an index-driven probability, the public table."""
-    df = w.indexed(panel_of_days(spark, sf), w.DAILY)
+    df = w.indexed(stage(panel_of_days(spark, sf)), w.DAILY)
     _, _, _, r = features.inputs(df)
     df = w.streak(df, r < 0.1, "dry_days_streak")
     df = features.fire_weather_indices(df)
@@ -140,7 +141,7 @@ FEATURES = f"{T}_lag1 {T}_lag30 {T}_roll30_mean {R}_roll7_std FWI_proxy_lag7 VPD
 )
 def feature_surface(spark, sf):
     """The whole daily feature plan; a few of its columns are compared."""
-    df = daily(spark, sf)
+    df = stage(daily(spark, sf))
     fitted = features.fit(df.filter(F.col("Date") < F.lit("2024-01-20").cast("date")))
     return finish(features.daily_features(df, fitted), "City", "Date", *FEATURES.split())
 

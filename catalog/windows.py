@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from catalog.base import DAILY, HOURLY, LONG, cols, daily, finish, hourly, long_panel, query
 from chronopanel.operators import windows as w
 from chronopanel.operators.repair import dedupe
+from chronopanel.session import stage
 
 DAY = w.DAILY
 HOUR = w.HOURLY
@@ -124,7 +125,7 @@ def w5_event_counts(spark, sf):
     f"SELECT {cols(key='City', date='Date', int_='dry_days_streak')} FROM c",
 )
 def w6_dry_streak(spark, sf):
-    out = w.streak(daily(spark, sf), F.col("Rain_mm_sum") < 0.1, "dry_days_streak", DAY)
+    out = w.streak(stage(daily(spark, sf)), F.col("Rain_mm_sum") < 0.1, "dry_days_streak", DAY)
     return finish(out, "City", "Date", "dry_days_streak")
 
 
@@ -135,7 +136,7 @@ def w6_dry_streak(spark, sf):
     f"SELECT {cols(key='City', date='Date', int_='days_since_last_fire')} FROM b",
 )
 def w7_days_since(spark, sf):
-    out = w.rows_since(daily(spark, sf), F.col("Fire_Occurred") == 1, "days_since_last_fire", DAY)
+    out = w.rows_since(stage(daily(spark, sf)), F.col("Fire_Occurred") == 1, "days_since_last_fire", DAY)
     return finish(out, "City", "Date", "days_since_last_fire")
 
 
@@ -147,9 +148,9 @@ def w7_days_since(spark, sf):
     f"SELECT {cols(key='City', date='Date', num='city_fire_rate city_month_fire_rate')} FROM b",
 )
 def w8_prior_rate(spark, sf):
-    df = long_panel(spark, sf).withColumn("Month", F.month("Date"))
-    out = w.expanding_mean(df, "Fire_Occurred", "city_fire_rate", DAY)
-    out = w.expanding_mean(out, "Fire_Occurred", "city_month_fire_rate", DAY, within=["Month"])
+    df = stage(long_panel(spark, sf).withColumn("Month", F.month("Date")))
+    out = w.unlimited(w.indexed(df, DAY), DAY, [w.mean_trail("Fire_Occurred", "city_fire_rate")])
+    out = w.unlimited(out, DAY, [w.mean_trail("Fire_Occurred", "city_month_fire_rate")], within=["Month"])
     return finish(out, "City", "Date", "city_fire_rate", "city_month_fire_rate")
 
 
@@ -320,8 +321,8 @@ def w17_every_nth_date(spark, sf):
 )
 def p13_fill(spark, sf):
     rain = F.when(F.col("Rain_mm") > 0, F.col("Rain_mm"))
-    df = hourly(spark, sf).select("City", "Timestamp", rain.alias("forward"), rain.alias("filled"))
-    out = w.fill(df, ["filled"], HOUR, leak_free=False)
+    df = stage(hourly(spark, sf).select("City", "Timestamp", rain.alias("forward"), rain.alias("filled")))
+    out = w.fill(w.indexed(df, HOUR), ["filled"], HOUR, leak_free=False)
     return finish(w.fill(out, ["forward"], HOUR), "City", "Timestamp", "forward", "filled")
 
 

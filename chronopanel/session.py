@@ -1,4 +1,4 @@
-"""Session defaults and lineage cuts."""
+"""Session defaults, the shared folder, lineage cuts."""
 
 from __future__ import annotations
 
@@ -45,10 +45,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the shared folder."""
-    spark = df.sparkSession
-    folder = shared_folder(spark)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+def stage(df: DataFrame, name="stage") -> DataFrame:
+    """Cut lineage with a written table in the shared folder.
+
+    Operators that look at a panel more than once (row counts, totals per chunk) then
+    scan a small columnar table instead of repeating the aggregation behind it, and a
+    lost executor costs no recomputation of it.
+    """
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
