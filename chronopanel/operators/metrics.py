@@ -112,26 +112,20 @@ def sweep(df: DataFrame, y="y", p="p", by=(), grid=SWEEP_GRID) -> DataFrame:
     interval give the counts at or above each threshold.
     """
     by = list(by)
-    spark = df.sparkSession
     splits = [float("-inf"), *grid, float("inf")]
-    bucketed = Bucketizer(splits=splits, inputCol="_p", outputCol="_b", handleInvalid="skip").transform(
-        df.select(*by, F.col(y).alias("_y"), F.col(p).cast("double").alias("_p")).dropna()
-    )
+    rows = df.select(*by, F.col(y).alias("_y"), F.col(p).cast("double").alias("_p")).dropna()
+    bucketed = Bucketizer(splits=splits, inputCol="_p", outputCol="_b", handleInvalid="skip").transform(rows)
     hist = bucketed.groupBy(*by, F.col("_b").cast("int").alias("_b")).agg(
         F.count(F.lit(1)).alias("_n"), F.sum("_y").cast("long").alias("_pos")
     )
-    points = spark.createDataFrame([(i + 1, t) for i, t in enumerate(grid)], "_g int, threshold double")
     totals = hist.groupBy(*by).agg(F.sum("_n").alias("rows"), F.sum("_pos").alias("positives"))
-    base = totals.crossJoin(F.broadcast(points))
-    # (groups x grid) against (groups x intervals): bounded by the grid length squared per group
-    on = [F.col("h." + c).eqNullSafe(F.col("b." + c)) for c in by] + [F.col("h._b") >= F.col("b._g")]
-    cond = on[0]
-    for x in on[1:]:
-        cond = cond & x
-    joined = base.alias("b").join(hist.alias("h"), cond, "left")
-    counts = joined.groupBy(*[F.col(f"b.{c}").alias(c) for c in by], "threshold", "rows", "positives").agg(
-        F.coalesce(F.sum("_n"), F.lit(0)).alias("_above"), F.coalesce(F.sum("_pos"), F.lit(0)).alias("tp")
-    )
+    # interval i starts at the i-th threshold; every group gets every threshold
+    points = F.explode(F.array(*[F.struct(F.lit(i + 1).alias("_b"), F.lit(t).alias("threshold")) for i, t in enumerate(grid)]))
+    every = totals.withColumn("_g", points).select(*by, "rows", "positives", "_g.*")
+    right = W.partitionBy(*by).orderBy(F.desc("_b")).rowsBetween(W.unboundedPreceding, 0)
+    upward = lambda c: F.sum(F.coalesce(F.col(c), F.lit(0))).over(right)
+    counts = every.join(hist, [*by, "_b"], "left").withColumns({"_above": upward("_n"), "tp": upward("_pos")})
+    counts = counts.drop("_b", "_n", "_pos")
     fp, fn = F.col("_above") - F.col("tp"), F.col("positives") - F.col("tp")
     out = counts.withColumns({"fp": fp, "fn": fn, "tn": F.col("rows") - F.col("positives") - fp})
     out = out.withColumns(rates(*[F.col(c) for c in ("tp", "fp", "tn", "fn")]))
