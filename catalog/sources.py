@@ -123,7 +123,7 @@ APPENDED = f"WITH {DAILY} SELECT {cols(key='City', date='Date', num=f'{T} {R}')}
 
 @query("s11_append_new", APPENDED)
 def s11_append_new(spark, sf):
-    """Corrections to stored days are not taken, as in the reference behaviour."""
+    """Corrections to stored days are not taken; s11_upsert takes them."""
     path = scratch(spark, "append")
     df = small_daily(spark, sf)
     writers.append(df.filter(F.col("Date") <= F.lit(CUT).cast("date")), path)

@@ -10,6 +10,24 @@ from chronopanel.functions.columns import clip, round_even
 from chronopanel.schema import TIER_COLOURS, TIERS
 
 
+# Published phrases and the weather bounds they stand for.
+PHRASES = {
+    "hot": "hot conditions",
+    "cool": "cool conditions",
+    "mild": "mild temperatures",
+    "wind": "strong wind",
+    "dry": "dry air",
+    "rain": "recent rainfall",
+}
+WARNINGS = {
+    "risk": "High temperature, dry air, and wind can accelerate wildfire spread.",
+    "wind": "Wind is elevated, so small ignitions could spread faster.",
+    "dry": "Low humidity can dry vegetation and raise ignition sensitivity.",
+    "none": "Current conditions suggest limited short-term wildfire pressure.",
+}
+HOT_C, COOL_C, WINDY_KMH, DRY_PERCENT, WET_MM = 28, 12, 18, 40, 2
+
+
 def tier(p: Column, closed="left", tiers=TIERS) -> Column:
     """Tier name. closed='left' puts a bound into the upper tier, 'right' into the lower."""
     if closed not in ("left", "right"):
@@ -43,20 +61,20 @@ def climate_summary(t: Column, w: Column, h: Column, r: Column) -> Column:
     """One sentence from the conditions that hold."""
     parts = F.concat_ws(
         ", ",
-        F.when(t >= 28, "hot conditions").when(t <= 12, "cool conditions").otherwise("mild temperatures"),
-        F.when(w >= 18, "strong wind"),
-        F.when(h <= 40, "dry air"),
-        F.when(r >= 2, "recent rainfall"),
+        F.when(t >= HOT_C, PHRASES["hot"]).when(t <= COOL_C, PHRASES["cool"]).otherwise(PHRASES["mild"]),
+        F.when(w >= WINDY_KMH, PHRASES["wind"]),
+        F.when(h <= DRY_PERCENT, PHRASES["dry"]),
+        F.when(r >= WET_MM, PHRASES["rain"]),
     )
     return F.concat(F.upper(F.left(parts, F.lit(1))), F.substring(parts, 2, 200), F.lit("."))
 
 
 def warning_text(level: Column, w: Column, h: Column) -> Column:
     return (
-        F.when(level.isin("High", "Extreme"), "High temperature, dry air, and wind can accelerate wildfire spread.")
-        .when(w >= 18, "Wind is elevated, so small ignitions could spread faster.")
-        .when(h <= 40, "Low humidity can dry vegetation and raise ignition sensitivity.")
-        .otherwise("Current conditions suggest limited short-term wildfire pressure.")
+        F.when(level.isin("High", "Extreme"), WARNINGS["risk"])
+        .when(w >= WINDY_KMH, WARNINGS["wind"])
+        .when(h <= DRY_PERCENT, WARNINGS["dry"])
+        .otherwise(WARNINGS["none"])
     )
 
 
