@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from chronopanel.llm import bpe, decontaminate, exact, language, simhash
+from chronopanel.llm import bpe, decontaminate, exact, extract, language, quality, shards, simhash, urls, warc
 from chronopanel.llm.common import table
 
 QUERIES: dict = {}
@@ -22,6 +22,33 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+OP1 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages),
+d AS (SELECT page_id, octet_length(encode(body)) AS payload_bytes, h, min(page_id) OVER (PARTITION BY h) AS first,
+  list_reduce(list_transform(range(0, 8), lambda k: list_reduce(list_transform(range(0, 4),
+    lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(h, CAST(5 * k + 1 AS INT), 5) AS BIGINT) >> CAST(15 - 5 * j AS INT)) & 31 AS INT) + 1, 1)),
+    lambda a, b: a || b)), lambda a, b: a || b) AS payload_digest FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to FROM d
+"""
+
+
+@query("op1_warc", OP1)
+def op1(spark, sf):
+    return warc.read(warc.archive(table(spark, sf, "pages")), payloads=False).drop("payload")
+
+
+@query("op2_quality")
+def op2(spark, sf):
+    docs = table(spark, sf, "documents")
+    return quality.classify(docs, quality.fit(docs))
+
+
+@query("op3_url_filter", urls.SQL)
+def op3(spark, sf):
+    return urls.judge(table(spark, sf, "pages")).drop("score")
+
+
 @query("op4_simhash")
 def op4(spark, sf):
     return simhash.groups(table(spark, sf, "documents")).select("doc_id", "fingerprint", "component_id")
@@ -45,6 +72,11 @@ def op6(spark, sf):
     return exact.groups(table(spark, sf, "documents")).drop("row_hash")
 
 
+@query("op7_shards")
+def op7(spark, sf):
+    return shards.shard(table(spark, sf, "documents"))
+
+
 @query("op8_language")
 def op8(spark, sf):
     docs = table(spark, sf, "documents")
@@ -67,3 +99,8 @@ def digests(encoded):
 def op9(spark, sf):
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     return digests(bpe.decode(bpe.encode(table(spark, sf, "documents"), path, pattern), path, pattern))
+
+
+@query("op10_main_text")
+def op10(spark, sf):
+    return extract.extract(table(spark, sf, "pages"))
