@@ -26,7 +26,7 @@ from chronopanel.llm.common import columns
 #: Characters of a text that are split at once; bytes of a piece that are merged at once.
 LEAF_TEXT, LEAF = 1 << 16, 6
 #: Entries of each generation of a memo; longer keys are not kept.
-MEMO, MEMO_KEY = 1 << 18, 48
+MEMO, MEMO_KEY = 1 << 17, 48
 #: Above every rank.
 NONE = 1 << 62
 
