@@ -25,8 +25,10 @@ from chronopanel.llm.common import columns
 
 #: Characters of a text that are split at once; bytes of a piece that are merged at once.
 LEAF_TEXT, LEAF = 1 << 16, 6
-#: Entries of each generation of a memo; longer keys are not kept.
-MEMO, MEMO_KEY = 1 << 17, 48
+#: Entries of a generation of the memos of units, pieces and windows; longer keys are not kept.
+UNITS, PIECES, WINDOWS, MEMO_KEY = 1 << 17, 1 << 16, 1 << 16, 48
+#: Rows encoded before they are handed on.
+ROWS = 500
 #: Above every rank.
 NONE = 1 << 62
 
@@ -47,14 +49,14 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class Memo(dict):
     """Results for the keys met last; the older of two generations goes when the younger is full."""
 
-    def __init__(self, make):
+    def __init__(self, make, size: int):
         super().__init__()
-        self.make, self.older = make, {}
+        self.make, self.size, self.older = make, size, {}
 
     def __missing__(self, key):
         value = self.older.get(key) or self.make(key)
         if len(key) <= MEMO_KEY:
-            if len(self) >= MEMO:
+            if len(self) >= self.size:
                 self.older = dict(self)
                 self.clear()
             self[key] = value
@@ -66,7 +68,7 @@ class Codec:
         self.ranks = ranks
         self.bytes = {r: t for t, r in ranks.items()}
         self.pattern = regex.compile(pattern)
-        self.units, self.pieces, self.windows = Memo(self.unit), Memo(self.piece), Memo(self.merged)
+        self.units, self.pieces, self.windows = Memo(self.unit, UNITS), Memo(self.piece, PIECES), Memo(self.merged, WINDOWS)
 
     # -- pieces ----------------------------------------------------------------------
 
@@ -86,7 +88,8 @@ class Codec:
                 pairs[at - 1] = get(parts[at - 1] + parts[at], NONE)
             if at < len(pairs):
                 pairs[at] = get(parts[at] + parts[at + 1], NONE)
-        return parts
+        # the vocabulary's own objects, so that memos hold no copies
+        return [self.bytes[self.ranks[t]] for t in parts]
 
     def final(self, left: bytes, right: bytes) -> bool:
         return self.windows[left + right] == [left, right]
@@ -112,15 +115,15 @@ class Codec:
             if not right_done:
                 b = min(2 * b, len(right))
 
-    def piece(self, piece: str) -> list[int]:
-        """The ids of one match of the pattern; a piece that is a token is that token."""
+    def piece(self, piece: str) -> bytes:
+        """The ids of one match of the pattern, as bytes; a piece that is a token is that token."""
         data = piece.encode()
         whole = self.ranks.get(data)
-        return [whole] if whole is not None else [self.ranks[t] for t in self.tree(data)]
+        return array("I", [whole] if whole is not None else [self.ranks[t] for t in self.tree(data)]).tobytes()
 
     def unit(self, unit: str) -> bytes:
         """The ids of a text between two borders, as bytes."""
-        return b"".join([array("I", self.pieces[match]).tobytes() for match in self.pattern.findall(unit)])
+        return b"".join([self.pieces[match] for match in self.pattern.findall(unit)])
 
     # -- texts -----------------------------------------------------------------------
 
@@ -153,24 +156,30 @@ class Codec:
 CODECS: dict[tuple[str, str], Codec] = {}
 
 
-def _mapped(df: DataFrame, ranks_path: str, pattern: str, source: str, target: str, kind: str) -> DataFrame:
-    """`df` with one more binary column; the vocabulary, of fixed size, is read here and broadcast."""
+def _mapped(df: DataFrame, ranks_path: str, pattern: str, source: str, steps: tuple[tuple[str, str], ...]) -> DataFrame:
+    """`df` with a binary column for each (step, name), made from `source` and then from the last one.
+
+    The vocabulary, of fixed size, is read here and broadcast.
+    """
     ranks = df.sparkSession.sparkContext.broadcast(load_ranks(ranks_path))
-    at, name = df.columns.index(source), (ranks_path, pattern)
+    at, key = df.columns.index(source), (ranks_path, pattern)
 
     def run(batches):
         # a worker keeps its codec, with what it remembers, from task to task
-        codec = CODECS.get(name) or CODECS.setdefault(name, Codec(ranks.value, pattern))
-        for b in batches:
-            given = b.column(at)
-            if kind == "encode":
-                made = [codec.encode(t.as_py() or "") for t in given]
-            else:
-                made = [codec.decode(t.as_py() or b"") for t in given]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, pa.binary())], [*b.schema.names, target])
+        codec = CODECS.get(key) or CODECS.setdefault(key, Codec(ranks.value, pattern))
+        for batch in batches:
+            for b in (batch.slice(k, ROWS) for k in range(0, batch.num_rows, ROWS)):
+                made, last = [], b.column(at)
+                for step, _ in steps:
+                    if step == "encode":
+                        last = pa.array([codec.encode(t.as_py() or "") for t in last], pa.binary())
+                    else:
+                        last = pa.array([codec.decode(t.as_py() or b"") for t in last], pa.binary())
+                    made.append(last)
+                yield pa.RecordBatch.from_arrays([*b.columns, *made], [*b.schema.names, *(n for _, n in steps)])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return df.mapInArrow(run, f"{schema}, `{target}` binary")
+    return df.mapInArrow(run, ", ".join([schema, *(f"`{n}` binary" for _, n in steps)]))
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -180,12 +189,20 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id: str = "doc_id", t
     ordinary text. Null and empty texts have no ids. Repeated rows each get a row, an empty
     table gives an empty table, other columns play no part.
     """
-    return _mapped(columns(docs, doc_id=id, text=text), ranks_path, pattern, "text", "ids", "encode").select("doc_id", "ids")
+    rows = columns(docs, doc_id=id, text=text)
+    return _mapped(rows, ranks_path, pattern, "text", (("encode", "ids"),)).select("doc_id", "ids")
 
 
 def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """`encoded` (any columns with `ids`) and `decoded`, the bytes the ids stand for.
 
-    Bytes, since an encoding may be cut inside a character. Null ids give no bytes.
+    Bytes, since an encoding may be cut inside a character. Null ids give no bytes; an
+    unknown id is an error.
     """
-    return _mapped(encoded, ranks_path, pattern, "ids", "decoded", "decode")
+    return _mapped(encoded, ranks_path, pattern, "ids", (("decode", "decoded"),))
+
+
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, ids and decoded: `encode` and then `decode` in one pass of the same workers."""
+    rows = columns(docs, doc_id=id, text=text)
+    return _mapped(rows, ranks_path, pattern, "text", (("encode", "ids"), ("decode", "decoded"))).select("doc_id", "ids", "decoded")

@@ -86,7 +86,7 @@ def op8(spark, sf):
 
 
 def digests(encoded):
-    """Of `encode` and `decode`: counts and SHA-256 of the ids and the decoded bytes."""
+    """Of ids and decoded bytes: counts and SHA-256 of the ids and the decoded bytes."""
     return encoded.select(
         "doc_id",
         F.floor(F.octet_length("ids") / 4).alias("n_tokens"),
@@ -98,7 +98,7 @@ def digests(encoded):
 @query("op9_bpe")
 def op9(spark, sf):
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    return digests(bpe.decode(bpe.encode(table(spark, sf, "documents"), path, pattern), path, pattern))
+    return digests(bpe.round_trip(table(spark, sf, "documents"), path, pattern))
 
 
 @query("op10_main_text")

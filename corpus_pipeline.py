@@ -38,7 +38,7 @@ def benchmark_free(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document."""
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    return digests(bpe.decode(bpe.encode(docs, path, pattern), path, pattern))
+    return digests(bpe.round_trip(docs, path, pattern))
 
 
 STAGES = [
