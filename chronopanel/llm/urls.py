@@ -111,8 +111,8 @@ def judge(pages: DataFrame, rules=RULES, id: str = "page_id", url: str = "url")
     bins = bins.groupBy("bin").agg(F.count_if(F.col("verdict") == "allow").alias("good"), F.count_if(F.col("verdict") == "block").alias("bad"))
     # as many bins as scores between the extremes of the table, whatever the rows
     below, all_ = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
-    missed = F.coalesce(F.sum("good").over(below), F.lit(0)) / F.sum("good").over(all_)
-    passed = 1 - F.coalesce(F.sum("bad").over(below), F.lit(0)) / F.sum("bad").over(all_)
+    missed = F.try_divide(F.coalesce(F.sum("good").over(below), F.lit(0)), F.sum("good").over(all_))
+    passed = 1 - F.try_divide(F.coalesce(F.sum("bad").over(below), F.lit(0)), F.sum("bad").over(all_))
     edge = bins.select("bin", (missed + passed).alias("error")).where("error IS NOT NULL")
     edge = edge.agg(F.min(F.struct(F.round("error", 12), "bin"))["bin"].alias("edge")).first()["edge"] or 0
     rows = rows.withColumn("points", score(F.col("codes")))
