@@ -176,7 +176,9 @@ def read(index: DataFrame, payloads: bool = True, gap: int = 1 << 16, span: int
                         out = []
             yield _batch(out, READ)
 
-    return where.repartition("file", "part").sortWithinPartitions("file", "offset").mapInArrow(run, READ)
+    # index rows are tiny: tasks are counted by the bytes they will fetch
+    tasks = int(index.agg(F.sum("length")).first()[0] or 0) // stretch + 1
+    return where.repartition(tasks, "file", "part").sortWithinPartitions("file", "offset").mapInArrow(run, READ)
 
 
 def index_archives(spark: SparkSession, folder: str) -> DataFrame:
