@@ -66,7 +66,7 @@ def climate_summary(t: Column, w: Column, h: Column, r: Column) -> Column:
         F.when(h <= DRY_PERCENT, PHRASES["dry"]),
         F.when(r >= WET_MM, PHRASES["rain"]),
     )
-    return F.concat(F.upper(F.left(parts, F.lit(1))), F.substring(parts, 2, 200), F.lit("."))
+    return F.concat(F.upper(F.left(parts, F.lit(1))), F.substring(parts, F.lit(2), F.length(parts)), F.lit("."))
 
 
 def warning_text(level: Column, w: Column, h: Column) -> Column:

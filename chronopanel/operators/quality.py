@@ -73,13 +73,10 @@ def unique_keys(df: DataFrame, keys=("City", "Date"), label="table") -> DataFram
 
 
 def entities_covered(df: DataFrame, required: DataFrame, key="City", label="table") -> DataFrame:
-    """Required entities without rows; the detail names the first twenty."""
+    """Required entities without rows: a row with their number, then one row for each of them."""
     missing = absent_keys(required, df, [key])
-    top = missing.orderBy(key).limit(20).agg(F.array_join(F.sort_array(F.collect_list(F.col(key).cast("string"))), ",").alias("names"))
-    count = missing.agg(F.count(F.lit(1)).alias("n"))
-    return count.crossJoin(top).select(
-        *_check(f"{label}:entities", F.col("n") == 0, F.concat_ws(" ", F.col("n").cast("string"), F.nullif("names", F.lit(""))))
-    )
+    count = missing.agg(F.count(F.lit(1)).alias("n")).select(*_check(f"{label}:entities", F.col("n") == 0, F.col("n").cast("string")))
+    return count.unionByName(missing.select(*_check(f"{label}:entity", F.lit(False), F.col(key).cast("string"))))
 
 
 def probability_range(df: DataFrame, p="probability", label="table") -> DataFrame:

@@ -157,7 +157,7 @@ def template_rows(df: DataFrame, entities: DataFrame, template=None, key="City")
     entity in order unless one is named.
     """
     if key not in df.columns:
-        return df.crossJoin(small(entities.select(key))).withColumn("imputed", F.lit(0))
+        return df.crossJoin(small(entities.select(key).distinct())).withColumn("imputed", F.lit(0))
     missing = absent_keys(entities, df, [key])
     if template is None:
         first = df.agg(F.min(key).alias("_t"))
