@@ -67,7 +67,7 @@ def log_ratios(judged: DataFrame) -> DataFrame:
     """(code, value) for every triple: log P(accepted) - log P(rejected), from (verdict, codes)."""
     seen = judged.select("verdict", F.explode("codes").alias("code")).groupBy("verdict", "code").agg(F.count(F.lit(1)).alias("n"))
     grid = judged.sparkSession.range(SYMBOLS**3).select(F.col("id").alias("code"))
-    both = grid.crossJoin(grid.sparkSession.createDataFrame([("allow",), ("block",)], "verdict string"))
+    both = grid.withColumn("verdict", F.explode(F.array(F.lit("allow"), F.lit("block"))))
     cells = both.join(seen, ["verdict", "code"], "left").select(
         "verdict", "code", F.coalesce("n", F.lit(0)).alias("n3"),
         F.floor(F.col("code") / SYMBOLS**2).alias("a"), F.floor(F.col("code") / SYMBOLS % SYMBOLS).alias("b"), (F.col("code") % SYMBOLS).alias("c"),
