@@ -322,26 +322,30 @@ def fit(
     common_share: float = 0.1,
     block: int = 5000,
 ) -> list[Index]:
-    """One index for each `block` items of the benchmark, in order of their ids.
+    """One index for each `block` items of the benchmark, in order of their ids, null ids last.
 
-    Items without words are left out. Items of fewer than `least` words count only where
+    An item with a null id counts like any other. An id with several texts stands for each of
+    them. Items without words are left out. Items of fewer than `least` words count only where
     all their words follow one another. Words in more than `common_share` of the documents
     carry no weight in the latent space (they do count in the comparison of words), unless
     a passage would be left with fewer than five words that carry weight.
     """
     given = columns(benchmark, item=item, text=item_text, **({"answer": answer} if answer else {}))
     given = given.where(F.col("text").isNotNull()).dropDuplicates()
+    kind = given.schema["item"].dataType
+    # null ids come last; the hash tells several texts of one id apart
+    given = given.withColumn("none", F.col("item").isNull()).withColumn("said", F.sha2(F.to_json(F.struct(*given.columns)), 256))
     indexes, done = [], None
     while True:
         # the benchmark is read a block at a time: the driver never holds more of it
-        left = given if done is None else given.where(F.col("item") > F.lit(done))
-        rows = left.where("item is not null").orderBy("item", "text").limit(block).collect()
+        left = given
+        if done is not None:
+            seen = F.struct(F.lit(done["none"]), F.lit(done["item"]).cast(kind), F.lit(done["said"]))
+            left = given.where(F.struct("none", "item", "said") > seen)
+        rows = left.orderBy("none", "item", "said").limit(block).collect()
         if not rows:
             return indexes
-        if len(rows) == block and rows[0]["item"] != rows[-1]["item"]:
-            last = rows[-1]["item"]
-            rows = [r for r in rows if r["item"] != last]
-        done = rows[-1]["item"]
+        done = rows[-1]
         hashed = [(r["item"], words_of(r["text"]), words_of(r["answer"] if answer else answer_of(r["text"]))) for r in rows]
         hashed = [x for x in hashed if len(x[1])]
         if not hashed:

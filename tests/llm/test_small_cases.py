@@ -232,3 +232,12 @@ def test_empty_tables(spark, none):
         quality.classify(none, quality.fit(none)), extract.extract(pages), urls.judge(pages), warc.read(warc.archive(pages)),
     ):
         assert df.count() == 0
+
+
+def test_decontaminate_null_item_ids_and_several_texts_of_one(spark):
+    texts = [" ".join(f"{name}{k}" for k in range(20)) for name in ("ant", "bee", "cat", "dog", "eel")]
+    items = list(zip((None, 7, 7, 7, None), texts))
+    d = spark.createDataFrame([(k, t) for k, t in enumerate(texts)] + [(9, "nothing of it here")], "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.contaminated(d, b, block=2).collect()
+    assert sorted((r.doc_id, r.item_id or 0) for r in got) == [(k, i or 0) for k, (i, _) in enumerate(items)]
