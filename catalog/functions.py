@@ -192,16 +192,17 @@ def f15_colour(spark, sf):
 
 
 def summary_sql(t, w, h, r):
-    return f"""(CASE WHEN {t} >= 28 THEN 'Hot conditions' WHEN {t} <= 12 THEN 'Cool conditions' ELSE 'Mild temperatures' END)
-      || (CASE WHEN {w} >= 18 THEN ', strong wind' ELSE '' END) || (CASE WHEN {h} <= 40 THEN ', dry air' ELSE '' END)
-      || (CASE WHEN {r} >= 2 THEN ', recent rainfall' ELSE '' END) || '.'"""
+    first = lambda k: risk.PHRASES[k][0].upper() + risk.PHRASES[k][1:]
+    return f"""(CASE WHEN {t} >= 28 THEN '{first("hot")}' WHEN {t} <= 12 THEN '{first("cool")}' ELSE '{first("mild")}' END)
+      || (CASE WHEN {w} >= 18 THEN ', {risk.PHRASES["wind"]}' ELSE '' END) || (CASE WHEN {h} <= 40 THEN ', {risk.PHRASES["dry"]}' ELSE '' END)
+      || (CASE WHEN {r} >= 2 THEN ', {risk.PHRASES["rain"]}' ELSE '' END) || '.'"""
 
 
 def warning_sql(p, w, h):
-    return f"""CASE WHEN {p} >= 0.35 THEN 'High temperature, dry air, and wind can accelerate wildfire spread.'
-      WHEN {w} >= 18 THEN 'Wind is elevated, so small ignitions could spread faster.'
-      WHEN {h} <= 40 THEN 'Low humidity can dry vegetation and raise ignition sensitivity.'
-      ELSE 'Current conditions suggest limited short-term wildfire pressure.' END"""
+    return f"""CASE WHEN {p} >= 0.35 THEN '{risk.WARNINGS["risk"]}'
+      WHEN {w} >= 18 THEN '{risk.WARNINGS["wind"]}'
+      WHEN {h} <= 40 THEN '{risk.WARNINGS["dry"]}'
+      ELSE '{risk.WARNINGS["none"]}' END"""
 
 
 @query("f16_summary", f"WITH {WX} SELECT event_id, {summary_sql('Temperature_C', 'Wind_Speed_kmh', 'Humidity_percent', 'Rain_mm')} AS climate_summary FROM wx")

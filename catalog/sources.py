@@ -98,11 +98,11 @@ def s8_freshness(spark, sf):
     return finish(readers.freshness(df, now="2024-01-31 00:00:00", start="2024-01-01", ts="ts", max_age_hours=24 * 365 * 100))
 
 
-@query("s9_union_entities", f"WITH {LONG} SELECT City, strftime(Date, '%Y-%m-%d') AS Date, round({T}, 6) + 0.0 AS {T} FROM longp WHERE City IN ('1-URGENT', '5-LOW')")
+@query("s9_union_entities", f"WITH {LONG} SELECT City, strftime(Date, '%Y-%m-%d') AS Date, round({T}, 6) + 0.0 AS {T} FROM longp")
 def s9_union_entities(spark, sf):
     path = scratch(spark, "entities")
     df = long_panel(spark, sf).select("City", "Date", T)
-    names = ("1-URGENT", "5-LOW")
+    names = [r.City for r in df.select("City").distinct().collect()]
     for n in names:
         writers.parquet(df.filter(F.col("City") == n), f"{path}/{n}")
     return finish(readers.union_entities(spark, [f"{path}/{n}" for n in names]))

@@ -10,7 +10,7 @@ from chronopanel.functions.columns import clip, round_even
 from chronopanel.schema import TIER_COLOURS, TIERS
 
 
-# Published phrases and the weather bounds they stand for.
+#: Default wording; both sentences take a table of their own in its place.
 PHRASES = {
     "hot": "hot conditions",
     "cool": "cool conditions",
@@ -20,11 +20,12 @@ PHRASES = {
     "rain": "recent rainfall",
 }
 WARNINGS = {
-    "risk": "High temperature, dry air, and wind can accelerate wildfire spread.",
-    "wind": "Wind is elevated, so small ignitions could spread faster.",
-    "dry": "Low humidity can dry vegetation and raise ignition sensitivity.",
-    "none": "Current conditions suggest limited short-term wildfire pressure.",
+    "risk": "Fire danger is high.",
+    "wind": "A fire would travel fast in this wind.",
+    "dry": "Dry air leaves plants easy to light.",
+    "none": "Fire danger is low.",
 }
+# The weather bounds the phrases stand for.
 HOT_C, COOL_C, WINDY_KMH, DRY_PERCENT, WET_MM = 28, 12, 18, 40, 2
 
 
@@ -57,24 +58,24 @@ def colour(level: Column, colours=None) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for x in chain.from_iterable(pairs)]), level)
 
 
-def climate_summary(t: Column, w: Column, h: Column, r: Column) -> Column:
+def climate_summary(t: Column, w: Column, h: Column, r: Column, phrases: dict[str, str] = PHRASES) -> Column:
     """One sentence from the conditions that hold."""
     parts = F.concat_ws(
         ", ",
-        F.when(t >= HOT_C, PHRASES["hot"]).when(t <= COOL_C, PHRASES["cool"]).otherwise(PHRASES["mild"]),
-        F.when(w >= WINDY_KMH, PHRASES["wind"]),
-        F.when(h <= DRY_PERCENT, PHRASES["dry"]),
-        F.when(r >= WET_MM, PHRASES["rain"]),
+        F.when(t >= HOT_C, phrases["hot"]).when(t <= COOL_C, phrases["cool"]).otherwise(phrases["mild"]),
+        F.when(w >= WINDY_KMH, phrases["wind"]),
+        F.when(h <= DRY_PERCENT, phrases["dry"]),
+        F.when(r >= WET_MM, phrases["rain"]),
     )
     return F.concat(F.upper(F.left(parts, F.lit(1))), F.substring(parts, F.lit(2), F.length(parts)), F.lit("."))
 
 
-def warning_text(level: Column, w: Column, h: Column) -> Column:
+def warning_text(level: Column, w: Column, h: Column, warnings: dict[str, str] = WARNINGS) -> Column:
     return (
-        F.when(level.isin("High", "Extreme"), WARNINGS["risk"])
-        .when(w >= WINDY_KMH, WARNINGS["wind"])
-        .when(h <= DRY_PERCENT, WARNINGS["dry"])
-        .otherwise(WARNINGS["none"])
+        F.when(level.isin("High", "Extreme"), warnings["risk"])
+        .when(w >= WINDY_KMH, warnings["wind"])
+        .when(h <= DRY_PERCENT, warnings["dry"])
+        .otherwise(warnings["none"])
     )
 
 

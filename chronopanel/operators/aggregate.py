@@ -257,8 +257,9 @@ def window_means(df: DataFrame, value: str, entity="City") -> DataFrame:
 
 def versus_last_year(forecast: DataFrame, history: DataFrame, value: str, entity="City", date="Date") -> DataFrame:
     """Forecast mean per entity against the same dates one year back."""
-    span = forecast.agg(F.add_months(F.min(date), -12).alias("_a"), F.add_months(F.max(date), -12).alias("_b"))
-    past = history.crossJoin(F.broadcast(span)).filter(F.col(date).between(F.col("_a"), F.col("_b")))
+    # two scalars first: as literals they reach the scan of the history
+    first, last = forecast.agg(F.add_months(F.min(date), -12), F.add_months(F.max(date), -12)).first()
+    past = history.filter(F.col(date).between(F.lit(first), F.lit(last)))
     return _compare(forecast, past, value, entity, "last_year")
 
 
@@ -269,7 +270,8 @@ def forecast_months(forecast: DataFrame, date="Date") -> DataFrame:
 
 def versus_years(forecast: DataFrame, history: DataFrame, value: str, first=2015, last=2024, entity="City", date="Date") -> DataFrame:
     """Forecast mean per entity against the same months of a range of years."""
-    past = history.filter(F.year(date).between(first, last)).withColumn("_m", F.month(date))
+    start, end = (F.lit(f"{y:04d}-01-01").cast("date") for y in (first, last + 1))
+    past = history.filter((F.col(date) >= start) & (F.col(date) < end)).withColumn("_m", F.month(date))
     past = past.join(F.broadcast(forecast_months(forecast, date)), "_m", "left_semi")
     return _compare(forecast, past, value, entity, "decade")
 

@@ -30,8 +30,14 @@ def quantiles(df: DataFrame, by, wanted: dict, method="auto") -> DataFrame:
     if method == "auto":
         method = "small" if largest_group(df, by) <= SMALL_GROUP else "large"
     if method == "small":
-        aggs = [F.percentile(c, F.lit(p)).alias(n) for n, (c, p) in wanted.items()]
-        return df.groupBy(*by).agg(*aggs)
+        # all probabilities of a column share one buffer
+        probs: dict = {}
+        for n, (c, p) in wanted.items():
+            probs.setdefault(c, {})[n] = float(p)
+        aggs = [F.percentile(c, F.array(*map(F.lit, of.values()))).alias(f"_q{i}") for i, (c, of) in enumerate(probs.items())]
+        at = {n: (i, j) for i, of in enumerate(probs.values()) for j, n in enumerate(of)}
+        picked = [F.col(f"_q{at[n][0]}")[at[n][1]].alias(n) for n in wanted]
+        return df.groupBy(*by).agg(*aggs).select(*by, *picked)
     return _bracketed(df, by, wanted)
 
 

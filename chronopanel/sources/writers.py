@@ -1,4 +1,4 @@
-"""Table sinks. Every write goes through Spark's commit protocol, so readers never see half a table."""
+"""Table sinks. Every write goes through Spark's commit protocol."""
 
 from __future__ import annotations
 
@@ -23,9 +23,12 @@ def json(df: DataFrame, path: str) -> None:
 
 def new_rows(existing: DataFrame, incoming: DataFrame, keys=("City", "Date"), time="Date") -> DataFrame:
     """Incoming rows after the last stored time whose key is not stored yet."""
-    last = existing.agg(F.max(time).alias("_last"))
-    late = incoming.crossJoin(F.broadcast(last)).filter(F.col("_last").isNull() | (F.col(time) > F.col("_last")))
-    return late.drop("_last").join(existing.select(*keys).distinct(), list(keys), "left_anti")
+    last = existing.agg(F.max(time)).first()[0]
+    late = incoming if last is None else incoming.filter(F.col(time) > F.lit(last))
+    if time in keys:
+        # a key of a later time can't be stored yet
+        return late
+    return late.join(existing.select(*keys).distinct(), list(keys), "left_anti")
 
 
 def append(incoming: DataFrame, path: str, keys=("City", "Date"), time="Date", partition_by=()) -> None:
@@ -39,11 +42,11 @@ def append(incoming: DataFrame, path: str, keys=("City", "Date"), time="Date", p
     parquet(rows, path, partition_by, "append")
 
 
-def upsert(incoming: DataFrame, path: str, keys=("City", "Date"), day="Date") -> None:
+def upsert(incoming: DataFrame, path: str, keys=("City", "Date"), day="Date", files=8) -> None:
     """Replace rows by key, late corrections included. The table is partitioned by `day`.
 
-    Only the days in the input are read and rewritten; the input wins on a shared key.
-    Running it again with the same input gives the same table.
+    Only the days in the input are read and rewritten, in at most `files` files each; the
+    input wins on a shared key. Running it again with the same input gives the same table.
     """
     from chronopanel.operators.repair import dedupe
 
@@ -51,10 +54,10 @@ def upsert(incoming: DataFrame, path: str, keys=("City", "Date"), day="Date") ->
     rows = dedupe(incoming, list(keys), [day])
     if exists(spark, path):
         old = spark.read.schema(_stored(incoming, day)).parquet(path)
-        days = incoming.select(day).distinct()
-        touched = old.join(F.broadcast(days) if _few(days) else days, day, "left_semi")
+        touched = _touched(old, incoming.select(day).distinct(), day)
         kept = touched.join(rows.select(*keys), list(keys), "left_anti")
         rows = rows.unionByName(kept.select(*rows.columns))
+    rows = rows.repartition(F.col(day), F.pmod(F.xxhash64(*keys), F.lit(files)))
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path)
 
 
@@ -63,8 +66,16 @@ def _stored(df: DataFrame, day: str):
     return df.schema
 
 
-def _few(days: DataFrame, limit=10_000) -> bool:
-    return days.limit(limit + 1).count() <= limit
+def _touched(old: DataFrame, days: DataFrame, day: str, limit=10_000) -> DataFrame:
+    """The stored rows of the given days, by literals that prune the stored table's partitions.
+
+    Up to `limit` days are named one by one; more bound a range first and are then joined.
+    """
+    named = [r[0] for r in days.dropna().limit(limit + 1).collect()]
+    if len(named) <= limit:
+        return old.filter(F.col(day).isin(named))
+    lo, hi = days.agg(F.min(day), F.max(day)).first()
+    return old.filter(F.col(day).between(lo, hi)).join(days, day, "left_semi")
 
 
 def manifest(spark: SparkSession, record: dict, path: str) -> None:
