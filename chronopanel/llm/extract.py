@@ -4,8 +4,8 @@ A streaming parser turns a page into lines, one for each block of text, with the
 tags met since the line before and the elements that hold it. Parts that are never content
 by their element, role or name are marked. The ratio of text to tags per line is smoothed
 by a Gaussian; a two-means threshold splits the lines into two clusters. The content region
-is the innermost element that holds most of the text of the upper cluster; all its lines
-count, short ones too, except marked ones.
+is the smallest container that holds all unmarked lines of the upper cluster, articles first;
+all its lines count, short ones too, except marked ones.
 """
 
 from __future__ import annotations
@@ -30,6 +30,9 @@ OUTSIDE = frozenset("nav header footer aside form head title menu dialog button
 NO_TEXT = frozenset("script style noscript template iframe object svg math canvas audio video head title select textarea button".split())
 SELF_ENDING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 HOLDERS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}}
+#: Elements that can be the content region, and those whose text beside one belongs to it.
+CONTAINERS = frozenset("html body main article section div center td".split())
+BESIDE_TEXT = frozenset("p blockquote pre h1".split())
 #: Words in a class, id or role that name a part beside the article.
 NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense adbox banner billboard sponsor sponsored sponsors promo promotion promoted "
@@ -146,7 +149,35 @@ def threshold(values: list[float]) -> float:
     return (low + high) / 2
 
 
-def main_text(html: str | None, share: float = 0.6) -> str:
+def region_of(upper: list[tuple[int, ...]], own: list[tuple[int, ...]], kinds: dict[int, str]) -> set[int]:
+    """The elements whose unmarked lines are the main text, from the holders of the unmarked lines
+    of the upper cluster and of all unmarked lines; empty for the whole page.
+
+    The outermost articles if they hold all of the upper cluster, else the outermost mains, else
+    the smallest container that holds all of it and is no block of its own, grown to its parent
+    while paragraphs or titles stand beside it. Articles count in any case.
+    """
+    first = lambda held, kind: next((n for n in held if kinds[n] == kind), 0)
+    articles = {first(h, "article") for h in own} - {0}
+    for kind in ("article", "main"):
+        if all(first(h, kind) for h in upper):
+            return articles | {first(h, kind) for h in own} - {0}
+    # holders are a path from the outermost element, so what all hold is the common beginning
+    low, high = min(upper), max(upper)
+    depth = next((k for k, (a, b) in enumerate(zip(low, high)) if a != b), min(len(low), len(high)))
+    for k in range(depth - 1, -1, -1):
+        n = low[k]
+        if kinds[n] not in CONTAINERS or sum(len(h) > k and h[k] == n for h in own) < 2:
+            continue
+        above = next((j for j in range(k - 1, -1, -1) if kinds[low[j]] in BLOCKS), None)
+        grows = kinds[n] not in ("article", "main", "body") and above is not None
+        if grows and any(len(h) > above + 1 and h[above] == low[above] and h[above + 1] != low[above + 1] and kinds[h[above + 1]] in BESIDE_TEXT for h in own):
+            continue
+        return articles | {n}
+    return set()
+
+
+def main_text(html: str | None) -> str:
     """The main text of a page: blocks joined by an empty line, "" if there is none."""
     p = Lines()
     p.feed(html or "")
@@ -158,25 +189,10 @@ def main_text(html: str | None, share: float = 0.6) -> str:
     # the ratio is taken over all lines of the page, marked parts included
     ratio = smoothed([len(text) / max(1, tags) for text, tags, _, _ in p.lines])
     cut = threshold(ratio)
-    weight: dict[int, int] = {}
-    total = 0
-    for (text, _, holders, marked), r in zip(p.lines, ratio):
-        if not marked and r >= cut:
-            total += len(text)
-            for n in holders:
-                weight[n] = weight.get(n, 0) + len(text)
-    if not total:
-        # only marked parts reach the upper cluster: all unmarked lines are weighed
-        for text, _, holders, _ in own:
-            total += len(text)
-            for n in holders:
-                weight[n] = weight.get(n, 0) + len(text)
-    # innermost elements have the largest numbers; a block of its own is no region
-    held = [n for n, w in weight.items() if w >= share * total and p.kinds[n] not in ("p", "b", "span", "a", "i", "em", "strong", "font")]
-    inside = {"article", "main"}
-    named = [n for n in held if p.kinds[n] in inside]
-    region = max(named) if named else max(held, default=0)
-    return "\n\n".join(text for text, _, holders, _ in own if not region or region in holders)
+    # if only marked parts reach the upper cluster, all unmarked lines count
+    upper = [holders for (_, _, holders, marked), r in zip(p.lines, ratio) if not marked and r >= cut]
+    region = region_of(upper or [line[2] for line in own], [line[2] for line in own], p.kinds)
+    return "\n\n".join(text for text, _, holders, _ in own if not region or not region.isdisjoint(holders))
 
 
 def extract(pages: DataFrame, id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

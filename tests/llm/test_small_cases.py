@@ -241,3 +241,18 @@ def test_decontaminate_null_item_ids_and_several_texts_of_one(spark):
     b = spark.createDataFrame(items, "item_id long, text string")
     got = decontaminate.contaminated(d, b, block=2).collect()
     assert sorted((r.doc_id, r.item_id or 0) for r in got) == [(k, i or 0) for k, (i, _) in enumerate(items)]
+
+
+def test_main_text_keeps_what_stands_beside_a_long_block():
+    said = lambda n, c: (c * 9 + " ") * (n // 10)
+    intro, quote, end = said(120, "a"), said(1500, "b"), said(200, "c")
+    whole = "\n\n".join(x.strip() for x in ("T", intro, quote, end))
+    assert extract.main_text(f"<body><h1>T</h1><p>{intro}</p><blockquote><p>{quote}</p></blockquote><p>{end}</p></body>") == whole
+    # paragraphs that are <div>s, one of them long, and two articles of which one is long
+    page = f"<nav><a>x</a></nav><div><h1>T</h1><div>{intro}</div><div>{quote}</div><div>{end}</div></div>"
+    assert extract.main_text(page) == whole
+    page = f"<body><a>x</a><article><p>{quote}</p></article><article><p>{end}</p></article></body>"
+    assert extract.main_text(page) == "\n\n".join((quote.strip(), end.strip()))
+    # one long line alone in the upper cluster
+    short = "".join(f"<p>word {k}</p>" for k in range(9))
+    assert extract.main_text(f"<div>{short}<section><p>{quote}</p><p>so</p></section>{short}</div>").count("word") == 18
