@@ -2,7 +2,8 @@
 
 A streaming parser turns a page into lines, one for each block of text, with the number of
 tags met since the line before and the elements that hold it. Parts that are never content
-by their element, role or name are marked. The ratio of text to tags per line is smoothed
+by their element, role or name are marked; a name with other words in it counts only where
+the text is thin, and none counts on what holds an article. The ratio of text to tags per line is smoothed
 by a Gaussian; a two-means threshold splits the lines into two clusters. The content region
 is the smallest container that holds all unmarked lines of the upper cluster, articles first;
 all its lines count, short ones too, except marked ones.
@@ -41,42 +42,56 @@ NAMES = frozenset(
     "share sharing social related recommended recommendations newsletter subscribe subscription signup login search pagination pager toolbar tags copyright legal disclaimer "
     "complementary contentinfo hidden".split()
 )
+TITLES = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: What a head holds; anything else ends one that is left open.
+HEAD = frozenset("base basefont bgsound link meta title style script noscript template head".split())
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 #: Fixed value: white space of HTML, a no-break space included.
 WHITE = re.compile(r"[\s\xa0]+")
 
 
-def beside(tag: str, attrs) -> bool:
-    """Whether an element holds a part beside the article."""
-    if tag in OUTSIDE:
-        return True
-    if tag in ("html", "body", "article", "main"):
-        return False
+def beside(tag: str, attrs) -> int:
+    """How surely an element holds a part beside the article by what it is: 3 hidden or the head,
+    2 lost only to a main, 1 lost to an article too, 0 no sign."""
+    if tag == "head" or any(key == "hidden" or key == "aria-hidden" and value == "true" for key, value in attrs):
+        return 3
+    return 0 if tag not in OUTSIDE or tag == "form" else 2 if tag in ("nav", "aside", "footer") else 1
+
+
+def named(tag: str, attrs) -> tuple[int, set[str]]:
+    """2 if a class, id or role says only that an element is beside the article (so does a form), 1 if
+    it says more, 0 if it doesn't say so; and the words that do."""
+    sure, said = 2 * (tag == "form"), set()
     for key, value in attrs:
-        if key == "hidden" or key == "aria-hidden" and value == "true":
-            return True
-        if key in ("class", "id", "role") and value and any(w.lower() in NAMES for w in WORD.findall(value)):
-            return True
-    return False
+        # titles and paragraphs have ids as targets of links
+        if value and (key in ("class", "role") and tag not in TITLES or key == "id" and tag not in TITLES and tag != "p"):
+            for token in value.split():
+                words = [w.lower() for w in WORD.findall(token)]
+                found = [w for w in words if w in NAMES]
+                if found:
+                    sure = max(sure, 2 if len(found) == len(words) else 1)
+                    said.update(w.removesuffix("s") for w in found)
+    return sure, said
 
 
 class Lines(HTMLParser):
-    """The blocks of text of a page in order, as (text, tags, holders, marked)."""
+    """The blocks of text of a page in order, as (text, tags, holders, marked by an element)."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int, tuple[int, ...], bool]] = []
-        self.open: list[tuple[str, int, bool, bool]] = []  # tag, number, marked, without text
+        self.open: list[tuple[str, int, int, bool]] = []  # tag, number, how surely marked, without text
         self.text: list[str] = []
         self.tags = self.number = 0
         self.kinds: dict[int, str] = {}
+        self.names: dict[int, tuple[int, set[str]]] = {}  # of the elements with a name of a part beside
 
     def end_line(self):
         if self.text:
             text = WHITE.sub(" ", "".join(self.text)).strip()
             self.text.clear()
             if text:
-                marked = bool(self.open) and self.open[-1][2]
+                marked = bool(self.open and self.open[-1][2])
                 self.lines.append((text, self.tags, tuple(n for _, n, _, _ in self.open), marked))
                 self.tags = 0
 
@@ -86,6 +101,8 @@ class Lines(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         self.tags += 1
+        if tag not in HEAD:
+            self.end_head(tag == "body")
         if tag in BLOCKS:
             self.end_line()
             for k in range(len(self.open) - 1, -1, -1):
@@ -98,10 +115,25 @@ class Lines(HTMLParser):
         if tag == "br":
             self.text.append(" ")
         if tag not in VOID:
-            above = self.open[-1] if self.open else ("", 0, False, False)
+            above = self.open[-1] if self.open else ("", 0, 0, False)
             self.number += 1
             self.kinds[self.number] = tag
-            self.open.append((tag, self.number, above[2] or beside(tag, attrs), above[3] or tag in NO_TEXT))
+            marked, (sure, said) = above[2], named(tag, attrs)
+            if tag in ("article", "main"):
+                # an article is no part of what is beside it, unless it has the same name (a comment of the comments)
+                if not any(said & self.names[n][1] for _, n, _, _ in self.open if n in self.names):
+                    marked = 0 if marked <= 1 + (tag == "main") else marked
+                    for _, n, _, _ in self.open:
+                        self.names.pop(n, None)
+            elif sure and tag not in ("html", "body"):
+                self.names[self.number] = (sure, said)
+            self.open.append((tag, self.number, max(marked, beside(tag, attrs)) if tag not in ("html", "body", "article", "main") else marked, above[3] or tag in NO_TEXT))
+
+    def end_head(self, all_of_it: bool):
+        """Ends a head that was left open; with what is open in it, or if nothing is."""
+        at = next((k for k, x in enumerate(self.open) if x[0] == "head"), None)
+        if at is not None and (all_of_it or at == len(self.open) - 1):
+            self.pop_to(at)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -121,6 +153,8 @@ class Lines(HTMLParser):
                 return
 
     def handle_data(self, data):
+        if self.open and self.open[-1][0] == "head" and WHITE.sub("", data):
+            self.end_head(False)
         if not (self.open and self.open[-1][3]):
             self.text.append(data)
 
@@ -177,22 +211,47 @@ def region_of(upper: list[tuple[int, ...]], own: list[tuple[int, ...]], kinds: d
     return set()
 
 
+def parts_beside(p: Lines, dense: list[bool]) -> set[int]:
+    """The elements that are beside the article by their name.
+
+    A name that says nothing else marks its element. One with other words does so unless half
+    of the element's characters, or half of all the page's that are dense, are dense in it.
+    """
+    out = {n for n, (sure, _) in p.names.items() if sure == 2}
+    weak = {n: [0, 0] for n, (sure, _) in p.names.items() if sure == 1}
+    total = 0
+    if weak:
+        for (text, _, holders, marked), thick in zip(p.lines, dense):
+            if not marked and out.isdisjoint(holders):
+                total += thick * len(text)
+                for n in holders:
+                    if n in weak:
+                        weak[n][0] += len(text)
+                        weak[n][1] += thick * len(text)
+    return out | {n for n, (size, thick) in weak.items() if not thick or 2 * thick < size and 2 * thick < total}
+
+
 def main_text(html: str | None) -> str:
     """The main text of a page: blocks joined by an empty line, "" if there is none."""
     p = Lines()
     p.feed(html or "")
     p.close()
     p.end_line()
-    own = [line for line in p.lines if not line[3]]
-    if not own:
+    if all(line[3] for line in p.lines):
         return ""
     # the ratio is taken over all lines of the page, marked parts included
-    ratio = smoothed([len(text) / max(1, tags) for text, tags, _, _ in p.lines])
+    raw = [len(text) / max(1, tags) for text, tags, _, _ in p.lines]
+    ratio = smoothed(raw)
     cut = threshold(ratio)
+    out = parts_beside(p, [r >= cut * (1 - 1e-9) for r in raw])
+    lines = [(text, holders, r) for (text, _, holders, marked), r in zip(p.lines, ratio) if not marked and out.isdisjoint(holders)]
+    if not lines:
+        return ""
     # if only marked parts reach the upper cluster, all unmarked lines count
-    upper = [holders for (_, _, holders, marked), r in zip(p.lines, ratio) if not marked and r >= cut]
-    region = region_of(upper or [line[2] for line in own], [line[2] for line in own], p.kinds)
-    return "\n\n".join(text for text, _, holders, _ in own if not region or not region.isdisjoint(holders))
+    own = [holders for _, holders, _ in lines]
+    upper = [holders for _, holders, r in lines if r >= cut]
+    region = region_of(upper or own, own, p.kinds)
+    return "\n\n".join(text for text, holders, _ in lines if not region or not region.isdisjoint(holders))
 
 
 def extract(pages: DataFrame, id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

@@ -256,3 +256,20 @@ def test_main_text_keeps_what_stands_beside_a_long_block():
     # one long line alone in the upper cluster
     short = "".join(f"<p>word {k}</p>" for k in range(9))
     assert extract.main_text(f"<div>{short}<section><p>{quote}</p><p>so</p></section>{short}</div>").count("word") == 18
+
+
+def test_main_text_names_are_evidence_only():
+    p = f"<p>{LONG}</p>"
+    words, menu = LONG.strip(), "<ul><li><a>x</a></li><li><a>y</a></li></ul>"
+    for open_, close in (("<article>", "</article>"), ("", "")):
+        for name in ("layout has-sidebar", "content-with-sidebar"):
+            assert extract.main_text(f'<div class="{name}">{open_}{p}{p}{close}</div><nav>{menu}</nav>') == f"{words}\n\n{words}"
+    assert extract.main_text(f'<form id="aspnetForm"><main>{p}</main></form>') == words
+    page = f'<article><h2 id="related-work">Work</h2>{p}<section id="legal-history">{p}</section><p id="comment-on-method">{LONG}</p></article>'
+    assert extract.main_text(page) == "\n\n".join(["Work"] + [words] * 3)
+    # a head without its end tag
+    for body in ("<body>", ""):
+        assert extract.main_text(f"<html><head><title>T</title>{body}{p}<p>End") == f"{words}\n\nEnd"
+    # parts that are only named so, and comments that are articles, stay out
+    page = f'<article>{p}<div class="ad">Buy</div></article><div class="related-posts">{menu}</div><div id="comments"><article class="comment">{p}</article></div>'
+    assert extract.main_text(page) == words
