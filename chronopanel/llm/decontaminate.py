@@ -5,9 +5,12 @@ counted over all documents, is decomposed by a distributed randomised SVD: tasks
 their rows with a random matrix and send back partial products, which are summed by term
 block; the driver only holds matrices of terms times `rank`. Every document is read as
 overlapping passages, folded into the latent space as sums of word vectors and compared
-with all benchmark passages in one matrix product. Candidates above the cosine threshold
-that hold enough of the passage's weight are decided on words: longest common subsequence with the item, and a check that the
-item's answer, its last sentence unless a column names it, is there too.
+with all benchmark passages in one matrix product. Candidates are those above the cosine
+threshold that hold enough of the passage's weight, and those an inverted index finds: an item
+is cut into pieces of at most `PIECE_WORDS` words, of which one holds the least share of its
+words if the item does, so some of the piece's rarest words must stand there. Candidates are decided on
+words: longest common subsequence with the item and a check that the item's answer, its last
+sentence unless a column names it, is there too.
 
 The benchmark is the stated query set. It is handled in blocks of `block` items, each of
 which bounds what is broadcast: the block's words, word vectors and passages.
@@ -27,6 +30,8 @@ from chronopanel.llm.common import columns
 
 #: Bytes whose words are hashed at once; passages that are compared at once.
 PIECE, COMPARED = 1 << 19, 1 << 12
+#: The most words of a piece of an item; postings that are counted at once.
+PIECE_WORDS, POSTINGS = 12, 1 << 20
 #: Slots of the table that finds known words.
 SLOTS = 20
 #: An odd base for word hashes; its powers and those of its inverse modulo 2^64.
@@ -145,6 +150,77 @@ def common(item: np.ndarray, text: np.ndarray) -> int:
     return len(item) - row.bit_count()
 
 
+def pieces(length: int, most: int = PIECE_WORDS) -> list[tuple[int, int]]:
+    """Begin and end of the nearly equal pieces of an item."""
+    n = max(1, -(-length // most))
+    return [(length * k // n, length * (k + 1) // n) for k in range(n)]
+
+
+class Rare:
+    """An inverted index on the rarest words of every piece of every item.
+
+    At most (1 - lcs) of a piece's words may be missing, so of that many and `need` more
+    at least `need` are there. Items of fewer than `least` words miss none.
+    """
+
+    def __init__(self, items: list, df: np.ndarray, lcs: float, least: int):
+        self.of, self.parts, need, posts = [], [], [], []
+        for k, (_, item, _) in enumerate(items):
+            for lo, hi in pieces(len(item)):
+                own = item[lo:hi]
+                miss = 0 if len(item) < least else len(own) - int(np.ceil(lcs * len(own) - 1e-9))
+                must = min(3, len(own) - miss)
+                # the word of every position; one that comes twice counts twice
+                kept = own[np.lexsort((own, df[own]))[: miss + must]]
+                posts += [(int(w), len(self.of), int(c)) for w, c in zip(*np.unique(kept, return_counts=True))]
+                self.of.append(k)
+                self.parts.append((lo, hi))
+                need.append(must)
+        self.need = np.array(need)
+        post = np.array(posts, np.int64).reshape(-1, 3)
+        self.owner, self.weight = post[:, 1], post[:, 2]
+        # postings are numbered by piece; of each word, where its numbers are in `numbers`
+        self.numbers = np.argsort(post[:, 0], kind="stable")
+        self.edges = np.searchsorted(post[self.numbers, 0], np.arange(len(df) + 2))
+
+    def find(self, place: np.ndarray, edges: np.ndarray, stride: int) -> list[tuple[int, int, int]]:
+        """(text, piece, first word) wherever enough of a piece's words stand in two blocks of `stride` words."""
+        sizes = np.diff(self.edges)
+        hit = np.flatnonzero(sizes[place])
+        if not len(hit):
+            return []
+        # as in `candidates`: blocks of words, with an empty block between texts
+        blocks = -(-np.diff(edges) // stride) + 1
+        begin = np.r_[0, np.cumsum(blocks)]
+        text = np.searchsorted(edges, hit, side="right") - 1
+        cell = begin[text] + (hit - edges[text]) // stride
+        posted, out, total, at, before = np.r_[0, np.cumsum(sizes[place[hit]])], [], len(self.numbers), 0, -2
+        while at < len(hit):
+            # whole blocks, and the next one for the last pair
+            end = min(len(hit), max(at + 1, int(np.searchsorted(posted, posted[at] + POSTINGS))))
+            last = int(cell[end - 1])
+            end, reach = np.searchsorted(cell, (last + 1, last + 2))
+            n = sizes[place[hit[at:reach]]]
+            where = np.repeat(cell[at:reach], n)
+            shift = np.arange(len(where)) - np.repeat(np.cumsum(n) - n, n)
+            number = self.numbers[np.repeat(self.edges[place[hit[at:reach]]], n) + shift]
+            # a pair of blocks is named by its first; each posting counts once in it
+            keys = np.unique(np.r_[where * total + number, (where - 1) * total + number])
+            pair, number = keys // total, keys % total
+            own = (pair > before) & (pair <= last)
+            pair, number = pair[own], number[own]
+            run = np.flatnonzero(np.r_[True, (pair[1:] != pair[:-1]) | (self.owner[number[1:]] != self.owner[number[:-1]])]) if len(pair) else []
+            if len(run):
+                there = np.add.reduceat(self.weight[number], run)
+                piece = self.owner[number[run]]
+                for w, p in zip(pair[run][good := there >= self.need[piece]].tolist(), piece[good].tolist()):
+                    t = max(0, int(np.searchsorted(begin, w, side="right")) - 1)
+                    if w < begin[t + 1] - 1:
+                        out.append((t, p, max(0, w - int(begin[t])) * stride))
+            at, before = int(end), last
+        return out
+
+
 @dataclass
 class Index:
     """What a task needs to search a block of the benchmark."""
@@ -163,6 +239,7 @@ class Index:
     sure: float
     answer: float
     least: int
+    rare: Rare
 
     def candidates(self, place: np.ndarray, edges: np.ndarray) -> dict[int, list[tuple[int, int]]]:
         """By text, the (item, first word) of its passages above the thresholds."""
@@ -198,10 +275,16 @@ class Index:
         """By text, the (item, LCS share, answer share, first word) of every item it holds."""
         hashed, edges = words(texts)
         place = self.vocabulary.find(hashed)
+        found = {t: set(near) for t, near in self.candidates(place, edges).items()}
+        for t, p, at in self.rare.find(place, edges, self.stride):
+            (_, item, _), (lo, hi) = self.items[self.rare.of[p]], self.rare.parts[p]
+            own = place[edges[t] + at : min(edges[t] + at + 2 * self.stride, edges[t + 1])]
+            if common(item[lo:hi], own) >= self.lcs * (hi - lo) - 1e-9:
+                found.setdefault(t, set()).add((self.rare.of[p], at))
         out = {}
-        for t, near in self.candidates(place, edges).items():
+        for t, near in sorted(found.items()):
             own, best = place[edges[t] : edges[t + 1]], {}
-            for k, at in sorted(set(near)):
+            for k, at in sorted(near):
                 made = self.compare(k, own, at)
                 if made and (k not in best or made[0] > best[k][0]):
                     best[k] = made
@@ -365,7 +448,7 @@ def fit(
         size = np.maximum(np.linalg.norm(latent, axis=1), 1e-12)
         latent /= size[:, None]
         indexes.append(
-            Index(items, vocabulary, weighted, vectors, latent.astype(np.float32), np.array([k for k, _ in cut]), window, stride, cosine, (held * size).astype(np.float32), lcs, sure, answer_share, least)
+            Index(items, vocabulary, weighted, vectors, latent.astype(np.float32), np.array([k for k, _ in cut]), window, stride, cosine, (held * size).astype(np.float32), lcs, sure, answer_share, least, Rare(items, df, lcs, least))
         )
 
 

@@ -2,6 +2,7 @@
 
 import hashlib
 
+import numpy as np
 import public_tokenizers
 import pytest
 from chronopanel.llm import bpe, decontaminate, exact, extract, language, quality, shards, simhash, urls, warc
@@ -273,3 +274,28 @@ def test_main_text_names_are_evidence_only():
     # parts that are only named so, and comments that are articles, stay out
     page = f'<article>{p}<div class="ad">Buy</div></article><div class="related-posts">{menu}</div><div id="comments"><article class="comment">{p}</article></div>'
     assert extract.main_text(page) == words
+
+
+def prose(seed: int, n: int, kinds: int = 4000) -> list[str]:
+    """Words by Zipf's law."""
+    return [f"v{k}" for k in np.random.default_rng(seed).zipf(1.15, 4 * n) if k < kinds][:n]
+
+
+def test_decontaminate_finds_short_items_in_prose(spark):
+    """Verbatim copies of items of 4 to 14 words in prose of the same words, against a plain search."""
+    source = prose(1, 24_000)
+    sizes = [4, 6, 7, 8, 9, 10, 12, 14] * 250
+    items = [(k, " ".join(source[12 * k : 12 * k + n])) for k, n in enumerate(sizes[:2000])]
+    texts = [" ".join(prose(100 + d, 150) + ["zz"] + items[d * 37][1].split() + ["zz"] + prose(900 + d, 150)) for d in range(50)]
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(spark.createDataFrame(rows(*enumerate(texts)), SCHEMA), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert {(d, k) for d, t in enumerate(texts) for k, x in items if f" {x} " in f" {t} "} <= got
+
+
+def test_decontaminate_postings_over_slices(monkeypatch):
+    items = [(0, np.arange(10), np.arange(0)), (1, np.arange(20, 60), np.arange(0))]
+    place = np.r_[np.full(700, 99), np.arange(10), np.full(37, 99), np.arange(20, 60), np.full(9, 99)]
+    rare = decontaminate.Rare(items, np.ones(99), 0.65, 8)
+    whole = sorted(rare.find(place, np.array([0, 300, len(place)]), 24))
+    assert {rare.of[p] for _, p, _ in whole} == {0, 1} and {t for t, _, _ in whole} == {1}
+    monkeypatch.setattr(decontaminate, "POSTINGS", 3)
+    assert sorted(set(rare.find(place, np.array([0, 300, len(place)]), 24))) == whole
