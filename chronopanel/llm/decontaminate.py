@@ -10,7 +10,8 @@ threshold that hold enough of the passage's weight, and those an inverted index
 is cut into pieces of at most `PIECE_WORDS` words, of which one holds the least share of its
 words if the item does, so some of the piece's rarest words must stand there. Candidates are decided on
 words: longest common subsequence with the item and a check that the item's answer, its last
-sentence unless a column names it, is there too.
+sentence unless a column names it, is there too; or nearly all of the item in another
+order; or nearly all of a passage of two pieces.
 
 The benchmark is the stated query set. It is handled in blocks of `block` items, each of
 which bounds what is broadcast: the block's words, word vectors and passages.
@@ -293,17 +294,36 @@ class Index:
         return out
 
     def compare(self, k: int, text: np.ndarray, at: int) -> tuple[float, float, int] | None:
-        """The shares of an item and of its answer around a passage, if they suffice."""
+        """The shares of an item and of its answer around a passage, if they suffice.
+
+        They do if the item is there, by `lcs` with its answer or by `sure`; if it is there in
+        another order, its quarters or halves counted one by one, by `sure`, or by `lcs` with an
+        answer of four words or more by `sure`; or if two neighbouring pieces of it are, by `sure`.
+        """
         _, item, answer = self.items[k]
         lo = max(0, at - len(item))
         region = text[lo : at + self.window + len(item)]
-        share = common(item, region) / len(item)
-        if share < self.lcs:
-            return None
-        if len(item) < self.least and not any(np.array_equal(region[i : i + len(item)], item) for i in range(len(region))):
-            return None
+        n = common(item, region)
+        share = n / len(item)
+        if len(item) < self.least:
+            if share < 1 or not any(np.array_equal(region[i : i + len(item)], item) for i in range(len(region))):
+                return None
+            return (share, common(answer, region) / len(answer) if len(answer) else 1.0, lo)
         there = common(answer, region) / len(answer) if len(answer) else 1.0
-        return (share, there, lo) if share >= self.sure or there >= self.answer else None
+        if share >= self.sure or share >= self.lcs and there >= self.answer:
+            return (share, there, lo)
+        parts = min(4, len(item) // self.least)
+        if parts > 1 and share >= self.lcs / parts:
+            turned = sum(common(item[a:b], region) for a, b in pieces(len(item), -(-len(item) // parts))) / len(item)
+            if turned >= self.sure or turned >= self.lcs and there >= self.sure and len(answer) >= 4:
+                return (share, there, lo)
+        cut = pieces(len(item))
+        if len(cut) > 2:
+            near = text[max(0, at - self.stride) : at + self.window + self.stride]
+            for (a, _), (_, b) in zip(cut, cut[1:]):
+                if n >= self.sure * (b - a) and common(item[a:b], near) >= self.sure * (b - a):
+                    return (share, there, lo)
+        return None
 
 
 def _sparse(place: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

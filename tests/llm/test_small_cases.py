@@ -299,3 +299,14 @@ def test_decontaminate_postings_over_slices(monkeypatch):
     assert {rare.of[p] for _, p, _ in whole} == {0, 1} and {t for t, _, _ in whole} == {1}
     monkeypatch.setattr(decontaminate, "POSTINGS", 3)
     assert sorted(set(rare.find(place, np.array([0, 300, len(place)]), 24))) == whole
+
+
+def test_decontaminate_partial_and_reordered_items(spark):
+    long, mid = [f"q{k}" for k in range(300)], [f"m{k}" for k in range(59)]
+    turn = [f"t{k}" for k in range(40)]
+    noise = [f"w{k}" for k in range(400)]
+    turned = [x if k % 7 else "other" for k, x in enumerate(turn)]
+    texts = [long[60:240], mid[:38], turn[20:] + turn[:20], turned[20:] + turned[:20], long[5:17], []]
+    d = spark.createDataFrame(rows(*[(k, " ".join(noise + t + noise)) for k, t in enumerate(texts)]), SCHEMA)
+    b = spark.createDataFrame([(0, " ".join(long)), (1, " ".join(mid)), (2, " ".join(turn[:32]) + ". " + " ".join(turn[32:]))], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(d, b).collect()} == {(0, 0), (1, 1), (2, 2), (3, 2)}
