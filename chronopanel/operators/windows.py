@@ -322,10 +322,11 @@ def history_tail(history: DataFrame, forecast: DataFrame, s=DAILY, steps=45) ->
 
 
 def splice(history: DataFrame, forecast: DataFrame, s=DAILY, steps=45) -> DataFrame:
-    """History tail followed by the forecast; the forecast wins on a shared key."""
+    """History tail, or with steps=None all of it, followed by the forecast; the forecast wins on a shared key."""
     from chronopanel.operators.repair import dedupe
 
-    tail = history_tail(history, forecast, s, steps).withColumn("_source", F.lit(0))
+    tail = history if steps is None else history_tail(history, forecast, s, steps)
+    tail = tail.withColumn("_source", F.lit(0))
     both = tail.unionByName(forecast.withColumn("_source", F.lit(1)), allowMissingColumns=True)
     return dedupe(both, [*s.entity, s.time], order="_source").withColumnRenamed("_source", "is_forecast")
 

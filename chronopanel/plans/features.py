@@ -196,11 +196,13 @@ def hourly_features(df: DataFrame, s=w.HOURLY, static: DataFrame | None = None,
     return out if static is None else dimension(out, static, list(s.entity))
 
 
-def serving_features(forecast: DataFrame, history: DataFrame, fitted: Fitted, s=w.DAILY, static=None, tail=90) -> DataFrame:
-    """Features of the forecast rows, with the history tail as context for their windows."""
-    both = w.splice(history, forecast, s, tail)
-    if LABEL in both.columns:
-        both = both.fillna(0, subset=[LABEL])
+def serving_features(forecast: DataFrame, history: DataFrame, fitted: Fitted, s=w.DAILY, static=None) -> DataFrame:
+    """Features of the forecast rows, with the whole history as context, as in training.
+
+    Labels of forecast rows stay null: rates leave them out, and counts are null where the
+    window holds no known label.
+    """
+    both = w.splice(history, forecast, s, None)
     carried = [c for c in ("NDVI", "EVI", "NDBI") if c in both.columns]
     if carried:
         both = w.fill(both, carried, s)

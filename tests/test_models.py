@@ -138,3 +138,18 @@ def test_blend_prefers_the_exact_forecast(spark):
     df = spark.createDataFrame([("a", "t", float(i), float(i), 0.0) for i in range(6)], "City string, variable string, y double, a double, b double")
     assert blend.weights(df).first()["weight"] == 1.0
     assert blend.weights(df.limit(4)).count() == 0
+
+
+def test_serving_features_equal_training_features(spark, sf):
+    """The first forecast day has the unlimited features that the same row has in training."""
+    from catalog.base import long_panel
+    from chronopanel.plans import features
+
+    df = long_panel(spark, sf).drop("n").localCheckpoint()
+    last = df.agg({"Date": "max"}).first()[0]
+    history, forecast = df.filter(df.Date < last), df.filter(df.Date == last).drop("Fire_Occurred")
+    fitted, names = features.fit(history), ["dry_days_streak", "days_since_last_fire", "city_fire_rate", "city_month_fire_rate"]
+    want = features.daily_features(df, fitted).filter(df.Date == last).select("City", *names)
+    got = features.serving_features(forecast, history, fitted).select("City", *names)
+    rows = sorted(map(tuple, want.collect()))
+    assert rows and sorted(map(tuple, got.collect())) == rows
