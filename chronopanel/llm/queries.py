@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from chronopanel.llm import bpe, decontaminate, exact, extract, language, quality, shards, simhash, urls, warc
+from chronopanel.llm import bpe, decontaminate, exact, extract, language, mixing, quality, ranking, shards, simhash, urls, warc, whitening
 from chronopanel.llm.common import table
 
 QUERIES: dict = {}
@@ -104,3 +104,18 @@ def op9(spark, sf):
 @query("op10_main_text")
 def op10(spark, sf):
     return extract.extract(table(spark, sf, "pages"))
+
+
+@query("op11_whitening")
+def op11(spark, sf):
+    return whitening.whiten(table(spark, sf, "embeddings"))
+
+
+@query("op12_mixing", mixing.SQL)
+def op12(spark, sf):
+    return mixing.mix(table(spark, sf, "documents"))
+
+
+@query("op13_ranking", ranking.SQL)
+def op13(spark, sf):
+    return ranking.search(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
