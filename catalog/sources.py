@@ -35,11 +35,12 @@ def s3_fallback_scan(spark, sf):
     return finish(df, "n_nationkey", "n_name")
 
 
-POINTS = "SELECT strftime(ts, '%Y-%m-%d') AS acq_date, round(38 + user_id % 5 / 7.0, 6) + 0.0 AS latitude, round(45 + event_id % 7 / 3.0, 6) + 0.0 AS longitude, round(value / 3.7, 6) + 0.0 AS brightness, round(value / 9.1, 6) + 0.0 AS frp FROM events WHERE event_id % 11 <> 0"
+POINTS = "SELECT strftime(ts, '%Y-%m-%d') AS acq_date, round(38 + user_id % 5 / 7.0, 6) + 0.0 AS latitude, round(45 + event_id % 7 / 3.0, 6) + 0.0 AS longitude, round(value / 3.7, 6) + 0.0 AS brightness, CASE WHEN event_id % 3 < 2 THEN round(value / 9.1, 6) + 0.0 END AS frp FROM events WHERE event_id % 11 <> 0"
 
 
 def archive(spark, sf):
-    """Two sensors' files with different headers, some bad dates, written and read back as text."""
+    """Files of three headers under one root, some bad dates: two sensors, one of them also in
+    another column order with a column more and one less."""
     e = table(spark, sf, "events")
     day = F.when(F.col("event_id") % 11 == 0, "unknown").otherwise(F.date_format("ts", "yyyy-MM-dd"))
     base = e.select(
@@ -52,17 +53,20 @@ def archive(spark, sf):
         "event_id",
     )
     path = scratch(spark, "archive")
-    modis = base.filter("event_id % 2 = 0").withColumnRenamed("bright", "brightness").drop("event_id")
-    viirs = base.filter("event_id % 2 = 1").select("ACQ_DATE", "Latitude", "Longitude", F.col("bright").alias("bright_ti4"), F.lit("x").alias("version"), "FRP", "confidence")
-    writers.csv(modis, f"{path}/modis")
-    writers.csv(viirs, f"{path}/viirs")
-    parts = [readers.csv_archive(spark, f"{path}/{f}") for f in ("modis", "viirs")]
-    return parts[0].unionByName(parts[1], allowMissingColumns=True)
+    of = lambda k: base.filter(F.col("event_id") % 3 == k)
+    writers.csv(of(0).withColumnRenamed("bright", "brightness").drop("event_id"), f"{path}/modis")
+    writers.csv(of(1).select("ACQ_DATE", "Latitude", "Longitude", F.col("bright").alias("bright_ti4"), F.lit("x").alias("version"), "FRP", "confidence"), f"{path}/viirs")
+    writers.csv(of(2).select("confidence", F.col("bright").alias(" Brightness"), "Longitude", "Latitude", F.lit("a,b").alias("note"), "ACQ_DATE"), f"{path}/modis/older")
+    return readers.csv_archive(spark, path)
 
 
-@query("s4_csv_archive", "SELECT count(*) AS n, count(CASE WHEN event_id % 2 = 0 THEN 1 END) AS n_brightness, count(CASE WHEN event_id % 2 = 1 THEN 1 END) AS n_bright_ti4 FROM events")
+@query(
+    "s4_csv_archive",
+    "SELECT count(*) AS n, count(CASE WHEN event_id % 3 <> 1 THEN 1 END) AS n_brightness, count(CASE WHEN event_id % 3 = 1 THEN 1 END) AS n_bright_ti4, count(CASE WHEN event_id % 3 = 2 THEN 1 END) AS n_note, count(CASE WHEN event_id % 3 < 2 THEN 1 END) AS n_frp FROM events",
+)
 def s4_csv_archive(spark, sf):
-    return archive(spark, sf).agg(F.count(F.lit(1)).alias("n"), F.count("brightness").alias("n_brightness"), F.count("bright_ti4").alias("n_bright_ti4"))
+    seen = F.count_if(F.col("note") == "a,b").alias("n_note")
+    return archive(spark, sf).agg(F.count(F.lit(1)).alias("n"), *[F.count(c).alias(f"n_{c}") for c in ("brightness", "bright_ti4", "frp")], seen)
 
 
 @query("s5_points", POINTS)
@@ -87,6 +91,38 @@ def s7_json_records(spark, sf):
     return readers.json_records(spark, path)
 
 
+@query(
+    "s7_json_array",
+    f"WITH {HOURLY} SELECT strftime(Timestamp, '%Y-%m-%dT%H:%M') AS timestamp, City AS region, round(p, 6) + 0.0 AS probability, 'Low' AS risk_level FROM hourly",
+)
+def s7_json_array(spark, sf):
+    """Files that hold one array of records each: an entity's day, 24 records at most."""
+    path = scratch(spark, "json-arrays")
+    record = F.struct(
+        F.date_format("Timestamp", "yyyy-MM-dd'T'HH:mm").alias("timestamp"), F.col("City").alias("region"), F.col("p").alias("probability"), F.lit("Low").alias("risk_level")
+    )
+    arrays = hourly(spark, sf).groupBy("City", F.to_date("Timestamp").alias("Date")).agg(F.to_json(F.collect_list(record)).alias("value"))
+    arrays.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    return finish(readers.json_records(spark, path, lines=False))
+
+
+FRESH = (
+    "SELECT City, strftime(first, '%Y-%m-%d %H:%M:%S') AS first, strftime(last, '%Y-%m-%d %H:%M:%S') AS last, rows, "
+    "CASE WHEN first > TIMESTAMP '2024-01-02' THEN 'starts late' WHEN last < TIMESTAMP '2024-01-30' THEN 'ends early' ELSE 'ok' END AS reason, "
+    "CAST(first <= TIMESTAMP '2024-01-02' AND last >= TIMESTAMP '2024-01-30' AS BIGINT) AS valid FROM c"
+)
+
+
+@query(
+    "s8_expired",
+    f"WITH c AS (SELECT event_type AS City, min(ts) AS first, max(ts) AS last, count(*) AS rows FROM events GROUP BY 1), f AS ({FRESH}) SELECT City, first, last, rows, 'expired' AS reason, CAST(0 AS BIGINT) AS valid FROM f",
+)
+def s8_expired(spark, sf):
+    """A table written today no longer serves a caller who asks decades later."""
+    df = table(spark, sf, "events").withColumnsRenamed({"event_type": "City"})
+    return finish(readers.freshness(df, now="2124-01-31 00:00:00", start="2024-01-01", ts="ts", max_age_hours=24))
+
+
 @query(
     "s8_freshness",
     "WITH c AS (SELECT event_type AS City, min(ts) AS first, max(ts) AS last, count(*) AS rows FROM events GROUP BY 1) "
@@ -102,10 +138,9 @@ def s8_freshness(spark, sf):
 def s9_union_entities(spark, sf):
     path = scratch(spark, "entities")
     df = long_panel(spark, sf).select("City", "Date", T)
-    names = [r.City for r in df.select("City").distinct().collect()]
-    for n in names:
-        writers.parquet(df.filter(F.col("City") == n), f"{path}/{n}")
-    return finish(readers.union_entities(spark, [f"{path}/{n}" for n in names]))
+    # one write job makes a folder for each entity; the union reads the folders
+    writers.parquet(df.withColumn("entity", F.col("City")), path, ["entity"])
+    return finish(readers.union_entities(spark, [f"{path}/*"]))
 
 
 @query("s10_overwrite", DAYS)
@@ -176,7 +211,7 @@ def s13_manifest(spark, sf):
 
 @query("s15_coordinates", "SELECT n_name AS City, round(CAST(38.5 + n_nationkey * 0.12 AS DOUBLE), 6) AS Latitude, round(CAST(45 + n_nationkey * 0.18 AS DOUBLE), 6) AS Longitude FROM nation")
 def s15_coordinates(spark, sf):
+    """The table of coordinates from a mapping of places; nations are a fixed, small set."""
     n = F.col("n_nationkey")
-    path = scratch(spark, "coords")
-    writers.parquet(table(spark, sf, "nation").select(F.col("n_name").alias("City"), (38.5 + n * 0.12).alias("Latitude"), (45 + n * 0.18).alias("Longitude")), path)
-    return finish(readers.parquet(spark, path))
+    known = table(spark, sf, "nation").select("n_name", (38.5 + n * 0.12).alias("lat"), (45 + n * 0.18).alias("lon"))
+    return finish(readers.coordinates(spark, {r.n_name: (r.lat, r.lon) for r in known.collect()}))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import csv as text_csv
+import re
 from functools import reduce
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from chronopanel.functions.columns import first_present, to_number
 from chronopanel.schema import CITIES, PUBLIC_HOURLY
@@ -43,24 +46,56 @@ def csv(spark: SparkSession, path, schema) -> DataFrame:
     return spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path)
 
 
-def csv_archive(spark: SparkSession, folder: str, families=("*.csv",)) -> DataFrame:
-    """Every CSV below a folder, one scan per family of equal headers, unioned by name.
+def csv_headers(spark: SparkSession, folder: str, pattern="*.csv") -> DataFrame:
+    """(path, header) of every file below a folder: its first line that is not blank.
 
-    Values stay text here. Lines with a wrong field count are dropped, and so are files
-    whose name starts with readme.
+    Tasks read the lines; per file only the first one of its first block moves. Files named
+    readme... and files without any text have no row.
     """
-    def scan(pattern):
-        df = (
-            spark.read.option("header", True)
-            .option("mode", "DROPMALFORMED")
-            .option("columnPruning", False)
-            .option("recursiveFileLookup", True)
-            .option("pathGlobFilter", pattern)
-            .csv(folder)
-        )
-        return normalise_header(df.filter(~F.lower("_metadata.file_name").startswith("readme")))
-
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [scan(f) for f in families])
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(folder)
+    lines = lines.select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("name"), F.col("_metadata.file_block_start").alias("at"))
+    usable = (F.col("at") == 0) & (F.trim("value") != "") & ~F.lower("name").startswith("readme")
+    # rows of a file's first block are numbered in the order of its lines
+    numbered = lines.where(usable).select("path", "value", F.monotonically_increasing_id().alias("line"))
+    return numbered.groupBy("path").agg(F.min_by("value", "line").alias("header"))
+
+
+def header_names(line: str) -> list[str]:
+    """Column names of a header line, trimmed and lower-cased; blank ones and repeats get their place."""
+    out: list[str] = []
+    for k, cell in enumerate(next(text_csv.reader([line.lstrip("\ufeff")]), [])):
+        name = cell.strip().lower() or f"_c{k}"
+        out.append(name if name not in out else f"{name}_{k}")
+    return out
+
+
+def csv_archive(spark: SparkSession, folder: str, pattern="*.csv") -> DataFrame:
+    """Every CSV below a folder as one table, whatever mix of headers its files have.
+
+    Files are grouped by their header: names trimmed and lower-cased, in their order. Each
+    group is one scan with its own columns; the scans are united by name, with null where a
+    file lacks a column. Values stay text. Of a file, lines with another number of fields
+    than its header are dropped; blank and readme files are left out. The driver holds one
+    path and header per file, as Spark's own file listing does. A folder without any file
+    gives a table without columns.
+    """
+    groups: dict[tuple, list[str]] = {}
+    for r in csv_headers(spark, folder, pattern).toLocalIterator():
+        groups.setdefault(tuple(header_names(r["header"])), []).append(_literal_path(r["path"]))
+    scans = []
+    for names, paths in sorted(groups.items()):
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+        # without column pruning every line is parsed whole, so a wrong field count is seen
+        options = {"header": True, "mode": "DROPMALFORMED", "columnPruning": False, "ignoreLeadingWhiteSpace": False}
+        scans.append(spark.read.schema(schema).options(**options).csv(sorted(paths)))
+    if not scans:
+        return spark.createDataFrame([], T.StructType([]))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), scans)
+
+
+def _literal_path(uri: str) -> str:
+    """The path of a file's address: no escapes, and no sign that a reader takes for a pattern."""
+    return re.sub(r"([\[\]{}*?\\,])", r"\\\1", unquote(uri))
 
 
 def normalise_header(df: DataFrame) -> DataFrame:

@@ -148,7 +148,8 @@ def test_seeded_faults_are_found(spark):
         q.no_nulls(df), q.within_bounds(df), q.unique_keys(df), q.entities_covered(df, need), q.probability_range(df), q.known_levels(df), q.required_columns(df, ["City"])
     )
     got = {x["name"]: x["passed"] for x in checks.collect()}
-    assert sum(not v for v in got.values()) == 6 and got["table:columns"]
+    faults = "bounds:Temperature_C_mean entities entity no_null prob_range risk_levels unique".split()
+    assert {n for n, v in got.items() if not v} == {f"table:{n}" for n in faults} and got["table:columns"]
     assert q.exit_status(checks) == 1
 
 
@@ -208,6 +209,25 @@ def test_archive_skips_bad_lines_and_readme(spark, tmp_path):
     assert got.count() == 1 and one(got, "brightness") == 3.0
 
 
+def test_archive_with_mixed_headers_loses_no_row(spark, tmp_path):
+    deep = tmp_path / "a b"
+    deep.mkdir()
+    (tmp_path / "x.csv").write_text("Latitude,LONGITUDE ,acq_date,brightness\n1,2,2024-01-01,3\n1,2,2024-01-01,3,9\n")
+    (tmp_path / "same.csv").write_text("latitude,longitude,acq_date,brightness\n4,5,2024-01-05,6\n")
+    (deep / "z [1],{x}.csv").write_text("\n\ufeffacq_date,brightness,Latitude,LONGITUDE\n2024-01-02,5,7,8\n")
+    (deep / "y%20\u00e9.csv").write_text('Latitude,LONGITUDE ,acq_date,brightness,extra,,extra\n1,2,2024-01-03,3,"q,r",s,t\n')
+    (deep / "viirs.csv").write_text("latitude,longitude,acq_date,bright_ti4\n1,2,2024-01-04,9\n")
+    (tmp_path / "empty.csv").write_text("")
+    got = readers.csv_archive(spark, str(tmp_path))
+    assert set(got.columns) == {"latitude", "longitude", "acq_date", "brightness", "bright_ti4", "extra", "_c5", "extra_6"}
+    assert got.count() == 5 and {x["extra"] for x in got.collect()} == {None, "q,r"}
+    rows = {str(x["acq_date"]): (x["latitude"], x["longitude"], x["brightness"]) for x in readers.points(got).collect()}
+    assert rows == {"2024-01-01": (1, 2, 3), "2024-01-02": (7, 8, 5), "2024-01-03": (1, 2, 3), "2024-01-04": (1, 2, 9), "2024-01-05": (4, 5, 6)}
+    none = tmp_path / "none"
+    none.mkdir()
+    assert readers.csv_archive(spark, str(none)).columns == []
+
+
 def test_missing_tables_name_both_paths(spark):
     with pytest.raises(FileNotFoundError):
         readers.with_fallback(spark, "/tmp/none-a", "/tmp/none-b")
