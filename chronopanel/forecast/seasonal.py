@@ -61,7 +61,7 @@ def fit(df: DataFrame, s: Series = DAILY, keys=KEYS, value="value", min_rows=Non
     )
     beta = ridge.fit(rows, keys, "_x", "_y", _terms(_seasons(s)))
     resid = rows.join(beta, keys).select(*keys, (F.col("_y") - ridge.dot(F.col("_x"), F.col("beta"))).alias("_r"))
-    spread = quantiles(resid, keys, {"_lo": ("_r", 0.1), "_hi": ("_r", 0.9)}, "auto")
+    spread = quantiles(resid, keys, {"_lo": ("_r", 0.1), "_hi": ("_r", 0.9)})
     return beta.join(info, keys).join(spread, keys)
 
 

@@ -29,7 +29,7 @@ def role_weights(board: DataFrame) -> DataFrame:
     Recall models have at least median recall and less than median precision and weigh
     2, precision models the reverse and 1, others 1.5; each times .5 + average precision.
     """
-    med = quantiles(board, [], {"_r": ("recall", 0.5), "_p": ("precision", 0.5)}, method="small")
+    med = quantiles(board, [], {"_r": ("recall", 0.5), "_p": ("precision", 0.5)})
     high_r, high_p = F.col("recall") >= F.col("_r"), F.col("precision") >= F.col("_p")
     role = F.when(high_r & ~high_p, "recall").when(high_p & ~high_r, "precision").otherwise("balanced")
     base = F.when(F.col("role") == "recall", 2.0).when(F.col("role") == "precision", 1.0).otherwise(1.5)

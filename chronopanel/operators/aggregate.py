@@ -69,7 +69,7 @@ def regroup(df: DataFrame, by, maxima=(), means=()) -> DataFrame:
     return df.groupBy(*by).agg(*[F.max(c).alias(c) for c in maxima], *[F.avg(c).alias(c) for c in means])
 
 
-def profile(df: DataFrame, by, names, method="auto") -> DataFrame:
+def profile(df: DataFrame, by, names) -> DataFrame:
     """Count, moments and quartiles per group and column, long form.
 
     Skewness and kurtosis carry the small-sample correction that statistical packages
@@ -89,7 +89,7 @@ def profile(df: DataFrame, by, names, method="auto") -> DataFrame:
         ]
         for q, p in (("q25", 0.25), ("median", 0.5), ("q75", 0.75)):
             wanted[f"{q}_{c}"] = (c, p)
-    wide = df.groupBy(*by).agg(*aggs).join(quantiles(df, by, wanted, method), by)
+    wide = df.groupBy(*by).agg(*aggs).join(quantiles(df, by, wanted), by)
     fields = ("n", "mean", "std", "min", "q25", "median", "q75", "max", "g1", "g2")
     rows = F.array(*[F.struct(F.lit(c).alias("variable"), *[F.col(f"{f}_{c}").alias(f) for f in fields]) for c in names])
     long = wide.select(*by, F.explode(rows).alias("r")).select(*by, "r.*")
@@ -136,10 +136,10 @@ def month_matrix(df: DataFrame, label="Fire_Occurred", entity="City", month="Mon
     return wide.select(entity, *[F.col(str(m)).alias(f"m{m}") for m in range(1, 13)])
 
 
-def outliers(df: DataFrame, by, names, method="auto") -> DataFrame:
+def outliers(df: DataFrame, by, names) -> DataFrame:
     """Count and percent of values beyond 1.5 interquartile ranges, long form."""
     by = list(by)
-    boxes = box_bounds(df, by, names, method)
+    boxes = box_bounds(df, by, names)
     long = melt(df, by, names)
     joined = long.join(F.broadcast(boxes) if not by else boxes, [*by, "variable"])
     out = F.count_if((F.col("value") < F.col("lower")) | (F.col("value") > F.col("upper")))
@@ -153,11 +153,11 @@ def melt(df: DataFrame, by, names) -> DataFrame:
     return wide.unpivot(list(by), list(names), "variable", "value")
 
 
-def box_bounds(df: DataFrame, by, names, method="auto") -> DataFrame:
+def box_bounds(df: DataFrame, by, names) -> DataFrame:
     """Quartiles and outlier fences per group and column, long form."""
     by = list(by)
     wanted = {f"{q}_{c}": (c, p) for c in names for q, p in (("q1", 0.25), ("q2", 0.5), ("q3", 0.75))}
-    wide = quantiles(df, by, wanted, method)
+    wide = quantiles(df, by, wanted)
     rows = F.array(
         *[F.struct(F.lit(c).alias("variable"), *[F.col(f"{q}_{c}").alias(q) for q in ("q1", "q2", "q3")]) for c in names]
     )
@@ -169,10 +169,10 @@ def box_bounds(df: DataFrame, by, names, method="auto") -> DataFrame:
     )
 
 
-def box_stats(df: DataFrame, by, names, method="auto") -> DataFrame:
+def box_stats(df: DataFrame, by, names) -> DataFrame:
     """Quartiles, whisker ends (last values inside the fences) and outlier count."""
     by = list(by)
-    joined = melt(df, by, names).join(box_bounds(df, by, names, method), [*by, "variable"])
+    joined = melt(df, by, names).join(box_bounds(df, by, names), [*by, "variable"])
     inside = F.col("value").between(F.col("lower"), F.col("upper"))
     return joined.groupBy(*by, "variable", "q1", "q2", "q3").agg(
         F.min(F.when(inside, F.col("value"))).alias("whisker_lo"),
@@ -246,9 +246,9 @@ def first_non_null(df: DataFrame, variables, by=("City", "Date"), value="value")
     )
 
 
-def entity_medians(df: DataFrame, by=("City",), method="auto") -> DataFrame:
+def entity_medians(df: DataFrame, by=("City",)) -> DataFrame:
     names = [f.name for f in df.schema if isinstance(f.dataType, T.NumericType) and f.name not in by]
-    return medians(df, by, names, "", method)
+    return medians(df, by, names)
 
 
 def window_means(df: DataFrame, value: str, entity="City") -> DataFrame:

@@ -131,11 +131,11 @@ def align_forecasts(actual: DataFrame, *forecasts: DataFrame, on=("City", "varia
     return out
 
 
-def month_fill(df: DataFrame, history: DataFrame, value: str, entity="City", time="Date", method="auto") -> DataFrame:
+def month_fill(df: DataFrame, history: DataFrame, value: str, entity="City", time="Date") -> DataFrame:
     """Fill a column from the entity's median of the same month in the history."""
     from chronopanel.operators.quantiles import medians
 
-    table = medians(history.withColumn("_m", F.month(time)), [entity, "_m"], [value], "_med", method)
+    table = medians(history.withColumn("_m", F.month(time)), [entity, "_m"], [value], "_med")
     out = dimension(df.withColumn("_m", F.month(time)), table, [entity, "_m"])
     current = F.col(value) if value in df.columns else F.lit(None).cast("double")
     return out.withColumn(value, F.coalesce(current, f"{value}_med")).drop("_m", f"{value}_med")

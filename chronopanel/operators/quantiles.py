@@ -1,90 +1,112 @@
-"""Exact quantiles with linear interpolation, for groups of any size.
+"""Exact quantiles with linear interpolation, by counting on the ordered bits of a double.
 
-Spark's `percentile` holds every distinct value of a group in one task. It is used
-where the largest group is checked to be small. Beyond that two passes are made:
-approximate quantiles bracket each wanted rank, the rows below the bracket are only
-counted, and just the few values inside it are sorted.
+The 64 bits of a value, arranged so that their order is the order of the values, are read
+from the left in three digits. The first pass counts rows by group and first digit; the
+digit in which a wanted rank falls is known from the running counts. The next pass counts
+only the values that share this digit, by their second, the last one by their third, and
+the value is found. Passes are fixed; a group takes at most four million counters, however
+many rows it has, and counters of a task are summed before they move. Nothing is sorted but
+the counters, and no job runs while the plan is made.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-SMALL_GROUP = 2_000_000
-ACCURACY = 100_000
-WHOLE = 250_000
+#: How far a key is shifted to leave its first, its first two, all three digits.
+SHIFTS = (42, 21, 0)
+#: Parts into which the rows of a hot group are dealt where they meet the wanted digits.
+SALTS = 16
+#: The fraction bits of a double, the bias of its exponent.
+FRACTION, BIAS = 52, 1023
 
 
-def largest_group(df: DataFrame, by) -> int:
-    top = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()
-    return (top[0] or 0) if top else 0
+def with_ordered_bits(df: DataFrame, value: str, name: str) -> DataFrame:
+    """Add a long in the order of the doubles, one for each: -inf first, inf then NaN last.
+
+    Null gives 0. The parts are columns of their own, which keeps each expression small.
+    """
+    v, a, guess, low, e = F.col(value), F.col("_a"), F.col("_guess"), F.col("_low"), F.col("_e")
+    power = lambda x: F.pow(F.lit(2.0), x)
+    out = df.withColumn("_a", F.abs(v.cast("double") + F.lit(0.0)))
+    out = out.withColumn("_guess", F.least(F.greatest(F.floor(F.log2(a)), F.lit(1 - BIAS)), F.lit(BIAS)).cast("double"))
+    # the logarithm may be off by one next to a power of two
+    out = out.withColumn("_low", guess - (power(guess) > a).cast("double"))
+    out = out.withColumn("_e", F.greatest(low + ((low < BIAS) & (power(low + 1) <= a)).cast("double"), F.lit(float(1 - BIAS))))
+    normal = (e + BIAS).cast("long") * F.lit(1 << FRACTION) + ((a / power(e) - 1) * F.lit(2.0**FRACTION)).cast("long")
+    subnormal = (a * F.lit(2.0**537) * F.lit(2.0**537)).cast("long")
+    top = (2 * BIAS + 1) << FRACTION
+    size = F.when(F.isnan(a), F.lit(top + 1)).when(a == F.lit(float("inf")), F.lit(top)).when(a < F.lit(2.0 ** (1 - BIAS)), subnormal).otherwise(normal)
+    out = out.withColumn(name, size).drop("_a", "_guess", "_low", "_e")
+    signed = F.when((v < 0) & ~F.isnan(v), -F.col(name)).otherwise(F.col(name))
+    # never null, or joins on its digits would push tests for null with all of the above into the scan
+    return out.withColumn(name, F.coalesce(signed, F.lit(0).cast("long")))
 
 
-def quantiles(df: DataFrame, by, wanted: dict, method="auto") -> DataFrame:
-    """One row per group of `by`.
+def quantiles(df: DataFrame, by, wanted: dict) -> DataFrame:
+    """One row per group of `by`, groups without any value and null keys included.
 
-    wanted: {output name: (column, probability)}.
-    method: 'small', 'large', or 'auto' to decide by the size of the largest group.
+    wanted: {output name: (column, probability)}. Null values don't count, NaN is largest.
     """
     by = list(by)
-    if method == "auto":
-        method = "small" if largest_group(df, by) <= SMALL_GROUP else "large"
-    if method == "small":
-        # all probabilities of a column share one buffer
-        probs: dict = {}
-        for n, (c, p) in wanted.items():
-            probs.setdefault(c, {})[n] = float(p)
-        aggs = [F.percentile(c, F.array(*map(F.lit, of.values()))).alias(f"_q{i}") for i, (c, of) in enumerate(probs.items())]
-        at = {n: (i, j) for i, of in enumerate(probs.values()) for j, n in enumerate(of)}
-        picked = [F.col(f"_q{at[n][0]}")[at[n][1]].alias(n) for n in wanted]
-        return df.groupBy(*by).agg(*aggs).select(*by, *picked)
-    return _bracketed(df, by, wanted)
-
-
-def _bracketed(df, by, wanted, whole=WHOLE, accuracy=ACCURACY):
-    """Two passes; groups under `whole` rows need no bracket.
-
-    The first gives size and approximate neighbours of each wanted rank. The second
-    keeps the values between them and folds all smaller ones into one count, which
-    partial aggregation does before the shuffle.
-    """
-    margin = 4.0 / accuracy
     columns: dict = {}
     for n, (c, p) in wanted.items():
-        columns.setdefault(c, []).append((n, p))
-    aggs = []
-    for i, (c, items) in enumerate(columns.items()):
-        probs = [x for _, p in items for x in (max(0.0, p - margin), min(1.0, p + margin))]
-        v = F.col(c).cast("double")
-        aggs += [F.count(v).alias(f"_n{i}"), F.percentile_approx(v, probs, accuracy).alias(f"_a{i}")]
-    info = df.groupBy(*by).agg(*aggs)
-    marks = []
-    for i, (c, items) in enumerate(columns.items()):
-        n, v = F.col(f"_n{i}"), F.col(c).cast("double")
-        for j, (name, p) in enumerate(items):
-            small = n < whole
-            lo, hi = F.col(f"_a{i}")[2 * j], F.col(f"_a{i}")[2 * j + 1]
-            keep = small | (v <= hi)
-            value = F.when(small | (v >= lo), v)
-            mark = F.struct(F.lit(name).alias("q"), F.lit(float(p)).alias("p"), n.alias("n"), value.alias("v"))
-            marks.append(F.when(v.isNotNull() & keep, mark))
-    # one more mark per row, folded to one row per group, keeps groups without any value
-    marks.append(F.struct(F.lit("").alias("q"), F.lit(0.0).alias("p"), F.lit(0).cast("long").alias("n"), F.lit(None).cast("double").alias("v")))
-    joined = df.join(info, by) if by else df.crossJoin(F.broadcast(info))
-    long = joined.select(*by, F.explode(F.array_compact(F.array(*marks))).alias("_x")).select(*by, "_x.*")
-    keys = [*by, "q"]
-    counted = long.groupBy(*keys, "p", "n", "v").agg(F.count(F.lit(1)).alias("k"))
-    ordered = W.partitionBy(*keys).orderBy(F.asc_nulls_first("v"))
-    ranked = counted.withColumn("upto", F.sum("k").over(ordered))
-    h = (F.col("n") - 1) * F.col("p")
-    at = lambda r: F.min(F.when((F.col("upto") > r) & (F.col("upto") - F.col("k") <= r), F.col("v")))
-    picked = ranked.groupBy(*keys, "p", "n").agg(at(F.floor(h)).alias("a"), at(F.ceil(h)).alias("b"))
-    missed = F.raise_error(F.lit("quantile bracket missed its rank")).cast("double")
-    between = F.col("a") + (F.col("b") - F.col("a")) * (h - F.floor(h))
-    value = F.when(F.col("q") == "", F.lit(None)).when(F.col("a").isNull() | F.col("b").isNull(), missed).otherwise(between)
-    values = picked.select(*keys, value.alias("value"))
-    return values.groupBy(*by).agg(*[F.max(F.when(F.col("q") == n, F.col("value"))).alias(n) for n in wanted])
-
-
-def medians(df: DataFrame, by, names, suffix="", method="auto") -> DataFrame:
-    return quantiles(df, by, {f"{c}{suffix}": (c, 0.5) for c in names}, method)
+        columns.setdefault(c, []).append((n, float(p)))
+    # one key for all columns of a group, null ones too; without columns there is one group
+    key = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(by)]) if by else F.lit(0)
+    rows = df.select(key.alias("g"), *[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(columns)])
+    pairs = F.array(*[F.struct(F.lit(i).alias("c"), F.col(f"v{i}").alias("v")) for i in range(len(columns))])
+    values = rows.select("g", F.explode(pairs).alias("x")).select("g", "x.c", "x.v").where("v IS NOT NULL")
+    values = with_ordered_bits(values, "v", "bits")
+    counts = values.groupBy("g", "c", F.shiftright("bits", SHIFTS[0]).alias("digit")).agg(F.count(F.lit(1)).alias("k"))
+    counts = counts.withColumn("n", F.sum("k").over(W.partitionBy("g", "c")))
+    ranks = F.lit(None)
+    for i, items in enumerate(columns.values()):
+        ranks = F.when(F.col("c") == i, F.array(*[m for n, p in items for m in _ranks(n, p)])).otherwise(ranks)
+    marks = _found(counts.withColumn("marks", ranks), ["g", "c"])
+    for last, shift in zip(SHIFTS, SHIFTS[1:]):
+        shared = _sharing(values.withColumn("up", F.shiftright("bits", last)), marks, bool(by))
+        counts = shared.groupBy("g", "c", "up", "marks", F.shiftright("bits", shift).alias("digit")).agg(F.count(F.lit(1)).alias("k"), F.min("v").alias("v"))
+        marks = _found(counts, ["g", "c", "up"], last=shift == 0)
+    at = lambda q, side, x: F.max(F.when((F.col("q") == q) & (F.col("side") == side), F.col(x)))
+    out = []
+    for q in wanted:
+        lo, hi = at(q, 0, "v"), at(q, 1, "v")
+        out.append(F.when(lo == hi, lo).otherwise(lo + (hi - lo) * at(q, 0, "part")).alias(q))
+    if not by:
+        return marks.agg(*out)
+    keys = [F.col(f"g.k{i}").alias(c) for i, c in enumerate(by)]
+    return rows.select("g").distinct().join(marks.groupBy("g").agg(*out), "g", "left").select(*keys, *wanted)
+
+
+def _ranks(name: str, p: float) -> list[Column]:
+    """The two ranks between which a quantile of n values lies, and its part of the way."""
+    h = (F.col("n") - 1) * F.lit(p)
+    low, high = F.floor(h).cast("long"), F.ceil(h).cast("long")
+    mark = lambda side, r: F.struct(F.lit(name).alias("q"), F.lit(side).alias("side"), r.alias("r"), (h - low).alias("part"))
+    return [mark(0, low), mark(1, high)]
+
+
+def _found(counts: DataFrame, of: list[str], last: bool = False) -> DataFrame:
+    """The digits in which the ranks of `marks` fall, with the ranks among their values."""
+    before = W.partitionBy(*of).orderBy("digit").rowsBetween(W.unboundedPreceding, -1)
+    ran = counts.withColumn("before", F.coalesce(F.sum("k").over(before), F.lit(0)))
+    here = F.filter("marks", lambda m: (m["r"] >= F.col("before")) & (m["r"] < F.col("before") + F.col("k")))
+    ran = ran.withColumn("marks", F.transform(here, lambda m: m.withField("r", m["r"] - F.col("before")))).where(F.size("marks") > 0)
+    if last:
+        return ran.select("g", "v", F.explode("marks").alias("m")).select("g", "v", "m.*")
+    return ran.select("g", "c", F.col("digit").alias("up"), "marks")
+
+
+def _sharing(values: DataFrame, marks: DataFrame, grouped: bool) -> DataFrame:
+    """The values whose digits so far are those of a wanted rank, with the ranks."""
+    if not grouped:
+        # at most two digits a wanted quantile, whatever the rows
+        return values.join(F.broadcast(marks), ["g", "c", "up"])
+    salts = F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))
+    salted = values.withColumn("salt", F.pmod(F.xxhash64("bits"), F.lit(SALTS)))
+    return salted.join(marks.withColumn("salt", F.explode(salts)), ["g", "c", "up", "salt"]).drop("salt")
+
+
+def medians(df: DataFrame, by, names, suffix="") -> DataFrame:
+    return quantiles(df, by, {f"{c}{suffix}": (c, 0.5) for c in names})

@@ -66,26 +66,26 @@ def align_features(df: DataFrame, names, keep=("City", "Date")) -> DataFrame:
     return select_features(df, names, keep).fillna(0.0, subset=list(names))
 
 
-def winsorise(df: DataFrame, names, lo=0.01, hi=0.99, method="auto") -> DataFrame:
+def winsorise(df: DataFrame, names, lo=0.01, hi=0.99) -> DataFrame:
     """Clip each column at its global quantiles."""
     wanted = {}
     for c in names:
         wanted[f"{c}_qlo"], wanted[f"{c}_qhi"] = (c, lo), (c, hi)
-    q = quantiles(df, [], wanted, method)
+    q = quantiles(df, [], wanted)
     out = df.crossJoin(F.broadcast(q))
     return out.withColumns({c: clip(F.col(c), F.col(f"{c}_qlo"), F.col(f"{c}_qhi")) for c in names}).drop(*wanted)
 
 
-def median_fill(df: DataFrame, names, by=("City",), method="auto") -> DataFrame:
+def median_fill(df: DataFrame, names, by=("City",)) -> DataFrame:
     """Null to the entity's median, then to 0."""
-    out = dimension(df, medians(df, by, names, "_med", method), by)
+    out = dimension(df, medians(df, by, names, "_med"), by)
     return out.withColumns({c: F.coalesce(c, f"{c}_med", F.lit(0.0)) for c in names}).drop(*[f"{c}_med" for c in names])
 
 
-def zero_repair(df: DataFrame, history: DataFrame, base=(), calendar=(), lagged=(), by=("City",), method="auto") -> DataFrame:
+def zero_repair(df: DataFrame, history: DataFrame, base=(), calendar=(), lagged=(), by=("City",)) -> DataFrame:
     """Base columns: null or 0 to the history median. Lagged: only null. Calendar: null to 0."""
     known = [c for c in [*base, *lagged] if c in history.columns]
-    out = dimension(df, medians(history, by, known, "_med", method), by)
+    out = dimension(df, medians(history, by, known, "_med"), by)
     made: dict[str, Column] = {c: F.coalesce(F.col(c), F.lit(0)) for c in calendar}
     for c in [*base, *lagged]:
         value = F.nullif(F.col(c), F.lit(0.0)) if c in base else F.col(c)

@@ -55,16 +55,16 @@ def inputs(df: DataFrame):
     )
 
 
-def fit_thresholds(train: DataFrame, method="auto") -> DataFrame:
+def fit_thresholds(train: DataFrame) -> DataFrame:
     """One row: the 95th, 10th and 90th percentile of temperature, humidity and wind."""
     wanted = {"_t_high": (T, 0.95), "_h_low": (H, 0.10), "_w_high": (W, 0.90)}
-    return quantiles(train, [], wanted, method)
+    return quantiles(train, [], wanted)
 
 
-def fit(train: DataFrame, method="auto") -> Fitted:
+def fit(train: DataFrame) -> Fitted:
     names = [c for c in (T, H, R, W, "Solar_Radiation_Wm2_mean") if c in train.columns]
     monthly = train.withColumn("Month", F.month("Date"))
-    return Fitted(fit_thresholds(train, method), climatology(monthly, names))
+    return Fitted(fit_thresholds(train), climatology(monthly, names))
 
 
 def index_windows(o, t, h, r):

@@ -70,20 +70,56 @@ def test_salted_join_equals_plain_join_on_a_hot_key(spark, how):
     assert got == want
 
 
-@pytest.mark.parametrize("whole", [10, qt.WHOLE])
-def test_large_quantiles_equal_numpy(spark, whole):
+def test_bits_keep_the_order_of_doubles(spark):
+    rng = np.random.default_rng(3)
+    powers = [s * 2.0**e * f for e in range(-1074, 1024) for s in (1, -1) for f in (1.0, 1 + 2.0**-52, 1.5) if np.isfinite(2.0**e * f)]
+    below = [np.nextafter(2.0**e, 0) for e in range(-1073, 1024)]
+    odd = [0.0, -0.0, 5e-324, -5e-324, 2.2250738585072014e-308, 1.7976931348623157e308, float("inf"), -float("inf"), 0.1, 1 / 3]
+    any_ = rng.integers(-(1 << 63), (1 << 63) - 1, 4000).view(np.float64)
+    v = np.array([*powers, *below, *odd, *any_[np.isfinite(any_)]])
+    df = spark.createDataFrame([(float(x),) for x in [*v, float("nan")]], "v double")
+    rows = [(x["v"], x["b"]) for x in qt.with_ordered_bits(df, "v", "b").collect()]
+    got = dict(rows[:-1])
+    bits = (np.abs(v)).view(np.int64) * np.where(v < 0, -1, 1)
+    assert all(got[x] == b for x, b in zip(v.tolist(), bits.tolist()))
+    assert rows[-1][1] > got[float("inf")]
+
+
+def test_quantiles_equal_numpy(spark):
     rng = np.random.default_rng(1)
-    data = {"hot": rng.normal(size=40_000).round(3), "tied": rng.integers(0, 4, 9_000).astype(float), "one": np.array([7.0])}
-    rows = [(k, float(x)) for k, v in data.items() for x in v] + [("none", None)]
-    df = spark.createDataFrame(rows, "g string, v double")
-    wanted = {"a": ("v", 0.01), "b": ("v", 0.5), "c": ("v", 0.99)}
-    if whole == 10:
-        df = df.filter("g <> 'one' and g <> 'none'")
-    got = {x["g"]: x for x in qt._bracketed(df, ["g"], wanted, whole, 1_000).collect()}
-    for k in ("hot", "tied"):
-        np.testing.assert_allclose([got[k][n] for n in "abc"], np.quantile(data[k], [0.01, 0.5, 0.99]), atol=1e-12)
-    if whole != 10:
-        assert [got["none"][n] for n in "abc"] == [None] * 3 and got["one"]["b"] == 7.0
+    near = 1e9 + rng.integers(0, 50, 5_000) * 2.0**-20  # only the last bits tell these apart
+    signs = np.concatenate([-np.exp(rng.normal(size=900) * 30), np.exp(rng.normal(size=901) * 30), np.zeros(50)])
+    data = {"hot": rng.normal(size=40_000).round(3), "tied": rng.integers(0, 4, 9_000).astype(float), "near": near, "signs": signs, "one": np.array([7.0])}
+    rows = [(k, float(x), float(-x)) for k, v in data.items() for x in v] + [("none", None, None), (None, 4.0, None), (None, 6.0, None)]
+    df = spark.createDataFrame(rows, "g string, v double, w double")
+    wanted = {"a": ("v", 0.01), "b": ("v", 0.5), "c": ("v", 0.99), "lo": ("v", 0.0), "hi": ("v", 1.0), "w": ("w", 0.25)}
+    got = {x["g"]: x for x in qt.quantiles(df, ["g"], wanted).collect()}
+    assert len(got) == len(data) + 2
+    for k, v in data.items():
+        np.testing.assert_allclose([got[k][n] for n in ("a", "b", "c", "lo", "hi")], np.quantile(v, [0.01, 0.5, 0.99, 0, 1]), rtol=1e-12)
+        np.testing.assert_allclose(got[k]["w"], np.quantile(-v, 0.25), rtol=1e-12)
+    assert [got["none"][n] for n in wanted] == [None] * 6 and got[None]["b"] == 5.0 and got[None]["w"] is None
+
+
+def test_quantiles_of_all_rows_and_of_none(spark):
+    v = np.random.default_rng(2).normal(size=30_000)
+    df = spark.createDataFrame([(float(x),) for x in v], "v double")
+    got = qt.quantiles(df, [], {"m": ("v", 0.5), "q": ("v", 0.123)}).collect()
+    assert len(got) == 1 and (got[0]["m"], got[0]["q"]) == tuple(pytest.approx(x, rel=1e-12) for x in np.quantile(v, [0.5, 0.123]))
+    empty = qt.quantiles(df.limit(0), [], {"m": ("v", 0.5)}).collect()
+    assert len(empty) == 1 and empty[0]["m"] is None
+    # keys that look like the operator's own names
+    odd = spark.createDataFrame([(1, 2, 3.0), (1, 2, 5.0)], "c int, digit int, k double")
+    assert qt.medians(odd, ["c", "digit"], ["k"]).first()["k"] == 4.0
+
+
+def test_quantiles_start_no_job_while_planned(spark):
+    df = spark.range(1000).select((F.col("id") % 7).alias("g"), F.rand(1).alias("v"))
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("quantile-plan", "plan")
+    qt.quantiles(df, ["g"], {"m": ("v", 0.5)})
+    assert not tracker.getJobIdsForGroup("quantile-plan")
+    spark.sparkContext.setJobGroup("after", "after")
 
 
 def brute_ap(y, p):
