@@ -6,7 +6,7 @@ from catalog.base import DAILY, HOURLY, LONG, cols, daily, finish, hourly, long_
 from catalog.metrics import BOARD, PRED, RANK, predictions
 from chronopanel.operators import metrics
 from chronopanel.session import scratch
-from chronopanel.sources import readers, writers
+from chronopanel.sources import readers, tables, writers
 
 T, R = "Temperature_C_mean", "Rain_mm_sum"
 DAYS = f"WITH {DAILY} SELECT {cols(key='City', date='Date', num=f'{T} {R}')} FROM daily"
@@ -183,6 +183,28 @@ def s11_upsert(spark, sf):
     return finish(readers.parquet(spark, path))
 
 
+SNAPSHOT = f"""
+WITH {DAILY}, v AS (
+  SELECT 1 AS version, City, Date, {T}, {R} FROM daily WHERE Date <= DATE '{CUT}'
+  UNION ALL SELECT 2, City, Date, CASE WHEN Date >= DATE '2024-01-15' AND CAST(City AS INT) % 2 = 0 THEN {T} + 1 ELSE {T} END, {R} FROM daily WHERE Date <= DATE '{CUT}'
+  UNION ALL SELECT 3, City, Date, CASE WHEN Date >= DATE '2024-01-15' AND Date <= DATE '{CUT}' AND CAST(City AS INT) % 2 = 0 THEN {T} + 1 ELSE {T} END, {R} FROM daily)
+SELECT {cols(int_='version', key='City', date='Date', num=f'{T} {R}')} FROM v"""
+
+
+@query("s10_snapshots", SNAPSHOT)
+def s10_snapshots(spark, sf):
+    """Three versions of one table, each read as it was: a load, corrections of many days, new days."""
+    path = scratch(spark, "snapshots")
+    df = small_daily(spark, sf)
+    early = df.filter(F.col("Date") <= F.lit(CUT).cast("date"))
+    fix = early.filter((F.col("Date") >= F.lit("2024-01-15").cast("date")) & (F.col("City").cast("int") % 2 == 0))
+    tables.overwrite(early, path, "Date", keep=3)
+    tables.upsert(fix.withColumn(T, F.col(T) + 1), path, keep=3)
+    tables.append(df, path, keep=3)
+    read = [tables.read(spark, path, v).withColumn("version", F.lit(v)) for v in (1, 2, 3)]
+    return finish(read[0].unionByName(read[1]).unionByName(read[2]), "version", "City", "Date", T, R)
+
+
 @query("s12_csv_json_sinks", f"WITH {DAILY}, a AS (SELECT City, Date, {T} AS t FROM daily) SELECT 'csv' AS kind, count(*) AS n, count(DISTINCT City) AS cities FROM a UNION ALL SELECT 'json', count(*), count(DISTINCT City) FROM a")
 def s12_csv_json_sinks(spark, sf):
     path = scratch(spark, "sinks")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from catalog.base import HOURLY, cols, finish, hourly, query
 from catalog.functions import tier_sql
 from chronopanel.session import scratch
-from chronopanel.sources import readers, writers
+from chronopanel.sources import tables, writers
 from chronopanel.streaming import incremental
 
 T, R = "Temperature_C_mean", "Rain_mm_sum"
@@ -32,6 +32,6 @@ def s11_stream_daily(spark, sf):
     fixed = rows.filter(F.hour("Timestamp") == 7).withColumn("Temperature_C", F.col("Temperature_C") + 1)
     writers.parquet(rows.filter(F.hour("Timestamp") >= 12).unionByName(fixed), src, mode="append")
     run()
-    daily = readers.parquet(spark, d).select("City", "Date", T, R)
-    public = readers.parquet(spark, pub).select(F.col("region").alias("City"), F.to_date("date").alias("Date"), "probability", "risk_level")
+    daily = tables.read(spark, d).select("City", "Date", T, R)
+    public = tables.read(spark, pub).select(F.col("region").alias("City"), F.to_date("date").alias("Date"), "probability", "risk_level")
     return finish(daily.join(public, ["City", "Date"]))

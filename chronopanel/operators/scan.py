@@ -57,10 +57,21 @@ def _merge(p: Prefix, local: Column, before: Column) -> Column:
     return (F.greatest if p.kind == "max" else F.least)(local, before)
 
 
-def running(df: DataFrame, group, block: str, order: str, prefixes, descending=False) -> DataFrame:
+def totals(df: DataFrame, group, order: str, prefixes) -> DataFrame:
+    """What the rows of each group add to later running values: one row, `_t_` columns."""
+    return df.groupBy(*group).agg(*[_total(p, F.col(order)).alias(f"_t_{p.name}") for p in prefixes])
+
+
+def merged(parts: DataFrame, group, prefixes) -> DataFrame:
+    """Totals of several parts of a group as one row."""
+    return parts.groupBy(*group).agg(*[_FOLD[p.kind](f"_t_{p.name}").alias(f"_t_{p.name}") for p in prefixes])
+
+
+def running(df: DataFrame, group, block: str, order: str, prefixes, descending=False, start: DataFrame | None = None) -> DataFrame:
     """Add running values over `group` ordered by `order`.
 
-    `order` is unique within a group and `block` is monotone in it.
+    `order` is unique within a group and `block` is monotone in it. `start` holds the
+    totals of rows that came before and are not read again, one row a group.
     """
     group = list(group)
     keys = group + [block]
@@ -69,9 +80,12 @@ def running(df: DataFrame, group, block: str, order: str, prefixes, descending=F
     frames = {i: ordered.rowsBetween(W.unboundedPreceding, 0 if i else -1) for i in (True, False)}
     # a descending scan needs the value at the smallest position, so negate it
     pos = -F.col(order) if descending else F.col(order)
-    totals = df.groupBy(*keys).agg(*[_total(p, pos).alias(f"_t_{p.name}") for p in prefixes])
+    parts = df.groupBy(*keys).agg(*[_total(p, pos).alias(f"_t_{p.name}") for p in prefixes])
+    if start is not None:
+        first = F.lit(-(1 << 62)).cast(df.schema[block].dataType).alias(block)
+        parts = parts.unionByName(start.select(*group, first, *[f"_t_{p.name}" for p in prefixes]))
     before = W.partitionBy(*group).orderBy(sign(block)).rowsBetween(W.unboundedPreceding, -1)
-    carried = totals.select(
+    carried = parts.select(
         *keys, *[_FOLD[p.kind](f"_t_{p.name}").over(before).alias(f"_c_{p.name}") for p in prefixes]
     )
     local = df.withColumns({f"_l_{p.name}": _local(p, frames[p.inclusive]) for p in prefixes})

@@ -191,11 +191,14 @@ def mean_trail(value: str, name: str, default=0.0) -> Trail:
     return Trail(name, parts, F.coalesce(F.try_divide(F.col(total).cast("double"), F.col(n)), F.lit(default)))
 
 
-def unlimited(df: DataFrame, s: Series, trails, within=()) -> DataFrame:
-    """Add all trails of the entity, or of the entity and `within` columns, in one scan."""
+def unlimited(df: DataFrame, s: Series, trails, within=(), start: DataFrame | None = None) -> DataFrame:
+    """Add all trails of the entity, or of the entity and `within` columns, in one scan.
+
+    `start` holds totals of earlier rows (operators.scan), from which the trails go on.
+    """
     had = "_pos" in df.columns
     prefixes = [p for t in trails for p in t.prefixes]
-    out = running(indexed(df, s), [*s.entity, *within], "_chunk", "_pos", prefixes)
+    out = running(indexed(df, s), [*s.entity, *within], "_chunk", "_pos", prefixes, start=start)
     out = out.withColumns({t.name: t.value for t in trails}).drop(*[p.name for p in prefixes])
     return out if had else unindexed(out)
 
@@ -212,11 +215,17 @@ def expanding_mean(df: DataFrame, value: str, name: str, s=DAILY, within=(), def
     return unlimited(df, s, [mean_trail(value, name, default)], within)
 
 
-def fill(df: DataFrame, names, s=DAILY, leak_free=True) -> DataFrame:
-    """Carry the last known value forward; leak_free=False then also the next one back."""
+def fill_prefixes(names) -> list[Prefix]:
+    return [Prefix(f"_f_{c}", "last", F.col(c)) for c in names]
+
+
+def fill(df: DataFrame, names, s=DAILY, leak_free=True, start: DataFrame | None = None) -> DataFrame:
+    """Carry the last known value forward; leak_free=False then also the next one back.
+
+    `start` holds totals of earlier rows (operators.scan).
+    """
     had = "_pos" in df.columns
-    forward = [Prefix(f"_f_{c}", "last", F.col(c)) for c in names]
-    out = running(indexed(df, s), s.entity, "_chunk", "_pos", forward)
+    out = running(indexed(df, s), s.entity, "_chunk", "_pos", fill_prefixes(names), start=start)
     value = {c: F.col(f"_f_{c}") for c in names}
     made = [f"_f_{c}" for c in names]
     if not leak_free:

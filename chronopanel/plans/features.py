@@ -112,6 +112,19 @@ def event_trails(label=LABEL):
     ]
 
 
+def daily_trails(df: DataFrame) -> tuple[list, list]:
+    """The unlimited features of an entity, and of an entity's month, that the panel's columns allow."""
+    trails = [w.streak_trail(inputs(df)[3] < 0.1, "dry_days_streak")]
+    if LABEL not in df.columns:
+        return trails, []
+    return trails + event_trails(LABEL), [w.mean_trail(LABEL, "city_month_fire_rate")]
+
+
+def daily_reach(events: bool) -> int:
+    """Rows behind a row that its limited windows read; codes reach 29 rows, windows over them further."""
+    return 29 + max(*DAILY_LAGS, *DAILY_WINDOWS, *(EVENT_WINDOWS if events else ()))
+
+
 def event_history(df: DataFrame, s=w.DAILY, label=LABEL) -> DataFrame:
     """Past event counts, rows since the last event, past rates; never the row's own label."""
     out = w.indexed(df, s)
@@ -128,21 +141,23 @@ def daily_features(
     static: DataFrame | None = None,
     lagged=LAGGED_DAILY,
     history=True,
+    start: tuple | None = None,
 ) -> DataFrame:
     """The daily feature surface.
 
     Rows are counted once. The unlimited features of the entity share one scan, and all
     limited windows share one ordering: the moisture and drought codes first, then the
-    lags and rolling statistics over them.
+    lags and rolling statistics over them. `start` holds totals of earlier rows by entity
+    and by entity and month (plans.state); the frame then brings its own `_pos`.
     """
     out = w.indexed(comfort(add_calendar(df)), s)
     t, h, wind, r = inputs(out)
     events = history and LABEL in out.columns
-    trails = [w.streak_trail(r < 0.1, "dry_days_streak")]
-    if events:
-        trails += event_trails(LABEL)
-        out = w.unlimited(out, s, [w.mean_trail(LABEL, "city_month_fire_rate")], within=["Month"])
-    out = w.unlimited(out, s, trails)
+    trails, monthly = daily_trails(out if events else out.drop(LABEL))
+    before, before_month = start or (None, None)
+    if monthly:
+        out = w.unlimited(out, s, monthly, within=["Month"], start=before_month)
+    out = w.unlimited(out, s, trails, start=before)
     names = [c for c in lagged if c in out.columns] + ["FWI_proxy", "VPD_kPa", "dry_days_streak"]
 
     def codes(o):
@@ -159,8 +174,7 @@ def daily_features(
             made.update({f"fire_count_{n}d": F.sum(LABEL).over(o.rowsBetween(-n, -1)) for n in EVENT_WINDOWS})
         return made
 
-    reach = 29 + max(*DAILY_LAGS, *DAILY_WINDOWS, *(EVENT_WINDOWS if events else ()))
-    out = w.unindexed(w.bounded(out, s, [codes, indices, trailing], reach))
+    out = w.unindexed(w.bounded(out, s, [codes, indices, trailing], daily_reach(events)))
     out = extreme_weather(out, fitted.thresholds, s)
     out = anomalies(out, fitted.climatology, s)
     if static is not None:

@@ -1,8 +1,9 @@
 """Incremental runs over files that land in a folder.
 
 A run takes what arrived since the last one (trigger availableNow) and stops. Each batch
-replaces rows by key in day-partitioned tables, so a batch that is run again after a
-failure leaves the same tables.
+replaces rows by key in snapshot tables kept by day, so a batch that is run again after a
+failure leaves the same rows, and readers see each table before or after a batch. The days
+of a batch are collected once; the tables are read by these days' folders only.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from chronopanel.operators.aggregate import daily_panel
 from chronopanel.plans.serve import daily_table
-from chronopanel.sources import writers
+from chronopanel.sources import tables
 
 
 def land(spark: SparkSession, folder: str, schema) -> DataFrame:
@@ -19,18 +20,22 @@ def land(spark: SparkSession, folder: str, schema) -> DataFrame:
     return spark.readStream.schema(schema).parquet(folder)
 
 
-def store_hourly(batch: DataFrame, path: str, ts="Timestamp", entity="City") -> DataFrame:
+def store_hourly(batch: DataFrame, path: str, ts="Timestamp", entity="City") -> list:
     """Upsert measurements by (entity, time) into days; returns the batch's days."""
     rows = batch.withColumn("Date", F.to_date(ts))
-    writers.upsert(rows, path, (entity, ts), "Date")
-    return rows.select("Date").distinct()
+    tables.upsert(rows, path, (entity, ts), "Date")
+    return [r[0] for r in rows.select("Date").distinct().collect()]
 
 
-def refresh_daily(spark: SparkSession, hourly_path: str, daily_path: str, days: DataFrame, schema, entity="City", ts="Timestamp") -> None:
+def of_days(spark: SparkSession, path: str, days: list) -> DataFrame:
+    """The stored rows of some days; the literals prune the table's folders."""
+    return tables.read(spark, path).where(F.col("Date").isin(days))
+
+
+def refresh_daily(spark: SparkSession, hourly_path: str, daily_path: str, days: list, entity="City", ts="Timestamp") -> None:
     """Recompute the daily rows of the given days from every hour stored for them."""
-    stored = spark.read.schema(schema).parquet(hourly_path)
-    touched = stored.join(days, "Date", "left_semi")
-    writers.upsert(daily_panel(touched.drop("Date"), entity, ts), daily_path, (entity, "Date"), "Date")
+    touched = of_days(spark, hourly_path, days)
+    tables.upsert(daily_panel(touched.drop("Date"), entity, ts), daily_path, (entity, "Date"), "Date")
 
 
 def run_available(
@@ -49,19 +54,14 @@ def run_available(
     `scorer(daily)` returns the daily rows with a probability; the public table then gets
     the same days.
     """
-    from pyspark.sql import types as T
-
-    stored_schema = T.StructType(list(schema.fields) + [T.StructField("Date", T.DateType())])
-
     def handle(batch: DataFrame, _id: int) -> None:
         rows = batch.persist()
         try:
             days = store_hourly(rows, hourly_path)
-            refresh_daily(spark, hourly_path, daily_path, days, stored_schema)
+            refresh_daily(spark, hourly_path, daily_path, days)
             if scorer is not None and public_path:
-                fresh = spark.read.parquet(daily_path).join(days, "Date", "left_semi")
-                public = daily_table(scorer(fresh))
-                writers.upsert(public, public_path, ("region", "date"), "date")
+                public = daily_table(scorer(of_days(spark, daily_path, days)))
+                tables.upsert(public, public_path, ("region", "date"), "date")
         finally:
             rows.unpersist()
 
