@@ -203,7 +203,7 @@ def s14_bundle(spark, sf):
 def m14_batch_scoring(spark, sf):
     """History to features to a model; forecast rows to features, scores and the public table."""
     from catalog.base import long_panel
-    from chronopanel.plans import features, serve
+    from chronopanel.plans import features, serve, state
 
     df = stage(long_panel(spark, sf).drop("n"))
     day = lambda d: F.lit(d).cast("date")
@@ -214,7 +214,9 @@ def m14_batch_scoring(spark, sf):
     names = ["Temperature_C_mean", "FWI_proxy", "Temperature_C_mean_lag1", "Rain_mm_sum_roll7_mean", "city_fire_rate", "temp_x_wind"]
     fitted = t.fit_all({"f": t.forest(names, numTrees=4, maxDepth=4)}, train.select("City", "Date", *names, F.col("Fire_Occurred").alias("y")))["f"]
     b = bundle.Bundle("RandomForest", fitted, 0.44, names)
-    ready = features.serving_features(forecast, history, stats_of)
+    path = scratch(spark, "scoring-state")
+    state.fit(history).save(path)
+    ready = state.daily(forecast, state.load(spark, path), stats_of)
     public = serve.daily_table(serve.attach_scores(forecast, bundle.score(b, ready, ["City", "Date"])), b.threshold)
     return finish(public)
 

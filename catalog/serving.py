@@ -2,12 +2,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.base import DAILY, HOURLY, cols, daily, finish, hourly, measurements, query, table
+from catalog.base import DAILY, HOURLY, LONG, cols, daily, finish, hourly, long_panel, measurements, query, table
 from catalog.functions import colour_sql, fwi_sql, summary_sql, tier_sql, warning_sql
 from chronopanel.functions import columns, risk
 from chronopanel.operators import aggregate, windows as w
-from chronopanel.plans import features, serve
-from chronopanel.session import stage
+from chronopanel.plans import features, serve, state
+from chronopanel.session import scratch, stage
 
 T, H, W, R = "Temperature_C_mean", "Humidity_percent_mean", "Wind_Speed_kmh_mean", "Rain_mm_sum"
 
@@ -157,3 +157,63 @@ HF = "Temperature_C_lag6h Rain_mm_roll12h_mean Hour_sin"
 )
 def feature_surface_hourly(spark, sf):
     return finish(features.hourly_features(hourly(spark, sf)), "City", "Timestamp", "is_daytime", *HF.split())
+
+
+# rows that the serving state stands for, rows that move it forward in two steps, forecast rows
+STEPS, LAST = ("2000-07-01", "2001-01-01", "2001-01-15"), "2001-02-14"
+SERVED = f"{T}_lag1 {T}_lag30 {T}_roll30_mean {R}_roll7_std FWI_proxy FWI_proxy_lag7 {R}_roll30_mean {T}_anomaly Rainfall_Deficit city_fire_rate city_month_fire_rate"
+COUNTED = "dry_days_streak dry_days_streak_lag3 days_since_last_fire fire_count_7d fire_count_90d"
+
+
+@query(
+    "serving_daily",
+    f"""WITH {LONG}, src AS (SELECT City, Date, {T}, {H}, {W}, {R}, CASE WHEN Date < DATE '{STEPS[-1]}' THEN Fire_Occurred END AS Fire_Occurred FROM longp WHERE Date < DATE '{LAST}'), {fwi_sql('src')},
+    c AS (SELECT City, month(Date) AS m, avg({T}) AS ct, avg({R}) AS cr FROM src WHERE Date < DATE '{STEPS[-1]}' GROUP BY 1, 2),
+    n AS (SELECT *, row_number() OVER (PARTITION BY City ORDER BY Date) AS pos, CASE WHEN {R} < 0.1 THEN 1 ELSE 0 END AS dry FROM fwi),
+    i AS (SELECT *, pos - coalesce(max(CASE WHEN dry = 0 THEN pos END) OVER (PARTITION BY City ORDER BY Date), 0) AS dry_days_streak FROM n),
+    x AS (SELECT *, lag({T}, 1) OVER o AS {T}_lag1, lag({T}, 30) OVER o AS {T}_lag30, avg({T}) OVER (o ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING) AS {T}_roll30_mean,
+      stddev_samp({R}) OVER (o ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) AS {R}_roll7_std, lag(FWI_proxy, 7) OVER o AS FWI_proxy_lag7, lag(dry_days_streak, 3) OVER o AS dry_days_streak_lag3,
+      avg({R}) OVER (o ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING) AS {R}_roll30_mean, coalesce(sum({R}) OVER (o ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING), 0) AS r30,
+      least(coalesce(pos - max(CASE WHEN Fire_Occurred = 1 THEN pos END) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 9999), 365) AS days_since_last_fire,
+      sum(Fire_Occurred) OVER (o ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) AS fire_count_7d, sum(Fire_Occurred) OVER (o ROWS BETWEEN 90 PRECEDING AND 1 PRECEDING) AS fire_count_90d,
+      coalesce(avg(Fire_Occurred) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS city_fire_rate,
+      coalesce(avg(Fire_Occurred) OVER (PARTITION BY City, month(Date) ORDER BY Date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS city_month_fire_rate
+      FROM i WINDOW o AS (PARTITION BY City ORDER BY Date)),
+    f AS (SELECT x.*, {T} - ct AS {T}_anomaly, cr * 30 - r30 AS Rainfall_Deficit FROM x LEFT JOIN c ON x.City = c.City AND month(x.Date) = c.m WHERE Date >= DATE '{STEPS[-1]}')
+    SELECT {cols(key='City', date='Date', num=SERVED, int_=COUNTED)} FROM f""",
+)
+def serving_daily(spark, sf):
+    """Features of 30 days from the saved state alone: fitted on years, moved forward twice."""
+    panel = stage(long_panel(spark, sf).select("City", "Date", T, H, W, R, "Fire_Occurred"))
+    day = [F.lit(d).cast("date") for d in (*STEPS, LAST)]
+    path = scratch(spark, "serving-state")
+    state.fit(panel.filter(F.col("Date") < day[0])).save(path)
+    for lo, hi in ((day[0], day[1]), (day[1], day[2])):
+        state.advance(state.load(spark, path), panel.filter((F.col("Date") >= lo) & (F.col("Date") < hi))).save(path)
+    fitted = features.fit(panel.filter(F.col("Date") < day[2]))
+    forecast = panel.filter((F.col("Date") >= day[2]) & (F.col("Date") < day[3])).drop("Fire_Occurred")
+    out = state.daily(forecast, state.load(spark, path), fitted)
+    return finish(out, "City", "Date", *SERVED.split(), *COUNTED.split())
+
+
+HS = "Temperature_C_lag24h Temperature_C_lag1h Rain_mm_roll24h_mean Wind_Speed_kmh_roll6h_std Hour_sin"
+HOURS = ("2024-01-20", "2024-01-24")
+
+
+@query(
+    "serving_hourly",
+    f"""WITH {HOURLY}, f AS (SELECT City, Timestamp, lag(Temperature_C, 24) OVER o AS Temperature_C_lag24h, lag(Temperature_C) OVER o AS Temperature_C_lag1h,
+      avg(Rain_mm) OVER (o ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING) AS Rain_mm_roll24h_mean, stddev_samp(Wind_Speed_kmh) OVER (o ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING) AS Wind_Speed_kmh_roll6h_std,
+      sin(2 * pi() * hour(Timestamp) / 24) AS Hour_sin FROM hourly WINDOW o AS (PARTITION BY City ORDER BY Timestamp))
+    SELECT {cols(key='City', stamp='Timestamp', num=HS)} FROM f WHERE Timestamp >= TIMESTAMP '{HOURS[1]}'""",
+)
+def serving_hourly(spark, sf):
+    """Hourly features of the following week from the saved tail alone."""
+    panel = stage(hourly(spark, sf).drop("p"))
+    at = [F.lit(d).cast("timestamp_ntz") for d in HOURS]
+    path = scratch(spark, "serving-state-hourly")
+    state.fit(panel.filter(F.col("Timestamp") < at[0]), w.HOURLY).save(path)
+    new = panel.filter((F.col("Timestamp") >= at[0]) & (F.col("Timestamp") < at[1]))
+    state.advance(state.load(spark, path), new, w.HOURLY).save(path)
+    out = state.hourly(panel.filter(F.col("Timestamp") >= at[1]), state.load(spark, path))
+    return finish(out, "City", "Timestamp", *HS.split())

@@ -26,6 +26,8 @@ from chronopanel.sources import tables
 
 #: Columns known less often than daily, carried forward.
 CARRIED = ("NDVI", "EVI", "NDBI")
+#: The tables of a state; saved versions of each that stay readable.
+PARTS, STATES = ("tail", "entity", "month"), 8
 #: Rows that hourly windows read behind a row.
 HOURLY_REACH = max(*HOURLY_LAGS, *HOURLY_WINDOWS)
 
@@ -40,13 +42,17 @@ class State:
     month: DataFrame
 
     def save(self, path: str) -> None:
-        """Each table as a new version; readers of an older one are not disturbed."""
-        for name in ("tail", "entity", "month"):
-            tables.overwrite(getattr(self, name), f"{path}/{name}")
+        """A new version of each table, then one row that names the three; that row makes the
+        state current. Readers of an older state are not disturbed."""
+        made = [tables.overwrite(getattr(self, name), f"{path}/{name}", keep=STATES) for name in PARTS]
+        spark = self.tail.sparkSession
+        tables.overwrite(spark.createDataFrame([made], ", ".join(f"{name} long" for name in PARTS)), f"{path}/current")
 
 
 def load(spark: SparkSession, path: str) -> State:
-    return State(*[tables.read(spark, f"{path}/{name}") for name in ("tail", "entity", "month")])
+    """The state saved last."""
+    versions = tables.read(spark, f"{path}/current").first()
+    return State(*[tables.read(spark, f"{path}/{name}", versions[name]) for name in PARTS])
 
 
 def _prefixes(rows: DataFrame, s: w.Series) -> tuple[list[Prefix], list[Prefix]]:
@@ -67,7 +73,7 @@ def _placed(rows: DataFrame, s: w.Series, entity: DataFrame | None) -> DataFrame
     timed = rows.withColumn("_seg", F.floor(w.time_index(s) / s.chunk).cast("long"))
     out = row_rank(timed, s.entity, "_seg", s.time, "_pos").drop("_seg")
     if entity is not None:
-        out = out.join(entity.select(*s.entity, F.col("rows").alias("_before")), list(s.entity), "left")
+        out = out.join(entity.select(*s.entity, F.col("_t_rows").alias("_before")), list(s.entity), "left")
         out = out.withColumn("_pos", F.col("_pos") + F.coalesce("_before", F.lit(0))).drop("_before")
     out = out.withColumn("_pos", F.col("_pos").cast("long") - 1)
     return out.withColumn("_chunk", F.floor(F.col("_pos") / s.chunk).cast("long"))
@@ -81,13 +87,13 @@ def _split(rows: DataFrame, s: w.Series, old: State | None) -> State:
     marked = stage(placed.join(last, list(s.entity)).withColumn("_kept", F.col("_pos") >= F.col("_upto") - _reach(rows, s)), "placed")
     gone = marked.where(~F.col("_kept"))
     by_entity, by_month = _prefixes(dated, s)
-    entity = totals(gone, s.entity, "_pos", by_entity).join(gone.groupBy(*s.entity).agg(F.max(F.col("_pos") + 1).alias("rows")), list(s.entity))
+    # the first position behind a part is the number of rows before it
+    before = Prefix("rows", "max", F.col("_pos") + 1)
+    entity = totals(gone, s.entity, "_pos", [*by_entity, before])
     months = [*s.entity, *(["Month"] if by_month else [])]
     month = totals(gone, months, "_pos", by_month) if by_month else gone.select(*s.entity).distinct()
     if old:
-        counted = Prefix("rows", "max", F.lit(0))
-        entity = entity.withColumnRenamed("rows", "_t_rows").unionByName(old.entity.withColumnRenamed("rows", "_t_rows"))
-        entity = merged(entity, s.entity, [*by_entity, counted]).withColumnRenamed("_t_rows", "rows")
+        entity = merged(entity.unionByName(old.entity), s.entity, [*by_entity, before])
         month = merged(month.unionByName(old.month), months, by_month) if by_month else old.month
     tail = marked.where("_kept").select(*rows.columns)
     return State(tail, entity, month)
