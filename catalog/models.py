@@ -173,19 +173,31 @@ def m12_role_blend(spark, sf):
     return finish(ensemble.role_blend(p, ensemble.role_weights(board), ["event_id"]))
 
 
-@query("m13_isotonic")
+# the min-max formula: at a score the greatest, over starts before it, of the least mean up to any end behind it
+ISOTONIC = """pts AS (SELECT model, p, sum(y) AS t, count(*) AS w FROM pred WHERE split = 'train' GROUP BY 1, 2),
+  cum AS (SELECT model, p, t, w, row_number() OVER o AS i, sum(t) OVER o AS ct, sum(w) OVER o AS cw FROM pts WINDOW o AS (PARTITION BY model ORDER BY p)),
+  spans AS (SELECT a.model, a.i AS a, b.i AS b, CAST(b.ct - a.ct + a.t AS DOUBLE) / (b.cw - a.cw + a.w) AS mean FROM cum a JOIN cum b ON a.model = b.model AND a.i <= b.i),
+  low AS (SELECT model, a, b, min(mean) OVER (PARTITION BY model, a ORDER BY b DESC) AS least FROM spans),
+  iso AS (SELECT cum.model, cum.p AS x, max(least) AS v FROM low JOIN cum ON cum.model = low.model AND cum.i = low.b GROUP BY 1, 2),
+  cal AS (SELECT t.model, event_id, y, t.p AS raw, CASE WHEN l.x IS NULL THEN h.v WHEN h.x IS NULL OR h.x = l.x THEN l.v ELSE l.v + (h.v - l.v) * (t.p - l.x) / (h.x - l.x) END AS p
+    FROM (SELECT * FROM pred WHERE split = 'test') t ASOF LEFT JOIN iso l ON t.model = l.model AND t.p >= l.x ASOF LEFT JOIN iso h ON t.model = h.model AND t.p <= h.x)"""
+
+
+@query("m13_isotonic", f"WITH {PRED}, {ISOTONIC} SELECT {cols(key='event_id model', int_='y', num='p')} FROM cal")
 def m13_isotonic(spark, sf):
-    p = predictions(spark, sf).filter("model = 'b'")
-    model = calibrate.fit_isotonic(p.filter("split = 'train'"))
-    return finish(calibrate.apply(model, p.filter("split = 'test'")), "event_id", "y", "p")
+    """Every model's test scores on the curve of its training scores."""
+    p = predictions(spark, sf)
+    knots = calibrate.fit_isotonic(p.filter("split = 'train'"), by=["model"])
+    return finish(calibrate.apply(knots, p.filter("split = 'test'"), by=["model"]), "event_id", "model", "y", "p")
 
 
 @query("m13_keep_calibrated")
 def m13_keep_calibrated(spark, sf):
-    p = predictions(spark, sf).filter("model = 'b'")
-    model = calibrate.fit_isotonic(p.filter("split = 'train'"))
+    """Raw or calibrated scores of all models' test rows."""
+    p = predictions(spark, sf)
+    knots = calibrate.fit_isotonic(p.filter("split = 'train'"), by=["model"])
     test = p.filter("split = 'test'")
-    return finish(calibrate.keep_calibrated(test, calibrate.apply(model, test)))
+    return finish(calibrate.keep_calibrated(test, calibrate.apply(knots, test, by=["model"])))
 
 
 @query("s14_bundle")

@@ -6,14 +6,13 @@ import json
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.regression import IsotonicRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 
 from chronopanel.functions.risk import predicted
 from chronopanel.models import calibrate
 from chronopanel.models.training import score as raw_score
 from chronopanel.operators.repair import align_features
-from chronopanel.sources import writers
+from chronopanel.sources import tables, writers
 
 
 @dataclass
@@ -22,13 +21,13 @@ class Bundle:
     model: PipelineModel
     threshold: float
     features: list
-    calibrator: IsotonicRegressionModel | None = None
+    calibrator: DataFrame | None = None  # knots of models.calibrate
 
 
 def save(bundle: Bundle, path: str, spark: SparkSession) -> None:
     bundle.model.write().overwrite().save(f"{path}/model")
     if bundle.calibrator is not None:
-        bundle.calibrator.write().overwrite().save(f"{path}/calibrator")
+        tables.overwrite(bundle.calibrator, f"{path}/calibrator")
     record = {
         "model_name": bundle.name,
         "optimal_threshold": bundle.threshold,
@@ -40,7 +39,7 @@ def save(bundle: Bundle, path: str, spark: SparkSession) -> None:
 
 def load(path: str, spark: SparkSession) -> Bundle:
     record = json.loads("".join(r["value"] for r in spark.read.text(f"{path}/manifest").collect()))
-    calibrator = IsotonicRegressionModel.load(f"{path}/calibrator") if record["calibrated"] else None
+    calibrator = tables.read(spark, f"{path}/calibrator") if record["calibrated"] else None
     return Bundle(
         record["model_name"], PipelineModel.load(f"{path}/model"), record["optimal_threshold"], record["features"], calibrator
     )

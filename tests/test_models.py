@@ -67,6 +67,44 @@ def test_stack_scores(rows):
     assert s.count() == 500 and metrics.ranking(s).first()["roc_auc"] > 0.8
 
 
+def test_isotonic_equals_the_min_max_formula(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rising = [("rising", k / 500, k) for k in range(500)]
+    rows = [("noisy", float(rng.integers(0, 300)) / 300, int(rng.random() < 0.3)) for _ in range(2000)] + rising
+    rows += [("falling", k / 90, int(k < 30)) for k in range(90)] + [("one", 0.5, 1), ("noisy", None, 1), (None, 0.2, 0), (None, 0.7, 1)]
+    df = spark.createDataFrame(rows, "m string, p double, y int")
+    for parts, fan in ((13, 2), (4, 8)):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        try:
+            knots = calibrate.fit_isotonic(df, by=["m"], fan=fan)
+            got = {(r.g, r.x): r.v for r in knots.collect()}
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", 8)
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        for name in ("noisy", "rising", "falling"):
+            pts: dict = {}
+            for m, p, y in rows:
+                if m == name and p is not None:
+                    pts.setdefault(p, []).append(y)
+            xs = sorted(pts)
+            t, n = np.r_[0, np.cumsum([sum(pts[x]) for x in xs])], np.r_[0, np.cumsum([len(pts[x]) for x in xs])]
+            mean = np.full((len(xs), len(xs)), np.inf)
+            for i in range(len(xs)):
+                mean[i, i:] = (t[i + 1 :] - t[i]) / (n[i + 1 :] - n[i])
+            least = np.minimum.accumulate(mean[:, ::-1], axis=1)[:, ::-1]
+            want = [least[: i + 1, i].max() for i in range(len(xs))]
+            own = sorted((x, v) for (g, x), v in got.items() if g == f'{{"m":"{name}"}}')
+            np.testing.assert_allclose(np.interp(xs, *zip(*own)), want, rtol=1e-12)
+    probe = spark.createDataFrame([(m, p) for m in ("noisy", "falling", "one", "absent", None) for p in (-1.0, 0.1, 0.3337, 0.5, 2.0, None)], "m string, p double")
+    probe = probe.withColumn("raw", F.col("p"))
+    small = sorted(map(str, calibrate.apply(knots, probe, by=["m"]).collect()))
+    monkeypatch.setattr(calibrate, "is_small", lambda df: False)
+    large = calibrate.apply(knots, probe, by=["m"]).select("m", "p", "raw")
+    assert sorted(map(str, large.collect())) == small
+    assert all((r.p is None) == (r.raw is None or r.m == "absent") for r in large.collect())
+
+
 def test_isotonic_is_monotone_and_clipped(rows, fitted):
     s = t.score(fitted["forest"], rows, ["id", "y"])
     cal = calibrate.apply(calibrate.fit_isotonic(s), s.withColumn("raw", F.col("p"))).orderBy("raw").toPandas()
