@@ -1,7 +1,8 @@
 """URL filters: allow and block rules, and a character language-model ratio for the rest.
 
 Two Markov models over characters, one for accepted and one for rejected URLs, are counted
-from the URLs that the rules judge. Each mixes contexts of two, one and no characters by
+from the URLs that the rules judge, over the whole URL: scheme, host, path, query and
+fragment. Each mixes contexts of two, one and no characters by
 Witten-Bell weights, so the order follows what was seen. Characters fall into a fixed
 alphabet, hence the table of log ratios has a fixed number of entries; it reaches the rows
 as a constant. A URL's score is the sum of its characters' log ratios divided by its
@@ -17,8 +18,10 @@ from chronopanel.llm.common import ascii_lower, columns
 
 #: The rules of the registered query, as (verdict, host and path).
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
-#: Symbols: 0 before the start, letters, digits, marks, other ASCII, the rest.
-SYMBOLS, MARKS = 35, "/.-_%"
+#: Symbols: 0 before the start, 26 letters, digits, marks, other ASCII, the rest.
+MARKS = "/.-_%?=&#:"
+OTHER = 28 + len(MARKS)
+SYMBOLS = OTHER + 2
 #: Log ratios are whole millionths; scores are binned by hundredths.
 UNIT, BIN = 1_000_000, 10_000
 
@@ -44,23 +47,30 @@ def rule(rules=RULES) -> Column:
     return found
 
 
+def symbol(char: str) -> int:
+    """The alphabet's number of an ASCII character, whatever its case."""
+    low = char.lower()
+    if "a" <= low <= "z":
+        return ord(low) - 96
+    return 27 if char.isdigit() else 28 + MARKS.index(char) if char in MARKS else OTHER
+
+
 def symbols(text: Column) -> Column:
     """The alphabet's numbers of a text's characters."""
+    numbers = F.array(*[F.lit(symbol(chr(k))) for k in range(128)])
+    return F.transform(F.filter(F.split(text, ""), lambda x: x != ""), lambda x: F.coalesce(F.get(numbers, F.ascii(x)), F.lit(OTHER + 1)))
 
-    def of(x: Column) -> Column:
-        code = F.ascii(x)
-        out = F.when(code.between(97, 122), code - 96).when(code.between(48, 57), F.lit(27))
-        for k, mark in enumerate(MARKS):
-            out = out.when(x == mark, F.lit(28 + k))
-        return out.when(code < 128, F.lit(33)).otherwise(F.lit(34))
 
-    return F.transform(F.filter(F.split(ascii_lower(text), ""), lambda x: x != ""), of)
+def triples(sym: Column) -> Column:
+    """Each symbol with the two before it, as one number; before the start are zeros."""
+    led = F.concat(F.array(F.lit(0), F.lit(0)), sym)
+    return F.transform(sym, lambda x, i: F.get(led, i) * SYMBOLS * SYMBOLS + F.get(led, i + 1) * SYMBOLS + x)
 
 
-def triples(sym: Column) -> Column:
-    """Each symbol with the two before it, as one number."""
-    before = lambda i, k: F.when(i >= k, F.get(sym, i - k)).otherwise(0)
-    return F.transform(sym, lambda x, i: before(i, 2) * SYMBOLS * SYMBOLS + before(i, 1) * SYMBOLS + x)
+def kept_back(id: Column) -> Column:
+    """Whether a row is kept for the threshold: a fifth, by a hash of its id; a null id is not."""
+    hashed = F.conv(F.substring(F.md5(id.cast("string").cast("binary")), 1, 8), 16, 10).cast("long")
+    return F.coalesce(F.pmod(hashed, F.lit(5)) == 0, F.lit(False))
 
 
 def log_ratios(judged: DataFrame) -> DataFrame:
@@ -89,15 +99,17 @@ def log_ratios(judged: DataFrame) -> DataFrame:
 def judge(pages: DataFrame, rules=RULES, id: str = "page_id", url: str = "url") -> DataFrame:
     """page_id, host, path, rule, verdict (allow or block) and score of every row.
 
-    A null URL or one without `://` has empty host and path; nothing to score gives score
-    0, which is held against the threshold like any other. Where the rules accept or reject
-    no URL the threshold is 0. Repeated rows are judged each, an empty table gives an empty
-    one, other columns play no part.
+    A null URL or one without `://` has empty host and path, so no rule fits it. The models
+    read the whole URL as it is, with or without `://`; a null or empty one has score 0,
+    which is held against the threshold like any other. Where the rules accept or reject no
+    URL the threshold is 0. Ids of any type are taken, null ones too. Repeated rows are
+    judged each, an empty table gives an empty one, other columns play no part.
     """
-    rows = columns(pages, page_id=id, url=url).select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
-    rows = rows.withColumn("by", rule(rules)).withColumn("codes", triples(symbols(F.concat("host", "path"))))
-    kept_back = F.coalesce(F.pmod(F.col("page_id"), F.lit(5)) == 0, F.lit(False))
-    judged = rows.where("by IS NOT NULL").select("codes", F.col("by.verdict").alias("verdict"), kept_back.alias("back"))
+    rows = columns(pages, page_id=id, url=url)
+    rows = rows.select("page_id", "url", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
+    rows = rows.withColumn("by", rule(rules)).withColumn("codes", triples(symbols(F.coalesce("url", F.lit("")))))
+    back = kept_back(F.col("page_id"))
+    judged = rows.where("by IS NOT NULL").select("codes", F.col("by.verdict").alias("verdict"), back.alias("back"))
     ratios = log_ratios(judged.where(~F.col("back")))
     # SYMBOLS ** 3 numbers whatever the input, as a constant of the plan
     values = [str(r["value"]) for r in ratios.orderBy("code").collect()]
@@ -123,25 +135,25 @@ def judge(pages: DataFrame, rules=RULES, id: str = "page_id", url: str = "url")
 #: The same in DuckDB's SQL.
 SQL = rf"""
 WITH parts AS (
-  SELECT page_id, translate(regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  SELECT page_id, coalesce(url, '') AS url, translate(regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     regexp_extract(coalesce(url, ''), '^(?s:.*?)://[^/?#]*([^?#]*)', 1) AS path FROM pages),
 rows AS (
-  SELECT row_number() OVER () AS r, page_id, host, path,
+  SELECT row_number() OVER () AS r, page_id, url, host, path,
     CASE WHEN ('.' || host) LIKE '%.www.example.com' AND path LIKE '/en/%' THEN 'www.example.com/en/'
       WHEN ('.' || host) LIKE '%.example.com' AND path LIKE '/en/%' THEN 'example.com/en/'
       WHEN ('.' || host) LIKE '%.net' AND path LIKE '/fr/%' THEN 'net/fr/'
       WHEN ('.' || host) LIKE '%.net' AND path LIKE '/es/%' THEN 'net/es/'
       WHEN ('.' || host) LIKE '%.com' AND path LIKE '/%' THEN 'com/' END AS rule,
-    translate(host || path, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM parts),
-said AS (SELECT *, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS said, coalesce(page_id % 5 = 0, false) AS back FROM rows),
+    translate(url, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM parts),
+said AS (SELECT *, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS said, coalesce(CAST('0x' || substr(md5(CAST(page_id AS VARCHAR)), 1, 8) AS BIGINT) % 5 = 0, false) AS back FROM rows),
 chars AS (SELECT r, said, back, unnest(range(1, length(t) + 1)) AS i, t FROM said),
 syms AS (SELECT r, said, back, i, CASE WHEN ch BETWEEN 'a' AND 'z' THEN unicode(ch) - 96 WHEN ch BETWEEN '0' AND '9' THEN 27
-    WHEN ch = '/' THEN 28 WHEN ch = '.' THEN 29 WHEN ch = '-' THEN 30 WHEN ch = '_' THEN 31 WHEN ch = '%' THEN 32 WHEN unicode(ch) < 128 THEN 33 ELSE 34 END AS s
+    WHEN instr('{MARKS}', ch) > 0 THEN 27 + instr('{MARKS}', ch) WHEN unicode(ch) < 128 THEN {OTHER} ELSE {OTHER + 1} END AS s
   FROM (SELECT r, said, back, i, t[i] AS ch FROM chars)),
-codes AS (SELECT r, said, back, coalesce(lag(s, 2) OVER w, 0) * 1225 + coalesce(lag(s) OVER w, 0) * 35 + s AS code FROM syms WINDOW w AS (PARTITION BY r ORDER BY i)),
+codes AS (SELECT r, said, back, coalesce(lag(s, 2) OVER w, 0) * {SYMBOLS**2} + coalesce(lag(s) OVER w, 0) * {SYMBOLS} + s AS code FROM syms WINDOW w AS (PARTITION BY r ORDER BY i)),
 cells AS (
-  SELECT v.verdict, g.code, coalesce(n, 0) AS n3, g.code // 1225 AS a, g.code // 35 % 35 AS b, g.code % 35 AS c
-  FROM (SELECT unnest(range(0, 42875)) AS code) g CROSS JOIN (VALUES ('allow'), ('block')) v(verdict)
+  SELECT v.verdict, g.code, coalesce(n, 0) AS n3, g.code // {SYMBOLS**2} AS a, g.code // {SYMBOLS} % {SYMBOLS} AS b, g.code % {SYMBOLS} AS c
+  FROM (SELECT unnest(range(0, {SYMBOLS**3})) AS code) g CROSS JOIN (VALUES ('allow'), ('block')) v(verdict)
   LEFT JOIN (SELECT said, code, count(*) AS n FROM codes WHERE said IS NOT NULL AND NOT back GROUP BY ALL) x ON x.said = v.verdict AND x.code = g.code),
 two AS (SELECT verdict, b, c, sum(n3) AS n2 FROM cells GROUP BY ALL),
 one AS (SELECT verdict, c, sum(n2) AS n1 FROM two GROUP BY ALL),

@@ -204,6 +204,17 @@ def test_ranges():
     assert list(warc.ranges([(0, 10), (12, 5), (100, 5), (105, 50)], 2, 40)) == [[(0, 10), (12, 5)], [(100, 5)], [(105, 50)]]
 
 
+def test_urls_are_read_whole(spark):
+    """URLs that differ only in query, fragment or scheme are told apart; ids may be text."""
+    good = [(f"g{k}", f"http://a{k}.com/x{k % 7}?topic=plants&n={k}", "h") for k in range(300)]
+    bad = [(f"b{k}", f"http://a{k}.net/es/x{k % 7}?clickid=zzqq{k}#zzqq", "h") for k in range(300)]
+    probe = [("p1", "http://q.org/x1?topic=plants&n=5", "h"), ("p2", "http://q.org/x1?clickid=zzqq5#zzqq", "h"), ("p3", "topic=plants", "h"), ("p4", "clickid=zzqq#zzqq", "h"), (None, "q.org", "h")]
+    got = {r.page_id: r for r in urls.judge(spark.createDataFrame(good + bad + probe, "page_id string, url string, html string")).collect()}
+    assert [got[k].rule for k in ("p1", "p2", "p3", "p4")] == [None] * 4 and got["p3"].host == got["p4"].path == ""
+    assert [got[k].verdict for k in ("p1", "p2", "p3", "p4")] == ["allow", "block", "allow", "block"]
+    assert got["p1"].score > got["p2"].score and len(got) == 605
+
+
 def test_urls(spark):
     given = [(1, None), (2, "no scheme"), (3, "HTTP://WWW.Example.com/en/x?q#f"), (4, "http://example.com/en/1"), (5, "x://a.net/fr/é"), (6, "x://net/es/"), (7, "x://b.org"), (8, "x://c.com"), (8, "x://c.com")]
     p = spark.createDataFrame([(*g, "h", "p") for g in given], "page_id long, url string, host string, path string")
