@@ -8,15 +8,21 @@ border again, which grows on either side until the token left of it and its firs
 and its last token and the token right of it, are each the encoding of their own bytes.
 A row of tokens is the encoding of its bytes if that holds for every two neighbours, so
 the tokens outside the window are then final.
+
+Where a piece repeats a few bytes over and over, its tokens follow a cycle that starts at
+the head of the run, and a half that started out of step would be encoded anew as a whole.
+Such runs are cut where a cycle ends, so windows stay short and long pieces take linear time.
 """
 
 from __future__ import annotations
 
 import base64
+import heapq
 import re
 from array import array
 from collections.abc import Iterable
 
+import public_tokenizers
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -31,6 +37,9 @@ UNITS, PIECES, WINDOWS, MEMO_KEY = 1 << 17, 1 << 16, 1 << 16, 48
 ROWS = 500
 #: Above every rank.
 NONE = 1 << 62
+#: Bytes from which a window is merged by a heap; bytes from which a piece is searched for a run,
+#: the longest repeated unit, bytes looked at, and bytes and tokens in which its cycle must show.
+HEAP, RUN, PERIOD, SEEN, HEAD, CYCLE = 96, 64, 16, 24, 1536, 24
 
 #: The characters of Unicode's White_Space, which \\s means in split patterns.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -68,12 +77,17 @@ class Codec:
         self.ranks = ranks
         self.bytes = {r: t for t, r in ranks.items()}
         self.pattern = regex.compile(pattern)
+        # in other patterns a match may lie across white space: the whole text is one unit then
+        self.bordered = pattern == public_tokenizers.PATTERN
+        self.cycles: dict[bytes, tuple[int, int]] = {}
         self.units, self.pieces, self.windows = Memo(self.unit, UNITS), Memo(self.piece, PIECES), Memo(self.merged, WINDOWS)
 
     # -- pieces ----------------------------------------------------------------------
 
     def merged(self, data: bytes) -> list[bytes]:
-        """The direct encoding of a short window: lowest rank first, leftmost of equals."""
+        """The direct encoding of a window: lowest rank first, leftmost of equals."""
+        if len(data) > HEAP:
+            return self.heaped(data)
         parts = [data[i : i + 1] for i in range(len(data))]
         get = self.ranks.get
         pairs = [get(a + b, NONE) for a, b in zip(parts, parts[1:])]
@@ -91,6 +105,70 @@ class Codec:
         # the vocabulary's own objects, so that memos hold no copies
         return [self.bytes[self.ranks[t]] for t in parts]
 
+    def heaped(self, data: bytes) -> list[bytes]:
+        """The same for a long window, by a heap of pairs over linked parts."""
+        n, get = len(data), self.ranks.get
+        ends, before = list(range(1, n + 1)), list(range(-1, n - 1))  # a part from i to ends[i]; 0 once it is gone
+        heap = [(r, i) for i in range(n - 1) if (r := get(data[i : i + 2])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            rank, i = heapq.heappop(heap)
+            j = ends[i]
+            # an entry holds if both parts are still those it was made of
+            if not j or j >= n or get(data[i : ends[j]]) != rank:
+                continue
+            end = ends[i] = ends[j]
+            ends[j] = 0
+            if end < n:
+                before[end] = i
+                if (r := get(data[i : ends[end]])) is not None:
+                    heapq.heappush(heap, (r, i))
+            if i and (r := get(data[before[i] : end])) is not None:
+                heapq.heappush(heap, (r, before[i]))
+        out, i = [], 0
+        while i < n:
+            out.append(self.bytes[self.ranks[data[i : ends[i]]]])
+            i = ends[i]
+        return out
+
+    def cut(self, data: bytes) -> int:
+        """Where to halve: at the end of a cycle of tokens if the middle lies in a run, else in the middle."""
+        half = len(data) // 2
+        if len(data) < RUN:
+            return half
+        near = data[half - SEEN : half + SEEN]
+        period = next((p for p in range(1, PERIOD + 1) if near[p:] == near[:-p]), 0)
+        if not period:
+            return half
+        start, step = half - SEEN, SEEN
+        while step:
+            if start >= step and data[start - step : start] == data[start - step + period : start + period]:
+                start, step = start - step, 2 * step
+            else:
+                step //= 2
+        lead = min(start, SEEN)
+        head = data[start - lead : start + HEAD]
+        # halves that begin inside a run ask for the same cycle again and again
+        unit = b"" if lead else head[:period]
+        if unit not in self.cycles or not unit:
+            if len(self.cycles) >= UNITS:
+                self.cycles.clear()
+            self.cycles[unit] = self.cycle(unit * (HEAD // period) if unit else head)
+        first, length = self.cycles[unit]
+        at = start - lead + first
+        return at + (half - at) // length * length if length and at < half else half
+
+    def cycle(self, head: bytes) -> tuple[int, int]:
+        """Where the tokens of a run begin to repeat, and the bytes of one cycle (0: no cycle seen)."""
+        tokens = self.heaped(head)
+        tokens = tokens[: max(0, len(tokens) - 4)]  # the last ones feel the end
+        for first in range(min(CYCLE, len(tokens))):
+            for k in range(1, CYCLE):
+                row = tokens[first : first + max(3 * k, 4)]
+                if len(row) == max(3 * k, 4) and row[k:] == row[:-k]:
+                    return len(b"".join(tokens[:first])), len(b"".join(row[:k]))
+        return 0, 0
+
     def final(self, left: bytes, right: bytes) -> bool:
         return self.windows[left + right] == [left, right]
 
@@ -98,7 +176,7 @@ class Codec:
         """The encoding of a piece by halves."""
         if len(data) <= LEAF:
             return self.windows[data]
-        half = len(data) // 2
+        half = self.cut(data) or len(data) // 2
         return self.join(self.tree(data[:half]), self.tree(data[half:]))
 
     def join(self, left: list[bytes], right: list[bytes]) -> list[bytes]:
@@ -144,13 +222,17 @@ class Codec:
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit numbers."""
+        if not self.bordered:
+            return self.unit(text)
         of = self.units.__getitem__
         return b"".join([b"".join(map(of, UNIT.findall(leaf))) for leaf in self.leaves(text, 0, len(text))])
 
     def decode(self, ids: bytes) -> bytes:
         """The bytes that ids stand for; an unknown id is an error."""
-        token, step = self.bytes, 4 * LEAF_TEXT
-        return b"".join(b"".join([token[i] for i in memoryview(ids[k : k + step]).cast("I")]) for k in range(0, len(ids), step))
+        if len(ids) <= 4 * LEAF_TEXT:
+            return b"".join([self.bytes[i] for i in memoryview(ids).cast("I")])
+        half = len(ids) // 8 * 4
+        return self.decode(ids[:half]) + self.decode(ids[half:])
 
 
 CODECS: dict[tuple[str, str], Codec] = {}
