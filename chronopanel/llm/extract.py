@@ -6,7 +6,10 @@ by their element, role or name are marked; a name with other words in it counts
 the text is thin, and none counts on what holds an article. The ratio of text to tags per line is smoothed
 by a Gaussian; a two-means threshold splits the lines into two clusters. The content region
 is the smallest container that holds all unmarked lines of the upper cluster, articles first;
-all its lines count, short ones too, except marked ones.
+all its lines count, short ones too, except marked ones. Of several articles those count whose
+text in the upper cluster is not far less than the richest one's: teasers and reader comments
+are articles as well. An article inside another one is a comment on it, and an article inside
+comments is one of them, unless the page would be left with nothing.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ BLOCKS = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 OUTSIDE = frozenset("nav header footer aside form head title menu dialog button select option textarea fieldset label".split())
-NO_TEXT = frozenset("script style noscript template iframe object svg math canvas audio video head title select textarea button".split())
+NO_TEXT = frozenset("script style noscript template iframe object svg canvas audio video head title select textarea button".split())
 SELF_ENDING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 HOLDERS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}}
 #: Elements that can be the content region, and those whose text beside one belongs to it.
@@ -38,11 +41,17 @@ BESIDE_TEXT = frozenset("p blockquote pre h1".split())
 NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense adbox banner billboard sponsor sponsored sponsors promo promotion promoted "
     "nav navbar navigation menu menus submenu breadcrumb breadcrumbs sidebar sidebars aside widget widgets header masthead topbar footer foot bottombar "
-    "cookie cookies consent gdpr notice notices alert notification popup modal overlay comment comments comentarios respond disqus reply replies discussion "
-    "share sharing social related recommended recommendations newsletter subscribe subscription signup login search pagination pager toolbar tags copyright legal disclaimer "
+    "cookie cookies consent gdpr notice notices alert notification popup modal overlay comment comments commentlist comentarios respond disqus reply replies discussion "
+    "share sharing social related recommended recommendations feedback newsletter subscribe subscription signup login search pagination pager toolbar tags copyright legal disclaimer "
     "complementary contentinfo hidden".split()
 )
 TITLES = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Names of what readers write, which an article in it does not lift; names that
+#: paragraphs of an article can have for what they say.
+READERS = frozenset("comment commentlist comentario respond disqus reply replie discussion feedback".split())
+SAID = frozenset("legal notice alert notification related discussion disclaimer".split())
+#: The share of the richest article's dense text that another one needs.
+RICH = 0.25
 #: What a head holds; anything else ends one that is left open.
 HEAD = frozenset("base basefont bgsound link meta title style script noscript template head".split())
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
@@ -51,9 +60,9 @@ WHITE = re.compile(r"[\s\xa0]+")
 
 
 def beside(tag: str, attrs) -> int:
-    """How surely an element holds a part beside the article by what it is: 3 hidden or the head,
+    """How surely an element holds a part beside the article by what it is: 3 the head,
     2 lost only to a main, 1 lost to an article too, 0 no sign."""
-    if tag == "head" or any(key == "hidden" or key == "aria-hidden" and value == "true" for key, value in attrs):
+    if tag == "head":
         return 3
     return 0 if tag not in OUTSIDE or tag == "form" else 2 if tag in ("nav", "aside", "footer") else 1
 
@@ -69,8 +78,9 @@ def named(tag: str, attrs) -> tuple[int, set[str]]:
                 words = [w.lower() for w in WORD.findall(token)]
                 found = [w for w in words if w in NAMES]
                 if found:
-                    sure = max(sure, 2 if len(found) == len(words) else 1)
                     said.update(w.removesuffix("s") for w in found)
+                    only = len(found) == len(words) and not (tag == "p" and said <= SAID)
+                    sure = max(sure, 2 if only else 1)
     return sure, said
 
 
@@ -120,15 +130,25 @@ class Lines(HTMLParser):
             self.kinds[self.number] = tag
             marked, (sure, said) = above[2], named(tag, attrs)
             if tag in ("article", "main"):
-                # an article is no part of what is beside it, unless it has the same name (a comment of the comments)
-                if not any(said & self.names[n][1] for _, n, _, _ in self.open if n in self.names):
+                # an article is no part of what is beside it, unless it has the same name or lies in what readers wrote
+                of = [self.names[n] for _, n, _, _ in self.open if n in self.names]
+                if not any(said & words or how == 2 and words & READERS for how, words in of):
                     marked = 0 if marked <= 1 + (tag == "main") else marked
                     for _, n, _, _ in self.open:
                         self.names.pop(n, None)
             elif sure and tag not in ("html", "body"):
                 self.names[self.number] = (sure, said)
+            if tag in TITLES:
+                marked = self.above_header(marked)
             self.open.append((tag, self.number, max(marked, beside(tag, attrs)) if tag not in ("html", "body", "article", "main") else marked, above[3] or tag in NO_TEXT))
 
+    def above_header(self, marked: int) -> int:
+        """The mark of a title: an article's own header does not take its title away."""
+        at = max((k for k, x in enumerate(self.open) if x[0] in ("article", "main")), default=None)
+        if at is None or any(beside(x[0], ()) and x[0] != "header" for x in self.open[at + 1 :]):
+            return marked
+        return self.open[at][2]
+
     def end_head(self, all_of_it: bool):
         """Ends a head that was left open; with what is open in it, or if nothing is."""
         at = next((k for k, x in enumerate(self.open) if x[0] == "head"), None)
@@ -231,6 +251,24 @@ def parts_beside(p: Lines, dense: list[bool]) -> set[int]:
     return out | {n for n, (size, thick) in weak.items() if not thick or 2 * thick < size and 2 * thick < total}
 
 
+def poor_articles(lines: list[tuple[str, tuple[int, ...], float, bool]], kinds: dict[int, str]) -> set[int]:
+    """The articles that are not the page's: inside another one that has text of its own, or with
+    far less dense text than the richest. `lines` are the unmarked ones."""
+    rich: dict[int, int] = {}
+    own: dict[int, int] = {}
+    inner: dict[int, int] = {}
+    for text, holders, _, dense in lines:
+        held = [n for n in holders if kinds[n] == "article"]
+        if held:
+            size = len(text) * dense
+            rich[held[0]] = rich.get(held[0], 0) + size
+            own[held[0]] = own.get(held[0], 0) + size * (len(held) == 1)
+            inner.update((n, held[0]) for n in held[1:])
+    least = RICH * max(rich.values(), default=0)
+    poor = {n for n, size in rich.items() if size < least}
+    return poor | {n for n, outer in inner.items() if own[outer] and own[outer] >= RICH * rich[outer]}
+
+
 def main_text(html: str | None) -> str:
     """The main text of a page: blocks joined by an empty line, "" if there is none."""
     p = Lines()
@@ -243,15 +281,18 @@ def main_text(html: str | None) -> str:
     raw = [len(text) / max(1, tags) for text, tags, _, _ in p.lines]
     ratio = smoothed(raw)
     cut = threshold(ratio)
-    out = parts_beside(p, [r >= cut * (1 - 1e-9) for r in raw])
-    lines = [(text, holders, r) for (text, _, holders, marked), r in zip(p.lines, ratio) if not marked and out.isdisjoint(holders)]
+    dense = [r >= cut * (1 - 1e-9) for r in raw]
+    out = parts_beside(p, dense)
+    lines = [(text, holders, r, d) for (text, _, holders, marked), r, d in zip(p.lines, ratio, dense) if not marked and out.isdisjoint(holders)]
     if not lines:
         return ""
+    poor = poor_articles(lines, p.kinds)
+    lines = [line for line in lines if poor.isdisjoint(line[1])]
     # if only marked parts reach the upper cluster, all unmarked lines count
-    own = [holders for _, holders, _ in lines]
-    upper = [holders for _, holders, r in lines if r >= cut]
+    own = [holders for _, holders, _, _ in lines]
+    upper = [holders for _, holders, r, _ in lines if r >= cut]
     region = region_of(upper or own, own, p.kinds)
-    return "\n\n".join(text for text, holders, _ in lines if not region or not region.isdisjoint(holders))
+    return "\n\n".join(text for text, holders, _, _ in lines if not region or not region.isdisjoint(holders))
 
 
 def extract(pages: DataFrame, id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

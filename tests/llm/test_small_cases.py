@@ -266,6 +266,23 @@ def test_main_text():
     assert len(extract.main_text("<p>" + LONG)) == len(LONG.strip())
 
 
+def test_main_text_among_articles():
+    """Teasers and comments are articles too; titles, formulas and legal paragraphs belong to the text."""
+    say = "This is a sentence of the story that is long enough to count as text in any page. " * 3
+    of = lambda body: extract.main_text(f"<body>{body}</body>").replace(say.strip(), "S").split("\n\n")
+    story = f"<article><h1>T</h1><p>{say}</p><p>{say}</p></article>"
+    reader = f"<article><p>Reader one says {say}</p></article>"
+    for more in (f'<div class="comments">{reader}</div>', f'<ol class="commentlist"><li>{reader}</li></ol>', '<section id="user-feedback"><article><p>Few words.</p></article></section>',
+                 "<article><h2>More</h2><p>Teaser words.</p></article>"):
+        assert of(story + more) == ["T", "S", "S"]
+    assert of(f"<article><p>{say}</p><p>{say}</p><section>{reader}</section></article>") == ["S", "S"]
+    assert of(f"<article><h1>A</h1><p>{say}</p></article><article><h1>B</h1><p>{say}</p></article>") == ["A", "S", "B", "S"]
+    assert of(f"<article><p>{say}</p><p><math><mi>x</mi></math> The law is here.</p><p hidden>More.</p></article>") == ["S", "x The law is here.", "More."]
+    assert of(f"<header><h1>Site</h1></header><article><header><h1>Title</h1><p>by me</p></header><p>{say}</p></article>") == ["Title", "S"]
+    assert of(f'<div><p>{say}</p><p class="legal">{say}</p><p>{say}</p></div>') == ["S"] * 3
+    assert of(f'<div class="has-comments"><article><p>{say}</p></article></div>') == ["S"]
+
+
 def test_empty_tables(spark, none):
     m = language.fit(none)
     pages = spark.createDataFrame([], "page_id long, url string, html string")
