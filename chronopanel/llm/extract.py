@@ -7,8 +7,7 @@ the text is thin, and none counts on what holds an article. The ratio of text to
 by a Gaussian; a two-means threshold splits the lines into two clusters. The content region
 is the smallest container that holds all unmarked lines of the upper cluster, articles first;
 all its lines count, short ones too, except marked ones. Of several articles those count whose
-text in the upper cluster is not far less than the richest one's: teasers and reader comments
-are articles as well. An article inside another one is a comment on it, and an article inside
+text is not far shorter than the longest one's, as teasers are articles as well. An article inside another one is a comment on it, and an article inside
 comments is one of them, unless the page would be left with nothing.
 """
 
@@ -50,8 +49,8 @@ TITLES = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: paragraphs of an article can have for what they say.
 READERS = frozenset("comment commentlist comentario respond disqus reply replie discussion feedback".split())
 SAID = frozenset("legal notice alert notification related discussion disclaimer".split())
-#: The share of the richest article's dense text that another one needs.
-RICH = 0.25
+#: The share of the longest article's text that another one needs.
+RICH = 0.1
 #: What a head holds; anything else ends one that is left open.
 HEAD = frozenset("base basefont bgsound link meta title style script noscript template head".split())
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
@@ -251,16 +250,16 @@ def parts_beside(p: Lines, dense: list[bool]) -> set[int]:
     return out | {n for n, (size, thick) in weak.items() if not thick or 2 * thick < size and 2 * thick < total}
 
 
-def poor_articles(lines: list[tuple[str, tuple[int, ...], float, bool]], kinds: dict[int, str]) -> set[int]:
-    """The articles that are not the page's: inside another one that has text of its own, or with
-    far less dense text than the richest. `lines` are the unmarked ones."""
+def poor_articles(lines: list[tuple[str, tuple[int, ...], float]], kinds: dict[int, str]) -> set[int]:
+    """The articles that are not the page's: inside another one that has text of its own, or far
+    shorter than the longest. `lines` are the unmarked ones."""
     rich: dict[int, int] = {}
     own: dict[int, int] = {}
     inner: dict[int, int] = {}
-    for text, holders, _, dense in lines:
+    for text, holders, _ in lines:
         held = [n for n in holders if kinds[n] == "article"]
         if held:
-            size = len(text) * dense
+            size = len(text)
             rich[held[0]] = rich.get(held[0], 0) + size
             own[held[0]] = own.get(held[0], 0) + size * (len(held) == 1)
             inner.update((n, held[0]) for n in held[1:])
@@ -281,18 +280,17 @@ def main_text(html: str | None) -> str:
     raw = [len(text) / max(1, tags) for text, tags, _, _ in p.lines]
     ratio = smoothed(raw)
     cut = threshold(ratio)
-    dense = [r >= cut * (1 - 1e-9) for r in raw]
-    out = parts_beside(p, dense)
-    lines = [(text, holders, r, d) for (text, _, holders, marked), r, d in zip(p.lines, ratio, dense) if not marked and out.isdisjoint(holders)]
+    out = parts_beside(p, [r >= cut * (1 - 1e-9) for r in raw])
+    lines = [(text, holders, r) for (text, _, holders, marked), r in zip(p.lines, ratio) if not marked and out.isdisjoint(holders)]
     if not lines:
         return ""
     poor = poor_articles(lines, p.kinds)
     lines = [line for line in lines if poor.isdisjoint(line[1])]
     # if only marked parts reach the upper cluster, all unmarked lines count
-    own = [holders for _, holders, _, _ in lines]
-    upper = [holders for _, holders, r, _ in lines if r >= cut]
+    own = [holders for _, holders, _ in lines]
+    upper = [holders for _, holders, r in lines if r >= cut]
     region = region_of(upper or own, own, p.kinds)
-    return "\n\n".join(text for text, holders, _, _ in lines if not region or not region.isdisjoint(holders))
+    return "\n\n".join(text for text, holders, _ in lines if not region or not region.isdisjoint(holders))
 
 
 def extract(pages: DataFrame, id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
