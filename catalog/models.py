@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from catalog.base import cols, finish, query, table
 from catalog.metrics import BOARD, PRED, RANK, predictions
-from chronopanel.models import calibrate, ensemble, folds, training as t
+from chronopanel.models import calibrate, ensemble, folds, nodes, training as t
 from chronopanel.operators import metrics, stats
 from chronopanel.session import scratch, stage
 from chronopanel.sources import bundle
@@ -249,6 +249,20 @@ def m16_permutation(spark, sf):
     return finish(t.permutation_importance(fitted, val, X, [*KEY, "l_partkey", "l_suppkey"]))
 
 
+@query(
+    "m16_attributions",
+    f"""WITH {LI} SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, 1::BIGINT AS adds_up, 1::BIGINT AS same_score FROM li WHERE Date >= DATE '1999-06-01' AND Date < DATE '2000-06-01'""",
+)
+def m16_attributions(spark, sf):
+    """Every validation row's attributions: with the base they add up to the model's own score."""
+    train, val, _ = split(spark, sf)
+    fitted = t.fit_all({"f": t.forest(X, numTrees=20, maxDepth=6)}, train)["f"]
+    scored = t.score(fitted, val, [*KEY, *X])
+    told = nodes.attributions(fitted, scored.withColumnRenamed("p", "own"), X, [*KEY, "own"])
+    total = F.col("base") + sum(F.col(f"phi_{c}") for c in X)
+    return finish(told.select(*KEY, (F.abs(total - F.col("score")) < 1e-9).cast("int").alias("adds_up"), (F.abs(F.col("own") - F.col("score")) < 1e-9).cast("int").alias("same_score")))
+
+
 @query(
     "m17_report_data",
     f"""WITH {PRED}, f AS (SELECT model, y, yhat, count(*) AS n FROM predh GROUP BY ALL) SELECT {cols(key='model', int_='y yhat n')} FROM f""",
