@@ -60,31 +60,32 @@ def quantiles(df: DataFrame, by, wanted: dict) -> DataFrame:
     values = with_ordered_bits(values, "v", "bits")
     counts = values.groupBy("g", "c", F.shiftright("bits", SHIFTS[0]).alias("digit")).agg(F.count(F.lit(1)).alias("k"))
     counts = counts.withColumn("n", F.sum("k").over(W.partitionBy("g", "c")))
-    ranks = F.lit(None)
-    for i, items in enumerate(columns.values()):
-        ranks = F.when(F.col("c") == i, F.array(*[m for n, p in items for m in _ranks(n, p)])).otherwise(ranks)
+    # constants, however many quantiles are wanted; their ranks follow from the counts
+    asked = F.array(*[F.struct(F.lit(i).alias("c"), F.lit(n).alias("q"), F.lit(p).alias("p")) for i, items in enumerate(columns.values()) for n, p in items])
+    ranks = F.flatten(F.transform(F.filter(asked, lambda m: m["c"] == F.col("c")), _ranks))
     marks = _found(counts.withColumn("marks", ranks), ["g", "c"])
     for last, shift in zip(SHIFTS, SHIFTS[1:]):
         shared = _sharing(values.withColumn("up", F.shiftright("bits", last)), marks, bool(by))
         counts = shared.groupBy("g", "c", "up", "marks", F.shiftright("bits", shift).alias("digit")).agg(F.count(F.lit(1)).alias("k"), F.min("v").alias("v"))
         marks = _found(counts, ["g", "c", "up"], last=shift == 0)
-    at = lambda q, side, x: F.max(F.when((F.col("q") == q) & (F.col("side") == side), F.col(x)))
-    out = []
-    for q in wanted:
-        lo, hi = at(q, 0, "v"), at(q, 1, "v")
-        out.append(F.when(lo == hi, lo).otherwise(lo + (hi - lo) * at(q, 0, "part")).alias(q))
+    at = lambda side: F.max(F.when(F.col("side") == side, F.col("v")))
+    ends = marks.groupBy("g", "q").agg(at(0).alias("lo"), at(1).alias("hi"), F.max("part").alias("part"))
+    value = F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("part"))
+    # one entry a wanted quantile
+    pairs = F.map_from_entries(F.collect_list(F.struct("q", value.alias("value")))).alias("found")
+    out = [F.col("found")[q].alias(q) for q in wanted]
     if not by:
-        return marks.agg(*out)
+        return ends.agg(pairs).select(*out)
     keys = [F.col(f"g.k{i}").alias(c) for i, c in enumerate(by)]
-    return rows.select("g").distinct().join(marks.groupBy("g").agg(*out), "g", "left").select(*keys, *wanted)
+    return rows.select("g").distinct().join(ends.groupBy("g").agg(pairs), "g", "left").select(*keys, *out)
 
 
-def _ranks(name: str, p: float) -> list[Column]:
+def _ranks(m: Column) -> Column:
     """The two ranks between which a quantile of n values lies, and its part of the way."""
-    h = (F.col("n") - 1) * F.lit(p)
+    h = (F.col("n") - 1) * m["p"]
     low, high = F.floor(h).cast("long"), F.ceil(h).cast("long")
-    mark = lambda side, r: F.struct(F.lit(name).alias("q"), F.lit(side).alias("side"), r.alias("r"), (h - low).alias("part"))
-    return [mark(0, low), mark(1, high)]
+    mark = lambda side, r: F.struct(m["q"].alias("q"), F.lit(side).alias("side"), r.alias("r"), (h - low).alias("part"))
+    return F.array(mark(0, low), mark(1, high))
 
 
 def _found(counts: DataFrame, of: list[str], last: bool = False) -> DataFrame:
