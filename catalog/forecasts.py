@@ -1,6 +1,6 @@
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from catalog.base import DAILY, LONG, WX, cols, finish, hourly, long_panel, measurements, query
 from chronopanel.forecast import blend, compare, recursive, seasonal
@@ -34,6 +34,26 @@ def t1_seasonal_forecast(spark, sf):
     return finish(seasonal.forecast(seasonal.fit(train), 60))
 
 
+@query(
+    "t1_intervals",
+    f"""WITH {LONG}, u AS (SELECT City, '{T}' AS variable, Date FROM longp UNION ALL SELECT City, '{R}', Date FROM longp),
+    k AS (SELECT City, variable, max(Date) AS last, count(*) AS n FROM u WHERE Date <= (SELECT max(Date) - 30 FROM longp) GROUP BY 1, 2)
+    SELECT City, variable, strftime(CAST(last AS DATE) + 1, '%Y-%m-%d') AS first, strftime(CAST(last AS DATE) + 60, '%Y-%m-%d') AS last, 60::BIGINT AS steps, 1::BIGINT AS ordered, 1::BIGINT AS widens FROM k WHERE n >= 90""",
+)
+def t1_intervals(spark, sf):
+    """Of each series' forecast: its steps, whether its bounds hold it, whether they widen at every step.
+
+    Rain is compared on its log scale, up to where the lower bound meets zero.
+    """
+    train, _ = train_test(series(spark, sf))
+    out = seasonal.forecast(seasonal.fit(train), 60)
+    up = F.when(F.col("variable") == R, F.log1p("upper") - F.log1p("yhat")).otherwise(F.col("upper") - F.col("yhat"))
+    step = F.datediff("Date", F.min("Date").over(Window.partitionBy("City", "variable")))
+    told = out.withColumns({"up": F.round(up, 9), "step": step}).withColumn("wide", F.max(F.when((F.col("yhat") > 0) | (F.col("variable") == T), F.struct("step", "up"))).over(Window.partitionBy("City", "variable")))
+    flags = F.min((F.col("lower") <= F.col("yhat")) & (F.col("yhat") <= F.col("upper"))).cast("int"), F.min((F.col("up") <= F.col("wide.up")) | (F.col("yhat") <= 0)).cast("int")
+    return finish(told.groupBy("City", "variable").agg(F.min("Date").alias("first"), F.max("Date").alias("last"), F.count(F.lit(1)).alias("steps"), flags[0].alias("ordered"), flags[1].alias("widens")))
+
+
 @query("t1_seasonal_hourly")
 def t1_seasonal_hourly(spark, sf):
     train, _ = train_test(hourly_series(spark, sf), "Timestamp", "168 hour")

@@ -2,6 +2,10 @@
 
 Long tables: (keys..., variable, time, value). Rain is fitted on a log scale, which makes
 its seasonality multiplicative.
+
+The trend's slope may change at each knot, but changes are sparse: most are exactly none.
+Bounds of a forecast hold the spread of the residuals and what further changes of the same
+number and size would do, so they widen with the horizon.
 """
 
 from __future__ import annotations
@@ -17,6 +21,8 @@ from chronopanel.operators.windows import DAILY, Series, time_index
 KEYS = ("City", "variable")
 # Knots of the trend, their share of the history, order of the seasons.
 KNOTS, KNOT_RANGE = 10, 0.8
+#: Scale of a slope change against the series' deviation, normal quantile of the bounds.
+CHANGE, BOUND = 0.05, 1.2815515655446004
 DAILY_SEASONS = ((365.25, 10), (7.0, 3))
 HOURLY_SEASONS = ((365.25 * 24, 6), (24 * 7.0, 3), (24.0, 4))
 MIN_DAYS, MIN_HOURS = 90, 720
@@ -48,7 +54,8 @@ def _seasons(s: Series):
 
 
 def fit(df: DataFrame, s: Series = DAILY, keys=KEYS, value="value", min_rows=None) -> DataFrame:
-    """Per series: coefficients, first and last step, and residual quantiles on the fitted scale."""
+    """Per series: coefficients, mean size of a slope change, first and last step, and residual
+    quantiles on the fitted scale."""
     keys = list(keys)
     min_rows = min_rows or (MIN_DAYS if s.step == "day" else MIN_HOURS)
     known = df.filter(F.col(value).isNotNull()).withColumn("_i", time_index(s))
@@ -59,7 +66,9 @@ def fit(df: DataFrame, s: Series = DAILY, keys=KEYS, value="value", min_rows=Non
     rows = known.join(info, keys).select(
         *keys, y.alias("_y"), design(F.col("_i"), F.col("_first"), span, _seasons(s)).alias("_x")
     )
-    beta = ridge.fit(rows, keys, "_x", "_y", _terms(_seasons(s)))
+    beta = ridge.fit(rows, keys, "_x", "_y", _terms(_seasons(s)), ridge.solve_changes(2, KNOTS, CHANGE))
+    # the mean size of a change stands behind the coefficients
+    beta = beta.withColumns({"_size": F.element_at("beta", -1), "beta": F.slice("beta", 1, F.size("beta") - 1)})
     resid = rows.join(beta, keys).select(*keys, (F.col("_y") - ridge.dot(F.col("_x"), F.col("beta"))).alias("_r"))
     spread = quantiles(resid, keys, {"_lo": ("_r", 0.1), "_hi": ("_r", 0.9)})
     return beta.join(info, keys).join(spread, keys)
@@ -71,10 +80,15 @@ def _predict(rows: DataFrame, s: Series) -> DataFrame:
     x = design(F.col("_i"), F.col("_first"), span, _seasons(s))
     raw = rows.withColumn("_f", ridge.dot(x, F.col("beta")))
     back = lambda c: F.when(_log(F.col("variable")), F.greatest(F.expm1(c), F.lit(0.0))).otherwise(c)
+    # changes come at the knots' rate, each with twice the squared mean size as variance, and
+    # bend the trend from where they come to the step: the integral of squared distances
+    ahead = F.greatest(F.col("_i") - F.col("_last"), F.lit(0)) / F.greatest(span, F.lit(1.0))
+    bend = F.lit(KNOTS / KNOT_RANGE * 2 / 3) * F.col("_size") ** 2 * ahead**3 * BOUND**2
+    down, up = F.least(F.col("_lo"), F.lit(0.0)), F.greatest(F.col("_hi"), F.lit(0.0))
     out = raw.withColumns(
-        {"yhat": back(F.col("_f")), "lower": back(F.col("_f") + F.col("_lo")), "upper": back(F.col("_f") + F.col("_hi"))}
+        {"yhat": back(F.col("_f")), "lower": back(F.col("_f") - F.sqrt(down**2 + bend)), "upper": back(F.col("_f") + F.sqrt(up**2 + bend))}
     )
-    return out.drop("_f", "_i", "_first", "_last", "_lo", "_hi", "beta")
+    return out.drop("_f", "_i", "_first", "_last", "_lo", "_hi", "_size", "beta")
 
 
 def from_index(i: Column, step: str) -> Column:

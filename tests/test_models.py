@@ -160,6 +160,40 @@ def test_seasonal_forecast_follows_a_weekly_wave(spark):
     assert (out["lower"] <= out["upper"]).all()
 
 
+def test_a_seeded_break_is_found_and_bounds_widen(spark):
+    """One change of slope among ten knots; a straight series has none, and narrower bounds."""
+    rng = np.random.default_rng(3)
+    days = pd.date_range("2022-01-01", periods=600)
+    at = 0.8 * 5 / 11 * 599  # the fifth knot
+    rows = []
+    for name, slope in (("broken", 0.09), ("straight", 0.0)):
+        y = 0.02 * np.arange(600) + slope * np.maximum(np.arange(600) - at, 0) + rng.normal(size=600) * 0.5
+        rows += [(name, "t", d.date(), float(v)) for d, v in zip(days, y)]
+    fitted = seasonal.fit(spark.createDataFrame(rows, "City string, variable string, Date date, value double"))
+    found = {r.City: r for r in fitted.collect()}
+    changes = np.abs(found["broken"].beta[2 : 2 + seasonal.KNOTS])
+    assert changes.argmax() in (3, 4, 5) and np.sort(changes)[::-1][:3].sum() > 0.9 * changes.sum()
+    assert changes[changes.argsort()[-3:]].sum() == pytest.approx(0.09 * 599, rel=0.25)
+    assert (np.abs(found["straight"].beta[2 : 2 + seasonal.KNOTS]) < 0.05 * changes.max()).all()
+    out = seasonal.forecast(fitted, 90).toPandas().sort_values("Date")
+    wide = {c: (g.upper - g.lower).to_numpy() for c, g in out.groupby("City")}
+    assert (np.diff(wide["broken"]) > 0).all() and wide["broken"][-1] > 1.5 * wide["broken"][0]
+    assert wide["straight"][-1] < 1.2 * wide["straight"][0]
+
+
+def test_changes_solve_the_penalised_equations():
+    """Stationarity: at changes that are not 0 the pull equals the limit, elsewhere it stays under it."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(5, 80, 6))
+    beta = np.where(rng.random((5, 6)) < 0.4, rng.normal(size=(5, 6)), 0)
+    y = np.einsum("njk,nk->nj", x, beta) + rng.normal(size=(5, 80)) * 0.1
+    xx, xy, limit = np.einsum("nji,njk->nik", x, x), np.einsum("nji,nj->ni", x, y), np.full(5, 4.0)
+    got = ridge.sparse_changes(xx, xy, limit, np.zeros((5, 6)))
+    pull = xy - np.einsum("nik,nk->ni", xx, got)
+    assert np.allclose(pull[got != 0], 4.0 * np.sign(got[got != 0]), atol=1e-6) and (np.abs(pull[got == 0]) <= 4.0 + 1e-6).all()
+    assert (got == 0).any()
+
+
 def test_recursive_forecast_follows_a_weekly_wave(spark):
     pdf, df = wave(spark)
     out = recursive.forecast(recursive.fit(df.filter("Date < '2023-01-15'")), 20).toPandas().merge(pdf, on="Date")
