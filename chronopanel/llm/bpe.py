@@ -27,7 +27,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from chronopanel.llm.common import columns
+from chronopanel.llm.common import columns, small_batches
 
 #: Characters of a text that are split at once; bytes of a piece that are merged at once.
 LEAF_TEXT, LEAF = 1 << 16, 6
@@ -261,7 +261,7 @@ def _mapped(df: DataFrame, ranks_path: str, pattern: str, source: str, steps: tu
                 yield pa.RecordBatch.from_arrays([*b.columns, *made], [*b.schema.names, *(n for _, n in steps)])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return df.mapInArrow(run, ", ".join([schema, *(f"`{n}` binary" for _, n in steps)]))
+    return small_batches(df).mapInArrow(run, ", ".join([schema, *(f"`{n}` binary" for _, n in steps)]))
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -6,12 +6,27 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from chronopanel.session import scratch, stage
 
-__all__ = ["columns", "utf8", "ascii_lower", "SPACE", "scratch", "stage", "identical_once", "row_hash", "table"]
+__all__ = ["columns", "utf8", "ascii_lower", "SPACE", "scratch", "stage", "identical_once", "row_hash", "table", "small_batches"]
 
 #: Fixed value: the white space that the operators' contracts name, as a Java pattern.
 SPACE = r"[\x20\x09-\x0D]+"
 
 
+#: Rows in a batch of whole texts that a Python worker is given at once.
+BATCH = 2_500
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """The frame, in a session whose Arrow batches have at most BATCH rows.
+
+    Texts are read whole, so the rows of a batch decide how much of them a worker holds.
+    """
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
+    return df
+
+
 def columns(df: DataFrame, **names: str) -> DataFrame:
     """Only the named input columns, under the operator's own names.
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from chronopanel.llm.common import columns
+from chronopanel.llm.common import columns, small_batches
 
 #: Bytes whose words are hashed at once; passages that are compared at once.
 PIECE, COMPARED = 1 << 19, 1 << 12
@@ -399,7 +399,7 @@ def frequencies(docs: DataFrame, text: str, vocabulary: Vocabulary) -> tuple[int
         there = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(n[there])], ["word", "n"])
 
-    parts = columns(docs, text=text).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    parts = small_batches(columns(docs, text=text)).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     df = np.zeros(len(vocabulary) + 1, np.int64)
     for r in parts.collect():
         df[r["word"]] = r["n"]
@@ -490,7 +490,7 @@ def search(docs: DataFrame, index: Index, id: str = "doc_id", text: str = "text"
             cols = [pa.array([r[k + 1] for r in out], t) for k, t in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([ids, *cols], ["doc_id", "item_id", "lcs", "answer", "first_word"])
 
-    return rows.mapInArrow(run, f"doc_id {kind}, item_id long, lcs double, answer double, first_word long")
+    return small_batches(rows).mapInArrow(run, f"doc_id {kind}, item_id long, lcs double, answer double, first_word long")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
@@ -515,4 +515,4 @@ def clean(docs: DataFrame, index: Index, text: str = "text") -> DataFrame:
             found = shared.value.hits(b.column(at))
             yield b.filter(pa.array([t not in found for t in range(b.num_rows)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)

@@ -20,7 +20,7 @@ from html.parser import HTMLParser
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from chronopanel.llm.common import columns
+from chronopanel.llm.common import columns, small_batches
 
 #: Elements that begin and end a block, have no end tag, never hold content,
 #: hold what is not text, and end an open paragraph's like.
@@ -309,4 +309,4 @@ def extract(pages: DataFrame, id: str = "page_id", url: str = "url", html: str =
             made = [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *made], ["page_id", "url", "text", "n_chars"])
 
-    return rows.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
+    return small_batches(rows).mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")

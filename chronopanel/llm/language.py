@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from chronopanel.llm.common import columns
+from chronopanel.llm.common import columns, small_batches
 
 BUCKETS, WIDTH = 1 << 15, 16
 #: Characters of a text that are hashed at once.
@@ -184,4 +184,4 @@ def identify(docs: DataFrame, model: Model, text: str = "text", out: tuple[str,
             yield pa.RecordBatch.from_arrays([*b.columns, *made], [*b.schema.names, *out])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{schema}, `{out[0]}` string, `{out[1]}` double, `{out[2]}` boolean")
+    return small_batches(docs).mapInArrow(run, f"{schema}, `{out[0]}` string, `{out[1]}` double, `{out[2]}` boolean")

@@ -23,7 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
-from chronopanel.llm.common import columns, stage
+from chronopanel.llm.common import columns, small_batches, stage
 
 #: Bytes that are no part of a term (ASCII but digits and letters).
 APART = bytes(c for c in range(128) if not chr(c).isalnum())
@@ -114,7 +114,7 @@ def counts_of(docs: DataFrame, number: dict[bytes, int], id: str, text: str) ->
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *made], ["doc_id", "place", "n", "ids", "tfs"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, place long, n long, ids binary, tfs binary")
+    return small_batches(rows).mapInArrow(run, f"doc_id {kind}, place long, n long, ids binary, tfs binary")
 
 
 def weights(counts: DataFrame, size: int) -> tuple[int, int, np.ndarray]:

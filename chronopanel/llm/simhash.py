@@ -20,7 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from chronopanel.llm.common import columns, row_hash, stage
+from chronopanel.llm.common import columns, row_hash, small_batches, stage
 from chronopanel.llm.components import components
 
 #: Seed of the shingle hash, bits of a fingerprint.
@@ -73,7 +73,7 @@ def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text", shingl
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp)], ["doc_id", "row_hash", "fp"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, row_hash long, fp long")
+    return small_batches(rows).mapInArrow(run, f"doc_id {kind}, row_hash long, fp long")
 
 
 def _segments(max_bits: int) -> list[tuple[int, int]]:
