@@ -401,6 +401,18 @@ def a30_long_to_wide(spark, sf):
     return finish(a.first_non_null(long, names))
 
 
+@query(
+    "a30_first_in_order",
+    f"WITH {WX}, f AS (SELECT City, Date, arg_min(Temperature_C, event_id) AS Temperature_C, arg_min(Rain_mm, event_id) FILTER (Rain_mm > 0) AS Rain_mm FROM wx GROUP BY 1, 2) "
+    f"SELECT {cols(key='City', date='Date', num='Temperature_C Rain_mm')} FROM f",
+)
+def a30_first_in_order(spark, sf):
+    """The first temperature of a day and its first rain; dry measurements are null."""
+    rows = measurements(spark, sf).withColumn("Rain_mm", F.when(F.col("Rain_mm") > 0, F.col("Rain_mm")))
+    long = a.melt(rows, ["City", "Date", "event_id"], ["Temperature_C", "Rain_mm"])
+    return finish(a.first_non_null(long, ["Temperature_C", "Rain_mm"], order="event_id"))
+
+
 @query(
     "a31_entity_medians",
     f"WITH {DAILY}, f AS (SELECT City, quantile_cont(Temperature_C_mean, 0.5) AS Temperature_C_mean, quantile_cont(Rain_mm_sum, 0.5) AS Rain_mm_sum FROM daily GROUP BY 1) "

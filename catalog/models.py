@@ -76,7 +76,16 @@ def report(spark, sf, models, oversampled=0):
     return finish(metrics.leaderboard(scores), "model", "recall", "precision", "f1", "pr_auc", "roc_auc")
 
 
-@query("m4_impute_scale")
+M4 = "l_quantity l_extendedprice l_discount l_tax late"
+
+
+@query(
+    "m4_impute_scale",
+    f"WITH {LI}, k AS (SELECT l_quantity, l_extendedprice, l_discount, CASE WHEN l_tax > 0.01 THEN l_tax END AS l_tax, late FROM li), d AS (SELECT l_quantity, l_extendedprice, l_discount, coalesce(l_tax, quantile_cont(l_tax, 0.5) OVER ()) AS l_tax, late FROM k), "
+    "s AS (SELECT " + ", ".join(f"avg({c}) AS a_{c}, stddev_samp({c}) AS s_{c}" for c in M4.split()) + " FROM d), f AS (SELECT "
+    + ", ".join(f"avg(({c} - a_{c}) / s_{c}) AS mean_{c}, stddev_samp(({c} - a_{c}) / s_{c}) AS std_{c}" for c in M4.split())
+    + f" FROM d, s) SELECT {cols(num=' '.join(f'mean_{c} std_{c}' for c in M4.split()))} FROM f",
+)
 def m4_impute_scale(spark, sf):
     from pyspark.ml import Pipeline
     from pyspark.ml.functions import vector_to_array

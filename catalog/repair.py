@@ -71,12 +71,16 @@ def p7_select_features(spark, sf):
 
 @query(
     "p7_feature_names",
-    f"WITH {DAILY} SELECT count(*) AS n_rows, 'Humidity_percent_max,Humidity_percent_mean,Humidity_percent_min,Pressure_hPa_mean,Rain_mm_sum' AS first_five FROM daily",
+    f"WITH {DAILY}, n AS (SELECT count(COLUMNS(* EXCLUDE (City, Date, Fire_Occurred))) FROM daily), f AS (UNPIVOT n ON COLUMNS(*) INTO NAME feature VALUE known) "
+    "SELECT feature, known, row_number() OVER (ORDER BY feature) - 1 AS place FROM f",
 )
 def p7_feature_names(spark, sf):
+    """Every feature of the daily panel, in order, with its known values."""
     df = daily(spark, sf)
     names = r.feature_names(df)
-    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.lit(",".join(names[:5])).alias("first_five"))
+    known = df.agg(*[F.count(c).alias(c) for c in names]).unpivot([], names, "feature", "known")
+    places = F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*[F.lit(i).cast("long") for i in range(len(names))]))
+    return known.withColumn("place", places[F.col("feature")])
 
 
 @query(

@@ -239,11 +239,16 @@ def distinct_count(df: DataFrame, column: str, by=(), approx=False) -> DataFrame
     return df.groupBy(*by).agg(f(column).alias("n_distinct"))
 
 
-def first_non_null(df: DataFrame, variables, by=("City", "Date"), value="value") -> DataFrame:
-    """Long to wide, one row per key. Where a cell has several values the smallest stands."""
-    return df.groupBy(*by).agg(
-        *[F.min(F.when(F.col("variable") == v, F.col(value))).alias(v) for v in variables]
-    )
+def first_non_null(df: DataFrame, variables, by=("City", "Date"), value="value", order=None) -> DataFrame:
+    """Long to wide, one row per key. Of several values of a cell the first in `order` stands (a
+    column or columns), without an order the smallest; nulls don't count."""
+    at = F.struct(*([order] if isinstance(order, str) else order)) if order else F.col(value)
+
+    def cell(v):
+        here = (F.col("variable") == v) & F.col(value).isNotNull()
+        return F.min_by(F.when(here, F.col(value)), F.when(here, at)).alias(v)
+
+    return df.groupBy(*by).agg(*[cell(v) for v in variables])
 
 
 def entity_medians(df: DataFrame, by=("City",)) -> DataFrame:

@@ -324,10 +324,16 @@ def decompose(df: DataFrame, value: str, period: int, s=DAILY) -> DataFrame:
 
 
 def history_tail(history: DataFrame, forecast: DataFrame, s=DAILY, steps=45) -> DataFrame:
-    """The history rows within `steps` before the forecast's first step."""
-    start = forecast.agg(F.min(s.time).alias("_start"))
-    back = F.col("_start").cast("timestamp_ntz") - F.expr(f"interval {steps} {s.step}")
-    return history.crossJoin(F.broadcast(start)).filter(F.col(s.time) >= back).drop("_start")
+    """The history rows within `steps` before the forecast's first step.
+
+    That step is looked up first, so the bound is a literal that reaches the history's scan.
+    """
+    kind = history.schema[s.time].dataType
+    start = F.min(F.col(s.time).cast("timestamp_ntz")) - F.expr(f"interval {steps} {s.step}")
+    back = forecast.agg(start.cast("string")).first()[0]
+    if back is None:
+        return history.limit(0)
+    return history.filter(F.col(s.time) >= F.lit(back).cast("timestamp_ntz").cast(kind))
 
 
 def splice(history: DataFrame, forecast: DataFrame, s=DAILY, steps=45) -> DataFrame:
