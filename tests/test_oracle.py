@@ -4,11 +4,11 @@ import catalog
 import pytest
 from compare import compare
 
-# their own property tests are in test_models.py
+# fits without a twin have property tests of their own
 SLOW = ("m5_", "m6_", "m7_", "m8_", "m9_", "m11_", "m16_", "t1_", "t4_", "t7_forecast_run", "t8_")
 
 
-@pytest.mark.parametrize("name", [n for n in catalog.QUERIES if not n.startswith(SLOW)])
+@pytest.mark.parametrize("name", [n for n in catalog.QUERIES if n in catalog.ORACLES or not n.startswith(SLOW)])
 def test_query(spark, sf, name):
     # order priorities by day are sparse at the smallest scale
     where = sf.replace("0.001", "0.01") if name.startswith(("w12", "t2", "t3", "f4_", "feature")) else sf
