@@ -6,7 +6,7 @@ from catalog.base import DAILY, HOURLY, LONG, cols, daily, finish, hourly, long_
 from catalog.functions import colour_sql, fwi_sql, summary_sql, tier_sql, warning_sql
 from chronopanel.functions import columns, risk
 from chronopanel.operators import aggregate, windows as w
-from chronopanel.plans import features, serve, state
+from chronopanel.plans import features, master, serve, state
 from chronopanel.session import scratch, stage
 
 T, H, W, R = "Temperature_C_mean", "Humidity_percent_mean", "Wind_Speed_kmh_mean", "Rain_mm_sum"
@@ -217,3 +217,60 @@ def serving_hourly(spark, sf):
     state.advance(state.load(spark, path), new, w.HOURLY).save(path)
     out = state.hourly(panel.filter(F.col("Timestamp") >= at[1]), state.load(spark, path))
     return finish(out, "City", "Timestamp", *HS.split())
+
+
+# detections, regions and sparse tables around the hourly panel; the twin builds the same
+PLACES = """reg AS (SELECT DISTINCT City, 38.5 + length(City) * 0.07 AS lat, 45 + length(City) * 0.11 AS lon FROM hourly),
+  pts AS (SELECT Date, 38.8 + (event_id % 50) * 0.01 AS latitude, 45.3 + (user_id % 40) * 0.02 AS longitude, Temperature_C AS brightness, Wind_Speed_kmh AS frp FROM wx),
+  ev AS (SELECT City, Date, count(*) AS fire_count, avg(brightness) AS mean_brightness, max(frp) AS max_frp, 1 AS Fire_Occurred FROM pts, reg
+    WHERE day(Date) % 2 = 0 AND latitude BETWEEN lat - 20.0 / 111.32 AND lat + 20.0 / 111.32
+      AND longitude BETWEEN lon - 20.0 / (111.32 * cos(radians(lat))) AND lon + 20.0 / (111.32 * cos(radians(lat))) GROUP BY 1, 2),
+  ba AS (SELECT City, Date, max(Pressure_hPa) AS Burned_Area_hectares FROM wx WHERE day(Date) % 5 = 0 GROUP BY 1, 2),
+  ve AS (SELECT City, Date, avg(Soil_Moisture) AS NDVI, avg(Soil_Temp_C) AS NDBI FROM wx WHERE day(Date) % 8 = 3 GROUP BY 1, 2),
+  st AS (SELECT City, lat * 10 AS Elevation, lat AS Latitude FROM reg)"""
+
+
+def places(spark, sf):
+    """Labels, burned area, vegetation and geography of the panel's entities."""
+    wx = measurements(spark, sf)
+    n = F.length("City")
+    regions = hourly(spark, sf).select("City").distinct().select("City", (38.5 + n * 0.07).alias("lat"), (45 + n * 0.11).alias("lon"))
+    points = wx.filter(F.dayofmonth("Date") % 2 == 0).select(
+        F.col("Date").alias("acq_date"), (38.8 + (F.col("event_id") % 50) * 0.01).alias("latitude"), (45.3 + (F.col("user_id") % 40) * 0.02).alias("longitude"),
+        F.col("Temperature_C").alias("brightness"), F.col("Wind_Speed_kmh").alias("frp"),
+    )
+    burned = wx.filter(F.dayofmonth("Date") % 5 == 0).select("City", "Date", F.col("Pressure_hPa").alias("Burned_Area_hectares"))
+    green = wx.filter(F.dayofmonth("Date") % 8 == 3).select("City", "Date", F.col("Soil_Moisture").alias("NDVI"), F.col("Soil_Temp_C").alias("NDBI"))
+    static = regions.select("City", (F.col("lat") * 10).alias("Elevation"), F.col("lat").alias("Latitude"))
+    return dict(events=master.event_labels(points, regions), burned=burned, vegetation=[green], static=static)
+
+
+MASTER = "mean_brightness max_frp Burned_Area_hectares NDVI NDBI Elevation Latitude"
+
+
+def master_sql(src, order):
+    """The panel `src` (City, Date and more) with the tables of PLACES."""
+    carried = ", ".join(f"coalesce(last_value({c} IGNORE NULLS) OVER (PARTITION BY p.City ORDER BY {order} ROWS UNBOUNDED PRECEDING), 0) AS {c}" for c in ("NDVI", "NDBI"))
+    zero = ", ".join(f"coalesce({c}, 0) AS {c}" for c in ("fire_count", "mean_brightness", "max_frp", "Fire_Occurred", "Burned_Area_hectares", "Elevation", "Latitude"))
+    return f"""mas AS (SELECT p.*, {zero}, {carried} FROM {src} p LEFT JOIN ev ON p.City = ev.City AND p.Date = ev.Date LEFT JOIN ba ON p.City = ba.City AND p.Date = ba.Date
+      LEFT JOIN ve ON p.City = ve.City AND p.Date = ve.Date LEFT JOIN st ON p.City = st.City)"""
+
+
+@query(
+    "master_daily",
+    f"WITH {HOURLY}, {PLACES}, {RISK_PANEL}, {master_sql('days', 'p.Date')} SELECT {cols(key='City', date='Date', num=f'{T} {R} {MASTER}', int_='fire_count Fire_Occurred hours_temp_above_30')}, CAST(month(Date) AS BIGINT) AS Month, CAST(dayofyear(Date) AS BIGINT) AS DayOfYear FROM mas",
+)
+def master_daily(spark, sf):
+    """Measurements, detections in squares, burned area, vegetation and geography as one daily panel."""
+    out = master.master_daily(hourly(spark, sf).drop("p"), **places(spark, sf))
+    return finish(out, "City", "Date", T, R, *MASTER.split(), "fire_count", "Fire_Occurred", "hours_temp_above_30", "Month", "DayOfYear")
+
+
+@query(
+    "master_hourly",
+    f"WITH {HOURLY}, {PLACES}, hr AS (SELECT *, CAST(Timestamp AS DATE) AS Date FROM hourly), {master_sql('hr', 'p.Timestamp')} SELECT {cols(key='City', stamp='Timestamp', num=f'Temperature_C Rain_mm {MASTER}', int_='fire_count Fire_Occurred')}, CAST(hour(Timestamp) AS BIGINT) AS Hour, CAST(month(Timestamp) AS BIGINT) AS Month FROM mas",
+)
+def master_hourly(spark, sf):
+    """The same tables around every hour."""
+    out = master.master_hourly(hourly(spark, sf).drop("p"), **places(spark, sf))
+    return finish(out, "City", "Timestamp", "Temperature_C", "Rain_mm", *MASTER.split(), "fire_count", "Fire_Occurred", "Hour", "Month")
