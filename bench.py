@@ -16,7 +16,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 # model fits that repeat what the other model queries already time
 LONG = (
     "m6_forests m7_boosted m8_neural m9_search m11_stacking m14_batch_scoring m16_permutation "
-    "s14_bundle s11_stream_daily t4_direct_forecast t7_forecast_run t8_model_comparison"
+    "s14_bundle s11_stream_daily t4_direct_forecast t4_pooled_forecast t7_forecast_run t8_model_comparison train_select"
 ).split()
 
 

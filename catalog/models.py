@@ -295,6 +295,18 @@ def m16_attributions(spark, sf):
     return finish(told.select(*KEY, (F.abs(total - F.col("score")) < 1e-9).cast("int").alias("adds_up"), (F.abs(F.col("own") - F.col("score")) < 1e-9).cast("int").alias("same_score")))
 
 
+@query("train_select")
+def train_select(spark, sf):
+    """Prune, fit, vote, calibrate and choose on training and validation rows; report on test rows."""
+    from chronopanel.plans import select
+
+    train, val, test = (df.withColumns({"copy": F.col("l_quantity") * 3, "flat": F.lit(1.0)}) for df in split(spark, sf))
+    keys = [*KEY, "l_partkey", "l_suppkey"]  # order lines repeat a key
+    build = lambda names: {"LogisticRegression": t.logistic(names, maxIter=20), "RandomForest": t.forest(names, numTrees=8, maxDepth=5)}
+    chosen = select.fit(train, val, [*X, "copy", "flat"], build, keys)
+    return finish(select.report(chosen, test, keys), "model", "kind", "selected", "threshold", "recall", "precision", "f1", "pr_auc", "roc_auc")
+
+
 @query(
     "m17_report_data",
     f"""WITH {PRED}, f AS (SELECT model, y, yhat, count(*) AS n FROM predh GROUP BY ALL) SELECT {cols(key='model', int_='y yhat n')} FROM f""",
