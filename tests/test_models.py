@@ -226,3 +226,28 @@ def test_serving_features_equal_training_features(spark, sf):
     got = features.serving_features(forecast, history, fitted).select("City", *names)
     rows = sorted(map(tuple, want.collect()))
     assert rows and sorted(map(tuple, got.collect())) == rows
+
+
+def test_partitions_of_a_fit_grow_with_its_rows(spark, monkeypatch):
+    from chronopanel.models import training
+
+    df = spark.createDataFrame([(float(i), i % 2, str(i)) for i in range(3000)], "a double, y int, other string").coalesce(1)
+    cores = spark.sparkContext.defaultParallelism
+    assert training.spread(df).rdd.getNumPartitions() == cores
+    monkeypatch.setattr(training, "CELLS", 100)
+    dealt = training.spread(df, keep=["a", "y"])
+    assert dealt.rdd.getNumPartitions() == 60 and dealt.columns == ["a", "y"]
+    assert sorted(r.a for r in dealt.collect()) == [float(i) for i in range(3000)]
+
+
+def test_a_fit_moves_the_columns_it_reads(spark):
+    from chronopanel.models import training
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import SQLTransformer
+
+    columns = ["a", "b", "key", "y", "weight", "early"]
+    assert training._read([training.forest(["a"]), training.boosted(["b"], "early")], columns) == ["a", "b", "y", "weight", "early"]
+    # a stage that does not tell its columns gets them all
+    free = Pipeline(stages=[SQLTransformer(statement="SELECT *, a + b AS c FROM __THIS__"), LogisticRegression()])
+    assert training._read([free], columns) == columns
