@@ -49,13 +49,18 @@ def identical_once(docs: DataFrame, keep: DataFrame, id: str = "doc_id") -> Data
     """The rows of `docs` that `keep` names by (doc_id, row_hash), one for each name.
 
     Rows alike in id and hash are copies of one row; the aggregation collapses them in
-    the partition that the join has already made.
+    the partition that the join has already made. Both go by the same plain columns: a
+    null-safe comparison of ids, or structs that differ in what may be null, would give the
+    join other keys than the aggregation, and every whole row would move a second time.
     """
-    cols = docs.columns
-    hashed = docs.withColumn("__row_hash", row_hash(docs)).withColumn("__id", F.col(f"`{id}`"))
-    names = keep.select(F.col("doc_id").alias("__id"), F.col("row_hash").alias("__row_hash"))
-    same = hashed["__id"].eqNullSafe(names["__id"]) & (hashed["__row_hash"] == names["__row_hash"])
-    return hashed.join(names, same, "left_semi").dropDuplicates(["__id", "__row_hash"]).select(*[f"`{c}`" for c in cols])
+    cols, keys = [f"`{c}`" for c in docs.columns], ["__hash", "__none", "__id"]
+
+    def key(id, hash):
+        return [c.alias(k) for c, k in zip((hash, id.isNull(), F.coalesce(id.cast("string"), F.lit(""))), keys)]
+
+    named = docs.select(*cols, *key(docs[f"`{id}`"], row_hash(docs)))
+    names = keep.select(*key(F.col("doc_id"), F.col("row_hash")))
+    return named.join(names, keys, "left_semi").dropDuplicates(keys).select(*cols)
 
 
 def row_hash(docs: DataFrame) -> Column:

@@ -1,12 +1,13 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables, clashing columns."""
 
 import hashlib
+import re
 
 import numpy as np
 import public_tokenizers
 import pytest
 from chronopanel.llm import bpe, decontaminate, exact, extract, language, quality, shards, simhash, urls, warc
-from chronopanel.llm.common import identical_once, scratch
+from chronopanel.llm.common import identical_once, row_hash, scratch, stage
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp long, run int, sha string, ids string, block long"
 BPE = (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -46,6 +47,28 @@ def test_exact_repeated_row_stays_once(spark):
     assert identical_once(d, exact.groups(d).where("kept").select("doc_id", "row_hash")).count() == 1
 
 
+def test_named_rows_move_once(spark):
+    """Whole rows are shuffled once, for the join; its partitions also serve the aggregation."""
+    given = [(1, "a", "n"), (1, "a", "n"), (None, "b", "n"), (None, "b", "n"), (None, "b", "m"), (2, "c", None)]
+    d = spark.createDataFrame(given, "doc_id long, text string, lang string")
+    # staged names may be null by their schema
+    keep = stage(d.select("doc_id", row_hash(d).alias("row_hash")).where("doc_id is null or doc_id = 1"))
+    join, auto = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled"
+    was = {k: spark.conf.get(k) for k in (join, auto)}
+    try:
+        spark.conf.set(join, "-1")
+        spark.conf.set(auto, "false")
+        once = identical_once(d, keep)
+        plan = once._jdf.queryExecution().executedPlan().toString()
+        assert len(re.findall(r"Exchange hashpartitioning", plan)) == 2
+        assert len(re.findall(r"\bSort \[", plan)) == 2
+        got = sorted(once.collect(), key=str)
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    assert [tuple(r) for r in got] == [(1, "a", "n"), (None, "b", "m"), (None, "b", "n")]
+
+
 def test_exact_one_text_everywhere(spark):
     d = spark.range(3000).selectExpr("id AS doc_id", "'same' AS text")
     got = exact.groups(d, runs=16, fan=2).agg({"keep_id": "max", "group_size": "min", "kept": "count"}).first()
