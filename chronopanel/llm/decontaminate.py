@@ -31,8 +31,8 @@ from chronopanel.llm.common import columns
 
 #: Bytes whose words are hashed at once; passages that are compared at once.
 PIECE, COMPARED = 1 << 19, 1 << 12
-#: The most words of a piece of an item; postings that are counted at once.
-PIECE_WORDS, POSTINGS = 12, 1 << 20
+#: The most words of a piece of an item; postings that are counted at once; pieces that are compared at once.
+PIECE_WORDS, POSTINGS, TOGETHER = 12, 1 << 20, 1 << 14
 #: Slots of the table that finds known words.
 SLOTS = 20
 #: An odd base for word hashes; its powers and those of its inverse modulo 2^64.
@@ -151,6 +151,32 @@ def common(item: np.ndarray, text: np.ndarray) -> int:
     return len(item) - row.bit_count()
 
 
+def distinct(numbers: np.ndarray) -> np.ndarray:
+    """The distinct numbers in order, by one sort: of millions, `np.unique` hashes each first."""
+    out = np.sort(numbers)
+    first = np.ones(len(out), bool)
+    first[1:] = out[1:] != out[:-1]
+    return out[first]
+
+
+def common_each(items: np.ndarray, place: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Of each row of `items` the length of the longest common subsequence with its words `place[start:end]`.
+
+    As `common`, a step of all rows at once. A row has at most 62 words, -1 after its end.
+    """
+    full = (np.int64(1) << (items >= 0).sum(axis=1)) - 1
+    row, words = full.copy(), [np.ascontiguousarray(w) for w in items.T.astype(place.dtype)]
+    for k in range(int((end - start).max(initial=0))):
+        there = start + k < end
+        w = np.where(there, place[np.where(there, start + k, 0)], -2)
+        m = np.zeros(len(row), np.int64)
+        for j, own in enumerate(words):
+            m |= (own == w).astype(np.int64) << j
+        u = row & m
+        row = ((row + u) | (row - u)) & full
+    return np.bitwise_count(full) - np.bitwise_count(row).astype(np.int64)
+
+
 def pieces(length: int, most: int = PIECE_WORDS) -> list[tuple[int, int]]:
     """Begin and end of the nearly equal pieces of an item."""
     n = max(1, -(-length // most))
@@ -178,6 +204,10 @@ class Rare:
                 self.parts.append((lo, hi))
                 need.append(must)
         self.need = np.array(need)
+        # the words of every piece, -1 after its end
+        self.words = np.full((len(self.of), PIECE_WORDS), -1, np.int64)
+        for own, k, (lo, hi) in zip(self.words, self.of, self.parts):
+            own[: hi - lo] = items[k][1][lo:hi]
         post = np.array(posts, np.int64).reshape(-1, 3)
         self.owner, self.weight = post[:, 1], post[:, 2]
         # postings are numbered by piece; of each word, where its numbers are in `numbers`
@@ -206,7 +236,8 @@ class Rare:
             shift = np.arange(len(where)) - np.repeat(np.cumsum(n) - n, n)
             number = self.numbers[np.repeat(self.edges[place[hit[at:reach]]], n) + shift]
             # a pair of blocks is named by its first; each posting counts once in it
-            keys = np.unique(np.r_[where * total + number, (where - 1) * total + number])
+            keys = distinct(where * total + number)
+            keys = distinct(np.r_[keys - total, keys])
             pair, number = keys // total, keys % total
             own = (pair > before) & (pair <= last)
             pair, number = pair[own], number[own]
@@ -214,10 +245,10 @@ class Rare:
             if len(run):
                 there = np.add.reduceat(self.weight[number], run)
                 piece = self.owner[number[run]]
-                for w, p in zip(pair[run][good := there >= self.need[piece]].tolist(), piece[good].tolist()):
-                    t = max(0, int(np.searchsorted(begin, w, side="right")) - 1)
-                    if w < begin[t + 1] - 1:
-                        out.append((t, p, max(0, w - int(begin[t])) * stride))
+                w, piece = pair[run][good := there >= self.need[piece]], piece[good]
+                t = np.maximum(0, np.searchsorted(begin, w, side="right") - 1)
+                own = w < begin[t + 1] - 1
+                out += zip(t[own].tolist(), piece[own].tolist(), (np.maximum(0, w - begin[t])[own] * stride).tolist())
             at, before = int(end), last
         return out
 
@@ -277,11 +308,10 @@ class Index:
         hashed, edges = words(texts)
         place = self.vocabulary.find(hashed)
         found = {t: set(near) for t, near in self.candidates(place, edges).items()}
-        for t, p, at in self.rare.find(place, edges, self.stride):
-            (_, item, _), (lo, hi) = self.items[self.rare.of[p]], self.rare.parts[p]
-            own = place[edges[t] + at : min(edges[t] + at + 2 * self.stride, edges[t + 1])]
-            if common(item[lo:hi], own) >= self.lcs * (hi - lo) - 1e-9:
-                found.setdefault(t, set()).add((self.rare.of[p], at))
+        near = self.rare.find(place, edges, self.stride)
+        for at in range(0, len(near), TOGETHER):
+            for t, p, first in self.there(near[at : at + TOGETHER], place, edges):
+                found.setdefault(t, set()).add((self.rare.of[p], first))
         out = {}
         for t, near in sorted(found.items()):
             own, best = place[edges[t] : edges[t + 1]], {}
@@ -293,6 +323,14 @@ class Index:
                 out[t] = [(self.items[k][0], *v) for k, v in sorted(best.items())]
         return out
 
+    def there(self, near: list[tuple[int, int, int]], place: np.ndarray, edges: np.ndarray) -> list[tuple[int, int, int]]:
+        """The (text, piece, first word) whose piece is there, by `lcs`, in the two blocks."""
+        t, p, at = np.array(near, np.int64).reshape(-1, 3).T
+        start = edges[t] + at
+        n = common_each(self.rare.words[p], place, start, np.minimum(start + 2 * self.stride, edges[t + 1]))
+        good = n >= self.lcs * (self.rare.words[p] >= 0).sum(axis=1) - 1e-9
+        return [near[k] for k in np.flatnonzero(good).tolist()]
+
     def compare(self, k: int, text: np.ndarray, at: int) -> tuple[float, float, int] | None:
         """The shares of an item and of its answer around a passage, if they suffice.
 
@@ -393,7 +431,7 @@ def frequencies(docs: DataFrame, text: str, vocabulary: Vocabulary) -> tuple[int
             place = v.find(hashed)
             known = np.flatnonzero(place < len(v))
             text = np.searchsorted(edges, known, side="right") - 1
-            n += np.bincount(np.unique(text * (len(v) + 1) + place[known]) % (len(v) + 1), minlength=len(v) + 1)
+            n += np.bincount(distinct(text * (len(v) + 1) + place[known]) % (len(v) + 1), minlength=len(v) + 1)
             rows += b.num_rows
         n[-1] = rows
         there = np.flatnonzero(n)

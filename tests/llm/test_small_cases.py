@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from chronopanel.llm import bpe, decontaminate, exact, extract, language, quality, shards, simhash, urls, warc
 from chronopanel.llm.common import identical_once, row_hash, scratch, stage
@@ -372,6 +373,42 @@ def test_decontaminate_finds_short_items_in_prose(spark):
     assert {(d, k) for d, t in enumerate(texts) for k, x in items if f" {x} " in f" {t} "} <= got
 
 
+def test_decontaminate_compares_pieces_together(spark, monkeypatch):
+    """Pieces found by their rare words are compared many at once, to the same end as one by one."""
+    source = prose(3, 9_000)
+    items = [(k, " ".join(source[30 * k : 30 * k + 30])) for k in range(300)]
+    texts = [" ".join(prose(200 + d, 300) + items[7 * d][1].split() + prose(700 + d, 300)) for d in range(40)] + ["", None]
+    index = decontaminate.fit(spark.createDataFrame(rows(*enumerate(texts)), SCHEMA), spark.createDataFrame(items, "item_id long, text string"))[0]
+    hashed, edges = decontaminate.words(pa.array(texts))
+    place = index.vocabulary.find(hashed)
+    near, one = index.rare.find(place, edges, index.stride), []
+    for t, p, at in near:
+        item, (lo, hi) = index.items[index.rare.of[p]][1], index.rare.parts[p]
+        own = place[edges[t] + at : min(edges[t] + at + 2 * index.stride, edges[t + 1])]
+        if decontaminate.common(item[lo:hi], own) >= index.lcs * (hi - lo) - 1e-9:
+            one.append((t, p, at))
+    assert len(near) > 10 * len(one) > 0 and index.there(near, place, edges) == one
+    calls, plain = [], decontaminate.common
+    monkeypatch.setattr(decontaminate, "common", lambda *x: calls.append(1) or plain(*x))
+    monkeypatch.setattr(decontaminate, "TOGETHER", 100)
+    got = index.hits(pa.array(texts))
+    assert len(calls) < len(near) and {(d, 7 * d) for d in range(40)} <= {(t, h[0]) for t, found in got.items() for h in found}
+
+
+def test_common_subsequences_of_many_rows():
+    rng = np.random.default_rng(1)
+    for _ in range(30):
+        place = rng.integers(0, 7, 60).astype(np.int32)
+        items = rng.integers(0, 6, (40, 12))
+        for own, n in zip(items, rng.integers(0, 13, 40)):
+            own[n:] = -1
+        start = rng.integers(0, 61, 40)
+        end = np.minimum(start + rng.integers(0, 49, 40), 60)
+        want = [decontaminate.common(own[own >= 0], place[a:b]) for own, a, b in zip(items, start, end)]
+        assert decontaminate.common_each(items, place, start, end).tolist() == want
+        assert decontaminate.distinct(place[: start[0]]).tolist() == np.unique(place[: start[0]]).tolist()
+
+
 def test_decontaminate_postings_over_slices(monkeypatch):
     items = [(0, np.arange(10), np.arange(0)), (1, np.arange(20, 60), np.arange(0))]
     place = np.r_[np.full(700, 99), np.arange(10), np.full(37, 99), np.arange(20, 60), np.full(9, 99)]
