@@ -251,3 +251,13 @@ def test_a_fit_moves_the_columns_it_reads(spark):
     # a stage that does not tell its columns gets them all
     free = Pipeline(stages=[SQLTransformer(statement="SELECT *, a + b AS c FROM __THIS__"), LogisticRegression()])
     assert training._read([free], columns) == columns
+
+
+def test_the_network_query_fits_the_published_network(spark, monkeypatch):
+    from catalog import models
+
+    seen = {}
+    monkeypatch.setattr(models, "report", lambda spark, sf, fits, **kw: seen.update(fits))
+    models.m8_neural(None, None)
+    learner = seen["MLP_Neural"].getStages()[-1]
+    assert learner.getLayers() == [len(models.X), 256, 128, 64, 2] and learner.getMaxIter() == 300
