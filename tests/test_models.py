@@ -261,3 +261,19 @@ def test_the_network_query_fits_the_published_network(spark, monkeypatch):
     models.m8_neural(None, None)
     learner = seen["MLP_Neural"].getStages()[-1]
     assert learner.getLayers() == [len(models.X), 256, 128, 64, 2] and learner.getMaxIter() == 300
+
+
+def test_the_search_query_makes_the_published_trials(spark, monkeypatch):
+    from catalog import models
+
+    seen = {}
+
+    def search(build, space, trials, train, val, **kw):
+        seen.update(space=space, trials=trials, learner=build(numTrees=200, maxDepth=4).getStages()[-1])
+        return None, train
+
+    monkeypatch.setattr(models, "split", lambda spark, sf: (spark.range(1),) * 3)
+    monkeypatch.setattr(models.guided, "search", search)
+    models.m9_search(spark, None)
+    assert seen["trials"] == 100 and isinstance(seen["learner"], t.RandomForestClassifier)
+    assert seen["space"] == {"numTrees": ("int", 150, 600), "maxDepth": ("int", 3, 8), "subsamplingRate": ("float", 0.6, 1.0), "minInstancesPerNode": ("int", 1, 100)}
